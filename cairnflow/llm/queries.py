@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mpeg, packing, urls
+from . import bpe, langid, mpeg, packing, secrets, simhash, urls
 
 #: The tokenizer's vocabulary file, by its name in the public_tokenizers package.
 VOCABULARY = "byte_bpe_50k.json"
@@ -45,6 +45,14 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.withColumn("held_out", F.coalesce(held_out, F.lit(False))), dictionaries, keep=("held_out",))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -73,7 +81,7 @@ def op10_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op3_packing, op5_langid, op9_urls, op10_mpeg)}
+    return {f.__name__: f for f in (op1_bpe, op3_packing, op5_langid, op7_simhash, op8_secrets, op9_urls, op10_mpeg)}
 
 
 def oracle_sql() -> dict[str, str]:
