@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mpeg, packing, secrets, simhash, urls
+from . import bpe, langid, mpeg, packing, secrets, simhash, suffix, urls
 
 #: The tokenizer's vocabulary file, by its name in the public_tokenizers package.
 VOCABULARY = "byte_bpe_50k.json"
@@ -34,6 +34,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.without_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -81,7 +85,7 @@ def op10_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op3_packing, op5_langid, op7_simhash, op8_secrets, op9_urls, op10_mpeg)}
+    return {f.__name__: f for f in (op1_bpe, op2_suffix, op3_packing, op5_langid, op7_simhash, op8_secrets, op9_urls, op10_mpeg)}
 
 
 def oracle_sql() -> dict[str, str]:
