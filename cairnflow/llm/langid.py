@@ -25,10 +25,10 @@ from .common import map_slices, strings
 UNDETERMINED = "und"
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", dict_bytes: int = 96 << 10, rows_per_lang: int = 400, row_chars: int = 1000, most_langs: int = 64) -> dict[str, bytes]:
-    """Dictionaries by language from a bounded sample: for each language the ``rows_per_lang``
-    rows with the smallest text hashes (each distinct text once), ``row_chars`` characters of
-    each, up to ``dict_bytes`` in all.  Null labels or texts are left out; more than
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", dict_bytes: int = 96 << 10, slots: int = 512, row_chars: int = 1000, most_langs: int = 64) -> dict[str, bytes]:
+    """Dictionaries by language from a bounded sample: text hashes are dealt to ``slots``
+    slots, and for each language the text with the smallest hash of each slot counts, with
+    ``row_chars`` characters of each, up to ``dict_bytes`` in all.  Null labels or texts are left out; more than
     ``most_langs`` languages raise ValueError; without labelled rows there are none.  The
     dictionaries are in the order of the languages' counts of rows, the most frequent first.
     """
@@ -36,19 +36,19 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", dic
         labelled.select(labelled[lang_col].cast("string").alias("lang"), labelled[text_col].alias("text"))
         .where("lang is not null and length(text) > 0")
         .select("lang", F.substring("text", 1, row_chars).alias("text"))
-        # a top-k by hash is kept in each partial aggregate, so no language is gathered whole
-        .select("lang", F.xxhash64("text").alias("h"), "text")
+        .withColumn("h", F.xxhash64("text"))
     )
     counts = sample.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs + 1)
     langs = [r["lang"] for r in counts.collect()]
     if len(langs) > most_langs:
         raise ValueError(f"more than {most_langs} languages")
-    out = {}
-    for lang in langs:
-        rows = sample.where(F.col("lang") == lang).orderBy("h", "text").limit(rows_per_lang).collect()
-        seen = list(dict.fromkeys(letters(r["text"]) for r in rows))
-        out[lang] = " ".join(reversed(seen)).encode("utf-8", "replace")[-dict_bytes:]
-    return out
+    # at most slots rows of a language, also in every partial aggregate
+    least = sample.groupBy("lang", F.pmod("h", F.lit(slots)).alias("slot")).agg(F.min("h").alias("h")).select("lang", "h")
+    texts = sample.join(F.broadcast(least), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    held: dict[str, list[str]] = {lang: [] for lang in langs}
+    for r in sorted(texts.collect(), key=lambda r: r["h"]):
+        held[r["lang"]].append(letters(r["text"]))
+    return {lang: " ".join(found).encode("utf-8", "replace")[-dict_bytes:] for lang, found in held.items()}
 
 
 class Classifier:
@@ -76,7 +76,10 @@ class Classifier:
     def sizes(self, text: str) -> list[int]:
         """Compressed sizes, less the frame, in the order of the languages."""
         data = f" {text} ".encode("utf-8", "replace")
-        return [max(1, len(t.compress(data)) - self.frame) for t in (self.close if len(data) < self.short else self.tools)]
+        short = len(data) < self.short
+        if short:  # else what isn't much smaller would be stored as it is, alike for every language
+            data *= 4
+        return [max(1, len(t.compress(data)) - self.frame) for t in (self.close if short else self.tools)]
 
     def predict(self, text: str) -> tuple[str, float, float]:
         """(language, score, margin); undetermined for a text without a letter."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mpeg, packing, secrets, simhash, suffix, urls
+from . import bpe, embed, langid, mpeg, packing, secrets, simhash, suffix, urls, warc
 
 #: The tokenizer's vocabulary file, by its name in the public_tokenizers package.
 VOCABULARY = "byte_bpe_50k.json"
@@ -42,6 +42,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
@@ -49,6 +53,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.withColumn("held_out", F.coalesce(held_out, F.lit(False))), dictionaries, keep=("held_out",))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -85,7 +93,7 @@ def op10_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_suffix, op3_packing, op5_langid, op7_simhash, op8_secrets, op9_urls, op10_mpeg)}
+    return {f.__name__: f for f in (op1_bpe, op2_suffix, op3_packing, op4_embeddings, op5_langid, op6_warc, op7_simhash, op8_secrets, op9_urls, op10_mpeg)}
 
 
 def oracle_sql() -> dict[str, str]:
