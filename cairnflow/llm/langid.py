@@ -81,17 +81,17 @@ class Classifier:
             data *= 4
         return [max(1, len(t.compress(data)) - self.frame) for t in (self.close if short else self.tools)]
 
-    def predict(self, text: str) -> tuple[str, float, float]:
-        """(language, score, margin); undetermined for a text without a letter."""
+    def predict(self, text: str, least_margin: float, margin_from: int) -> tuple[str, float, float, bool]:
+        """(language, score, margin, rejected); undetermined for a text without a letter."""
         text = letters(text)
         if not self.langs or not text:
-            return UNDETERMINED, 0.0, 0.0
+            return UNDETERMINED, 0.0, 0.0, True
         sizes = self.sizes(text)
         order = sorted(range(len(sizes)), key=sizes.__getitem__)
         best = sizes[order[0]]
         second = sizes[order[1]] if len(order) > 1 else 2 * best
         margin = (second - best) / second
-        return self.langs[order[0]], min(1.0, 0.5 + 2 * margin), margin
+        return self.langs[order[0]], min(1.0, 0.5 + 2 * margin), margin, len(text) >= margin_from and margin < least_margin
 
 
 #: Runs of anything but letters.
@@ -106,13 +106,14 @@ def letters(text: str) -> str:
     return OTHER.sub(" ", text.lower()).strip()
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", least_margin: float = 0.0, keep: tuple[str, ...] = ()) -> DataFrame:
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", least_margin: float = 0.01, margin_from: int = 200, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: ``id_col``, lang_pred, score (0 to 1), margin and rejected.
 
     lang_pred is the language of the smallest compressed size, ``und`` for a null text or
     one without a letter; ties go to the language with more labelled rows, with margin 0.  rejected
-    is true for ``und`` and for margins below ``least_margin``.  Ids may be null or
-    repeated; of other columns only ``keep`` are carried along; an empty table gives an
+    is true for ``und``, and for texts of at least ``margin_from`` characters of words with
+    margins below ``least_margin`` (in a shorter text one byte is too large a part).  Ids
+    may be null or repeated; of other columns only ``keep`` are carried along; an empty table gives an
     empty result; without dictionaries every text is ``und``.
     """
 
@@ -120,9 +121,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_
         classifier = Classifier(dictionaries)
 
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
-            found = [classifier.predict(t) for t in strings(b.column(1))]
-            lang, score, margin = zip(*found)
-            rejected = [x == UNDETERMINED or m < least_margin for x, m in zip(lang, margin)]
+            lang, score, margin, rejected = zip(*(classifier.predict(t, least_margin, margin_from) for t in strings(b.column(1))))
             added = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array(rejected, pa.bool_())]
             return pa.RecordBatch.from_arrays([b.column(0), *added, *b.columns[2:]], ["id", "lang_pred", "score", "margin", "rejected", *(f"k{i}" for i in range(len(keep)))])
 
@@ -133,3 +132,18 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_
     kept = "".join(f", k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     out = rows.mapInArrow(run, f"id {kind}, lang_pred string, score double, margin double, rejected boolean{kept}")
     return out.withColumnsRenamed({"id": id_col} | {f"k{i}": c for i, c in enumerate(keep)})
+
+
+def accepted(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", least_margin: float = 0.01, margin_from: int = 200) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text :func:`predict` doesn't reject."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classifier = Classifier(dictionaries)
+
+        def work(b: pa.RecordBatch) -> pa.RecordBatch:
+            kept = [not classifier.predict(t, least_margin, margin_from)[3] for t in strings(b.column(text_col))]
+            return b.filter(pa.array(kept, pa.bool_()))
+
+        yield from map_slices(batches, text_col, work)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -197,12 +197,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
-    """The rows of ``docs`` that are first of their component: one for each, with all columns.
+    """The rows of ``docs``, with all their columns, whose id names their component: one document of each group.
 
-    Of rows that share the smallest id one stays; components of rows without an id keep one.
+    Rows alike in id and text are one document and stay once; rows that share the id alone
+    are told apart.  Rows without an id stay, those alike in text once.
     """
-    order = [c for c in docs.columns if c != id_col]
-    found = near_duplicates(docs, id_col, text_col, words, bits)
-    first = found.groupBy("component_id").count().select(F.col("component_id").alias("__first"))
+    first = near_duplicates(docs, id_col, text_col, words, bits).select("component_id").distinct().withColumnRenamed("component_id", "__first")
     kept = docs.join(first, docs[id_col].eqNullSafe(F.col("__first")), "left_semi")
-    return kept.dropDuplicates([id_col]).select(*docs.columns) if order else kept.dropDuplicates([id_col])
+    return kept.withColumn("__text", F.xxhash64(text_col)).dropDuplicates([id_col, "__text"]).select(*docs.columns)

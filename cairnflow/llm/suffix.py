@@ -486,6 +486,38 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.mapInArrow(run, f"id {kind}, {schema}").withColumnRenamed("id", id_col)
 
 
+def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 100, most_segments: int = 4096) -> DataFrame:
+    """``docs`` with all rows and columns, repeats removed from the text as by :func:`without_repeats`.
+
+    What a cut leaves of a character is removed with it, so texts stay valid; null texts stay null.
+    """
+    listed = repeats(docs, id_col, text_col, least, most_segments).groupBy("id").agg(F.collect_list(F.struct("v", "a", "length")).alias("__found"))
+    listed = listed.withColumnRenamed("id", "__id")
+    joined = docs.join(listed, docs[id_col].eqNullSafe(F.col("__id")), "left").select(*docs.columns, "__found")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def work(b: pa.RecordBatch) -> pa.RecordBatch:
+            found = b.column("__found")
+            first = found.offsets.to_numpy()
+            v, a, length = (found.values.field(i).to_numpy() for i in range(3))
+            texts = b.column(text_col).to_pylist()
+            for i, text in enumerate(texts):
+                if not text or first[i] == first[i + 1]:
+                    continue
+                raw, kept, at = text.encode("utf-8", "surrogatepass"), [], 0
+                own = slice(first[i], first[i + 1])
+                for x, y in cut_spans(raw, v[own], a[own], length[own]):
+                    kept.append(raw[at:x])
+                    at = y
+                texts[i] = b"".join([*kept, raw[at:]]).decode("utf-8", "ignore")
+            names = b.schema.names[:-1]
+            return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else b.column(c) for c in names], names)
+
+        yield from map_slices(batches, text_col, work)
+
+    return joined.mapInArrow(run, docs.schema)
+
+
 def cut_spans(raw: bytes, v: np.ndarray, a: np.ndarray, length: np.ndarray) -> list[tuple[int, int]]:
     """Maximal runs of the marked ranges of this version of the text."""
     if not len(v):
