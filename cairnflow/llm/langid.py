@@ -1,7 +1,7 @@
 """Language identification by compression.
 
-For each language a raw-content zstandard dictionary is filled with text of that language
-from a bounded sample of labelled rows.  A text, its words in lower case, is compressed with every dictionary; the
+For each language a raw-content zstandard dictionary is filled with the words that texts of
+that language share, taken from a bounded sample of labelled rows.  A text, its words in lower case, is compressed with every dictionary; the
 language whose dictionary gives the smallest result is chosen.  The margin between the best
 and the second, as a share of the second, is the score's base; a text whose margin is
 narrower than ``least_margin`` is rejected.
@@ -14,6 +14,7 @@ a shuffle, over whole texts.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,9 +47,20 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", dic
     least = sample.groupBy("lang", F.pmod("h", F.lit(slots)).alias("slot")).agg(F.min("h").alias("h")).select("lang", "h")
     texts = sample.join(F.broadcast(least), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     held: dict[str, list[str]] = {lang: [] for lang in langs}
-    for r in sorted(texts.collect(), key=lambda r: r["h"]):
-        held[r["lang"]].append(letters(r["text"]))
-    return {lang: " ".join(found).encode("utf-8", "replace")[-dict_bytes:] for lang, found in held.items()}
+    for r in texts.collect():
+        held[r["lang"]].append(r["text"])
+    return {lang: dictionary(found, dict_bytes) for lang, found in held.items()}
+
+
+def dictionary(texts: list[str], most_bytes: int) -> bytes:
+    """Words that several of the texts hold, the most common last, where a match costs the fewest bits.
+
+    Words of one text alone are left out, so a text under a wrong label adds nothing; if no
+    word is common, all count.
+    """
+    seen = Counter(w for t in texts for w in set(letters(t).split()))
+    common = [w for w, n in seen.items() if n > 1] or list(seen)
+    return (" ".join(sorted(common, key=lambda w: (seen[w], w))) + " ").encode("utf-8", "replace")[-most_bytes:]
 
 
 class Classifier:
@@ -77,8 +89,8 @@ class Classifier:
         """Compressed sizes, less the frame, in the order of the languages."""
         data = f" {text} ".encode("utf-8", "replace")
         short = len(data) < self.short
-        if short:  # else what isn't much smaller would be stored as it is, alike for every language
-            data *= 4
+        # repeated, as zstandard stores as it is, alike for every language, what it can't make much smaller
+        data *= 4 if short else 2 if len(data) < 10 * self.short else 1
         return [max(1, len(t.compress(data)) - self.frame) for t in (self.close if short else self.tools)]
 
     def predict(self, text: str, least_margin: float, margin_from: int) -> tuple[str, float, float, bool]:
