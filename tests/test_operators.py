@@ -169,3 +169,49 @@ def test_events(spark):
     e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert events.window_totals(e).agg(F.sum("n")).first()[0] == e.count()
     assert events.sessions(e).agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_run_recipe_and_resume(spark, tmp_path):
+    from cairnflow.plans import runner
+
+    source = spark.createDataFrame([("q1", "one"), ("q2", "two")], "id string, user_prompt string")
+    truths = spark.createDataFrame([("q1", "5")], "prompt_id string, ground_truth_answer string")
+    recipe = grids.Recipe(personas=["analytical", "teacher"], temperatures=[0.5, 1.0])
+    for _ in range(2):  # the second finds everything done
+        out = runner.run_recipe(source, truths, recipe, generate.MockProvider(), generate.Sampling(seed=3), str(tmp_path / "run"))
+    assert out["responses"].count() == 8
+    assert {r["n_responses"] for r in out["spectra"].collect()} == {4}
+    assert {r["total_count"] for r in out["leaderboard"].collect()} == {4}
+    assert out["summary"].first()["num_completed_prompts"] == 2
+    composed = grids.jobs(source, recipe).withColumnRenamed("job_id", "id")
+    got = runner.report(composed, spark.read.parquet(str(tmp_path / "run" / "responses"))).first()
+    assert (got["completed_scheduler"], got["failed"], got["total_responses"]) == (8, 0, 8)
+
+
+class Bytes:
+    eos_token_id = 7
+
+    def encode(self, text):
+        return list(text.encode())
+
+    def decode(self, ids):
+        return bytes(ids).decode()
+
+
+def test_tokens(spark):
+    from cairnflow.operators import tokens
+
+    rows = tokens.encode(spark.createDataFrame([("héllo",), (None,)], "text string"), Bytes)
+    got = tokens.decode(rows, Bytes, to="back").collect()
+    assert [(r["token_count"], r["back"]) for r in got] == [(6, "héllo"), (0, "")]
+    assert tokens.pad_id(Bytes()) == 7
+
+
+def test_optional_libraries(spark):
+    from cairnflow.operators.local_models import VLLMProvider
+    from cairnflow.sources.hub import scan_hub
+
+    with pytest.raises(generate.ProviderError):
+        VLLMProvider("m").open()
+    with pytest.raises(ImportError, match="datasets"):
+        scan_hub(spark, "x")
