@@ -40,7 +40,7 @@ ODD_SPACE = re.compile(rf"[{WIDE_SPACE}] ")
 FIRST_ANCHOR = re.compile(rf"[^{WIDE_SPACE}] ")
 ID = np.dtype("<u4")
 #: Bytes of text that are encoded together.
-SLICE = 16 << 20
+SLICE = 8 << 20
 
 
 #: Fixed value: the byte-level pre-tokenizer's pattern.
@@ -150,7 +150,7 @@ class Units:
 class Codec:
     """A tokenizer with stores of encoded units and chunks; both are bounded."""
 
-    def __init__(self, path: str, chunk_bytes: int = 1024, store_bytes: int = 128 << 20):
+    def __init__(self, path: str, chunk_bytes: int = 1024, store_bytes: int = 64 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

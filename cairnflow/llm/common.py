@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -34,6 +35,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: a worker outlives its tasks, and an executor's workers share its memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_slices(
     batches: Iterable[pa.RecordBatch],
     sized_by: str,
@@ -41,6 +51,13 @@ def map_slices(
     most_bytes: int = 4 << 20,
 ) -> Iterator[pa.RecordBatch]:
     """Apply ``work`` to slices of about ``most_bytes`` of the string or binary column ``sized_by``."""
+    try:
+        yield from slices_of(batches, sized_by, work, most_bytes)
+    finally:
+        release_memory()
+
+
+def slices_of(batches: Iterable[pa.RecordBatch], sized_by: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], most_bytes: int) -> Iterator[pa.RecordBatch]:
     import numpy as np
     import pyarrow.compute as pc
 

@@ -97,7 +97,14 @@ def segments(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
         raw = [t.encode("utf-8", "surrogatepass") for t in strings(b.column(1))]
         flat = b"".join(raw)
         starts = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
-        text, a, n, p = owners(np.frombuffer(flat, dtype=np.uint8), starts, least, KEY_BYTES)
+        found = []
+        whole = np.frombuffer(flat, dtype=np.uint8)
+        cuts = np.flatnonzero(np.diff(starts[:-1] >> 20, prepend=-1)).tolist() + [len(raw)]  # texts of about 1 MB at a time
+        for i, j in zip(cuts, cuts[1:]):
+            base = starts[i]
+            t, a, n, p = owners(whole[base : starts[j]], starts[i : j + 1] - base, least, KEY_BYTES)
+            found.append((t + i, a + base, n, p + base))
+        text, a, n, p = map(np.concatenate, zip(*found))
         if not len(a):
             return None
         mask = (1 << 63) - 1
@@ -115,7 +122,7 @@ def segments(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
         columns = [pa.array(kind), pa.array(key), pa.array(same), ids, pa.array(at.astype(np.int32)), pa.array((v << 7 | n).astype(np.int32))]
         return pa.RecordBatch.from_arrays(columns, ["kind", "key", "same", "id", "a", "nv"])
 
-    yield from map_slices(batches, "text", work, 8 << 20)
+    yield from map_slices(batches, "text", work, 6 << 20)
 
 
 def rank_of(ids: pa.Array) -> np.ndarray:
