@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_whitespace, normalize_math, strip
@@ -152,5 +152,7 @@ def ingest(entries: DataFrame, math: bool = True) -> DataFrame:
 
 
 def with_ordinal(rows: DataFrame, order: str) -> DataFrame:
-    """ordinal from 0 in the order of a column, for small inputs that come without one."""
-    return rows.withColumn("ordinal", F.row_number().over(Window.orderBy(order)).cast("long") - 1)
+    """ordinal from 0 in the order of a column: a range-partitioned sort, and the partitions' counts."""
+    from ..sources.readers import indexed
+
+    return indexed(rows.orderBy(order))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -18,3 +20,11 @@ def session(app: str = "cairnflow", **conf: str) -> SparkSession:
     for k, v in (DEFAULTS | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def setup_logging(level: int = logging.INFO, file: str | None = None) -> None:
+    """Log to the console, and to a file if one is named."""
+    handlers: list[logging.Handler] = [logging.StreamHandler()]
+    if file:
+        handlers.append(logging.FileHandler(file, encoding="utf-8"))
+    logging.basicConfig(level=level, format="%(asctime)s %(levelname)s %(name)s: %(message)s", handlers=handlers, force=True)

@@ -215,3 +215,23 @@ def test_optional_libraries(spark):
         VLLMProvider("m").open()
     with pytest.raises(ImportError, match="datasets"):
         scan_hub(spark, "x")
+
+
+def test_sql_functions(spark):
+    from cairnflow.functions import sql
+
+    assert "cairn_strip" in sql.register(spark)
+    r = spark.sql("SELECT cairn_strip('\t a ') AS s, cairn_words(' a  b ') AS w, cairn_last_number('x 1 y -2.5') AS n, cairn_jaccard(array('a', 'b'), array('b')) AS j, cairn_jaccard(array('a'), filter(array('a'), x -> x = '')) AS z").first()
+    assert (r["s"], r["w"], r["n"], r["j"], r["z"]) == ("a", ["a", "b"], "-2.5", 0.5, 0.0)
+
+
+def test_metrics_and_ordinals(spark, tmp_path):
+    from cairnflow.operators.metrics import RunMetrics
+
+    p = spark.createDataFrame([("1", "ok"), ("2", "bad")], "id string, user_prompt string")
+    m = RunMetrics(total=2)
+    m.watch(generate.run(p, Flaky(), generate.Sampling())).write.parquet(str(tmp_path / "m"))
+    got = m.report()
+    assert (got["responses"], got["errors"], got["tokens"], got["progress_percent"]) == (2, 1, 1, 50.0)
+    rows = records.with_ordinal(spark.range(100).repartition(7), "id").collect()
+    assert all(r["id"] == r["ordinal"] for r in rows)
