@@ -136,3 +136,14 @@ def test_math_verdict(spark):
 
 def test_stop_truncate(spark):
     assert column(spark, ["a b </answer> c total", "total", "  none  "], lambda x: T.stop_truncate(x, ["</answer>", "total"])) == ["a b", "", "  none  "]
+
+
+def test_clean_whitespace_matches_lines(spark):
+    rng = random.Random(4)
+    values = ["".join(rng.choice([*SPACES, "\n", "\n", " ", "a", "b"]) for _ in range(rng.randrange(20))) for _ in range(600)] + [" " * 20000 + "x" + " " * 20000]
+
+    def want(v):
+        flat = re.sub("[ \t]+", " ", v.replace("\r\n", "\n").replace("\r", "\n"))
+        return "\n".join(x for x in (line.strip() for line in flat.split("\n")) if x)
+
+    assert column(spark, values, T.clean_whitespace) == [want(v) for v in values]
