@@ -8,15 +8,17 @@ nowhere earlier (smaller document, or same document and earlier start).
    bytes).  Equal stretches have equal owners, so equal stretches lie in segments of one key,
    the hash of the k bytes.  Some 3 % of the positions are anchors, and only those are dealt.
 2. *Equal segments.*  Of equal segments all but the first are repeats throughout.  Those that
-   aren't first in their own slice of the input are settled before anything is dealt.
+   aren't first in their own slice of the input are settled before anything is dealt.  A key
+   with ``hot_from`` distinct segments in one slice is hot (a phrase that a large part of the corpus
+   holds in ever other surroundings): its segments are dealt by their own hashes, and a marker
+   tells the key's task that they are.
 3. *Unequal segments with one key* are where repeats begin and end.  Of each distinct segment
    its first copy takes part: an enhanced suffix array over a batch of whole keys is scanned
    with a stack, which gives the tree of common-prefix intervals; an interval of ``least``
    bytes or more whose members differ in the byte to their left is a maximal repeat, with
    all its occurrences.  All stretches that it covers are repeats but for the earliest.
-   A key with more distinct segments than ``most_segments`` (a phrase that a large part of
-   the corpus holds in ever other surroundings) goes by its single stretches' hashes instead,
-   which are grouped with partial aggregation; the result is the same.
+   Hot keys, and keys with more distinct segments than ``most_segments``, go by the hashes of
+   their single stretches instead, which are dealt by hash; the result is the same.
 4. The documents are joined with their marks and cut.
 
 No key, document or group of copies is gathered whole: step 2 reads sorted rows as a
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +39,9 @@ from .common import map_slices, shuffle_partitions, strings
 
 #: Bytes whose hash names a segment.
 KEY_BYTES = 32
-SETTLED, CANDIDATE = 0, 1
+SETTLED, CANDIDATE, HOT = 0, 1, 2
+#: In place of a segment's hash: a marker of a hot key; it sorts before the key's segments.
+MARKER = -1
 VERSION_BITS = 24
 
 
@@ -89,7 +94,7 @@ def owners(data: np.ndarray, starts: np.ndarray, least: int, k: int) -> tuple[np
     return text[at[first]], at[first], count, owner[at[first]]
 
 
-def segments(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def segments(batches: Iterator[pa.RecordBatch], least: int, hot_from: int) -> Iterator[pa.RecordBatch]:
     """(kind, key, same, id, a, nv): segments; those that are not first of their equals in a slice are settled."""
     from xxhash import xxh3_64_intdigest
 
@@ -117,9 +122,19 @@ def segments(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
         order = np.lexsort((at, v, rank, same, key))
         later = np.zeros(len(order), dtype=bool)
         later[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (same[order[1:]] == same[order[:-1]])
-        kind = np.where(later, SETTLED, CANDIDATE).astype(np.int8)
+        distinct, count = np.unique(key[~later], return_counts=True)
+        hot = distinct[count >= hot_from]
+        kind = np.where(later, SETTLED, np.where(np.isin(key, hot), HOT, CANDIDATE)).astype(np.int8)
         key[later] = same[later] = 0
-        columns = [pa.array(kind), pa.array(key), pa.array(same), ids, pa.array(at.astype(np.int32)), pa.array((v << 7 | n).astype(np.int32))]
+        m = len(hot)
+        columns = [
+            pa.array(np.append(kind, np.full(m, CANDIDATE, dtype=np.int8))),
+            pa.array(np.append(key, hot)),
+            pa.array(np.append(same, np.full(m, MARKER))),
+            pa.concat_arrays([ids, pa.nulls(m, ids.type)]),
+            pa.array(np.append(at, np.zeros(m)).astype(np.int32)),
+            pa.array(np.append(v << 7 | n, np.zeros(m)).astype(np.int32)),
+        ]
         return pa.RecordBatch.from_arrays(columns, ["kind", "key", "same", "id", "a", "nv"])
 
     yield from map_slices(batches, "text", work, 6 << 20)
@@ -127,34 +142,42 @@ def segments(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
 
 def rank_of(ids: pa.Array) -> np.ndarray:
     """Positions of ids in order, nulls first, equal ids alike."""
-    import pyarrow.compute as pc
-
     return pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads segments sorted by key, same, id, version and start: repeats of a segment are settled; firsts stay candidates if their key has another."""
+    """Reads segments sorted by kind, key, same, id, version and start.
+
+    Repeats of a segment are settled.  Firsts become HOT if they are, or if a marker says
+    that their key is; else they stay candidates if their key has another segment.
+    """
     names = ["kind", "key", "id", "a", "nv"]
     held: pa.RecordBatch | None = None  # the last first, its neighbour not yet known
     tied = False  # it has one on the left
-    last = (None, None)
+    last, marked = (None, None, None), None
+
+    def of_kind(rows: pa.RecordBatch, kind: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, kind, dtype=np.int8)), *rows.columns[1:]], names)
+
     for b in batches:
         if not b.num_rows:
             continue
         kind, key, same = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
-        done = kind == SETTLED
+        marker = (same == MARKER) & (kind == CANDIDATE)
         again = np.zeros(len(key), dtype=bool)
-        again[1:] = (key[1:] == key[:-1]) & (same[1:] == same[:-1]) & ~done[1:] & ~done[:-1]
-        if not done[0]:
-            again[0] = last == (key[0], same[0])
-        if not done[-1]:
-            last = (key[-1], same[-1])
+        again[1:] = (kind[1:] == kind[:-1]) & (key[1:] == key[:-1]) & (same[1:] == same[:-1])
+        again[0] = last == (kind[0], key[0], same[0])
+        gone = (again | (kind == SETTLED)) & ~marker
+        hot_keys = key[marker]
+        hot = (kind == HOT) | (kind == CANDIDATE) & (np.isin(key, hot_keys) | (key == marked if marked is not None else False))
+        last = (kind[-1], key[-1], same[-1])
+        if len(hot_keys):
+            marked = hot_keys[-1]
         out = b.select(names)
-        gone = done | again
-        if gone.any():
-            r = out.filter(pa.array(gone))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(r.num_rows, dtype=np.int8)), *r.columns[1:]], names)
-        firsts = out.filter(pa.array(~gone))
+        for chosen, as_kind in ((gone, SETTLED), (hot & ~gone & ~marker, HOT)):
+            if chosen.any():
+                yield of_kind(out.filter(pa.array(chosen)), as_kind)
+        firsts = out.filter(pa.array(~gone & ~hot & ~marker))
         if not firsts.num_rows:
             continue
         if held is not None:
@@ -299,10 +322,19 @@ def covered(texts: list[bytes], order: np.ndarray, least: int) -> list[list[tupl
 
 
 def fetch(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """(key, id, a, v, segment) of the candidates listed with each document."""
+    """(key, h2, id, a, v, segment) of the candidates listed with each document.
+
+    Hot ones come as single stretches, with no segment and two hashes as key and h2; those
+    that aren't first in their slice are settled: h2 is 0, and the key spreads them.
+    """
+    names = ["key", "h2", "id", "a", "v", "segment"]
+
+    def table(ids: pa.Array, found: list[tuple]) -> tuple[pa.Array, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        key, row, a, v, segment = zip(*found)
+        return ids.take(pa.array(row)), np.array(v, dtype=np.int64), np.array(a, dtype=np.int64), list(segment), np.array(key, dtype=np.int64)
 
     def work(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        key, row, a, v, segment = [], [], [], [], []
+        plain, hot = [], []
         for i, (text, found) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
             if not found or not text:
                 continue
@@ -310,18 +342,41 @@ def fetch(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
             own = version(raw)
             for c in found:
                 if c["nv"] >> 7 == own:
-                    key.append(c["key"])
-                    row.append(i)
-                    a.append(c["a"])
-                    v.append(own)
-                    segment.append(raw[c["a"] : c["a"] + (c["nv"] & 127) + least - 1])
-        if not key:
+                    segment = raw[c["a"] : c["a"] + (c["nv"] & 127) + least - 1]
+                    (hot if c["kind"] == HOT else plain).append((c["key"], i, c["a"], own, segment))
+        out = []
+        if plain:
+            ids, v, a, segment, key = table(b.column(0), plain)
+            out.append([pa.array(key), pa.array(np.zeros_like(key)), ids, pa.array(a.astype(np.int32)), pa.array(v.astype(np.int32)), pa.array(segment, pa.binary())])
+        if hot:
+            ids, v, a, segment, _ = table(b.column(0), hot)
+            row, at, h = stretches(ids, v, a, segment, least)
+            spread = np.where(h[:, 1] == 0, (at * 0x9E3779B1 + row * 0x85EBCA6B) & ((1 << 62) - 1), h[:, 0])
+            out.append([pa.array(spread), pa.array(h[:, 1]), ids.take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(v[row].astype(np.int32)), pa.nulls(len(row), pa.binary())])
+        if not out:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), b.column(0).take(pa.array(row)), pa.array(a, pa.int32()), pa.array(v, pa.int32()), pa.array(segment, pa.binary())], ["key", "id", "a", "v", "segment"])
+        return pa.concat_batches([pa.RecordBatch.from_arrays(c, names) for c in out])
 
     yield from map_slices(batches, "text", work)
 
 
+def stretches(ids: pa.Array, v: np.ndarray, a: np.ndarray, segments: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, start, two hashes) of every stretch; hashes are zero where an equal one starts earlier here."""
+    from xxhash import xxh3_128_digest
+
+    count = np.array([len(s) - least + 1 for s in segments])
+    row = np.repeat(np.arange(len(segments)), count)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    at = a[row] + step
+    digest = [xxh3_128_digest(s[k : k + least]) for s in segments for k in range(len(s) - least + 1)]
+    h = np.frombuffer(b"".join(digest), dtype=np.int64).reshape(-1, 2) | np.array([0, 1])  # the second is never zero
+    order = np.lexsort((places(ids, v, np.zeros_like(a))[row] + at, h[:, 1], h[:, 0]))
+    later = np.zeros(len(order), dtype=bool)
+    later[order[1:]] = (h[order[1:]] == h[order[:-1]]).all(axis=1)
+    h[later] = 0
+    return row, at, h
+
+
 def places(ids: pa.ChunkedArray | pa.Array, v: np.ndarray, a: np.ndarray) -> np.ndarray:
     """Ranks of places by id, version and start, far enough apart for a segment's bytes between starts in one document."""
     if isinstance(ids, pa.ChunkedArray):
@@ -338,7 +393,8 @@ MARK_NAMES = ["h1", "h2", "id", "v", "a", "length"]
 def unequal(batches: Iterator[pa.RecordBatch], least: int, most_segments: int) -> Iterator[pa.RecordBatch]:
     """Marks from suffix arrays over whole keys; for keys of more than ``most_segments`` segments their single stretches, to be grouped by hash.
 
-    Input sorted by key.  Rows with h1 = h2 = 0 are marks; the others are stretches.
+    Input sorted by key.  Rows with h1 = h2 = 0 are marks; the others are stretches.  Rows
+    that come as stretches pass through.
     """
     held: list[pa.Table] = []  # whole keys, or the start of the open one
     streaming: int | None = None
@@ -356,25 +412,15 @@ def unequal(batches: Iterator[pa.RecordBatch], least: int, most_segments: int) -
         zero = pa.array(np.zeros(len(row), dtype=np.int64))
         return pa.RecordBatch.from_arrays([zero, zero, ids.take(pa.array(row)), pa.array(v[row].astype(np.int32)), pa.array((a[row] + spans[:, 0]).astype(np.int32)), pa.array((spans[:, 1] - spans[:, 0]).astype(np.int32))], MARK_NAMES)
 
-    def stretches(t: pa.Table) -> pa.RecordBatch:
-        from xxhash import xxh3_128_digest
-
+    def single(t: pa.Table) -> pa.RecordBatch:
         ids, v, a = arrays(t)
-        row, at, digest = [], [], []
-        for i, s in enumerate(t.column("segment").to_pylist()):
-            for k in range(len(s) - least + 1):
-                row.append(i)
-                at.append(int(a[i]) + k)
-                digest.append(xxh3_128_digest(s[k : k + least]))
-        row, at = np.array(row), np.array(at, dtype=np.int64)
-        h = np.frombuffer(b"".join(digest), dtype=np.int64).reshape(-1, 2).copy()
-        h[:, 0] |= 1  # never zero
-        order = np.lexsort((places(ids, v, np.zeros_like(a))[row] + at, h[:, 1], h[:, 0]))
-        later = np.zeros(len(order), dtype=bool)
-        later[order[1:]] = (h[order[1:]] == h[order[:-1]]).all(axis=1)
-        h[later] = 0  # not first even here: settled before anything is dealt
+        row, at, h = stretches(ids, v, a, t.column("segment").to_pylist(), least)
         return pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), ids.take(pa.array(row)), pa.array(v[row].astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(np.full(len(row), least, dtype=np.int32))], MARK_NAMES)
 
+    def passed(b: pa.RecordBatch) -> pa.RecordBatch:
+        h1, h2 = b.column("key").to_numpy(), b.column("h2").to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(np.where(h2 == 0, 0, h1)), pa.array(h2), b.column("id"), b.column("v"), b.column("a"), pa.array(np.full(len(h1), least, dtype=np.int32))], MARK_NAMES)
+
     def parts(t: pa.Table) -> Iterator[pa.Table]:
         key = t.column("key").to_numpy()
         cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
@@ -390,12 +436,16 @@ def unequal(batches: Iterator[pa.RecordBatch], least: int, most_segments: int) -
     whole: list[pa.Table] = []
     size = 0
     for b in batches:
+        bare = b.column("segment").is_null()
+        if bare.true_count:
+            yield passed(b.filter(bare))
+            b = b.filter(pc.invert(bare))
         if not b.num_rows:
             continue
         for t in parts(pa.Table.from_batches([b])):
             key = t.column("key")[0].as_py()
             if streaming == key:
-                yield stretches(t)
+                yield single(t)
                 continue
             if held and held[0].column("key")[0].as_py() != key:
                 whole += held
@@ -407,7 +457,7 @@ def unequal(batches: Iterator[pa.RecordBatch], least: int, most_segments: int) -
             held.append(t)
             if sum(x.num_rows for x in held) > most_segments:
                 for x in held:
-                    yield stretches(x)
+                    yield single(x)
                 held, streaming = [], key
     yield from settled(whole + held)
 
@@ -423,36 +473,37 @@ def later_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         again[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
         again[0] = last == (h1[0], h2[0])
         last = (h1[-1], h2[-1])
-        r = b.filter(pa.array(again | (h1 == 0)))
+        r = b.filter(pa.array(again | (h2 == 0)))
         if r.num_rows:
             yield r.select(["id", "v", "a", "length"])
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 100, most_segments: int = 4096) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 100, most_segments: int = 4096, hot_from: int = 16) -> DataFrame:
     """Marks (id, v, a, length): ranges of bytes that repeat something earlier; v is the text's version among rows of one id."""
     if not KEY_BYTES < least <= KEY_BYTES + 95:
         raise ValueError(f"least must be above {KEY_BYTES} and at most {KEY_BYTES + 95}")
     n = shuffle_partitions(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    found = rows.mapInArrow(lambda b: segments(b, least), f"kind tinyint, key long, same long, id {kind}, a int, nv int")
-    # settled rows only pass through, so they go anywhere
-    dealt = found.repartition(n, F.when(F.col("kind") == SETTLED, F.xxhash64("id", "a")).otherwise(F.col("key")))
+    found = rows.mapInArrow(lambda b: segments(b, least, hot_from), f"kind tinyint, key long, same long, id {kind}, a int, nv int")
+    # settled rows only pass through, so they go anywhere; segments of hot keys need only meet their equals
+    place = F.when(F.col("kind") == SETTLED, F.xxhash64("id", "a")).when(F.col("kind") == HOT, F.xxhash64("key", "same")).otherwise(F.col("key"))
+    dealt = found.repartition(n, place)
     marks = dealt.sortWithinPartitions("kind", "key", "same", "id", F.shiftright("nv", 7), "a").mapInArrow(settle, f"kind tinyint, key long, id {kind}, a int, nv int")
     settled = marks.where(F.col("kind") == SETTLED).select("id", F.shiftright("nv", 7).alias("v"), "a", (F.col("nv").bitwiseAND(127) + (least - 1)).alias("length"))
-    listed = marks.where(F.col("kind") == CANDIDATE).groupBy("id").agg(F.collect_list(F.struct("key", "a", "nv")).alias("found"))
+    listed = marks.where(F.col("kind") != SETTLED).groupBy("id").agg(F.collect_list(F.struct("kind", "key", "a", "nv")).alias("found"))
     wanted = rows.join(listed.withColumnRenamed("id", "other"), F.col("id").eqNullSafe(F.col("other")), "left").select("id", "text", "found")
-    texts = wanted.mapInArrow(lambda b: fetch(b, least), f"key long, id {kind}, a int, v int, segment binary")
+    texts = wanted.mapInArrow(lambda b: fetch(b, least), f"key long, h2 long, id {kind}, a int, v int, segment binary")
     keyed = texts.repartition(n, "key").sortWithinPartitions("key", "id", "v", "a")
     solved = keyed.mapInArrow(lambda b: unequal(b, least, most_segments), MARK_SCHEMA.format(kind=kind))
-    solved = solved.repartition(n, F.when(F.col("h1") == 0, F.xxhash64("id", "a")).otherwise(F.col("h1"))).sortWithinPartitions("h1", "h2", "id", "v", "a")
+    solved = solved.repartition(n, F.when(F.col("h2") == 0, F.xxhash64("id", "a")).otherwise(F.col("h1"))).sortWithinPartitions("h1", "h2", "id", "v", "a")
     return settled.union(solved.mapInArrow(later_stretches, f"id {kind}, v int, a int, length int"))
 
 
 CUT = "n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 100, most_segments: int = 4096, digest: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 100, most_segments: int = 4096, hot_from: int = 16, digest: bool = False) -> DataFrame:
     """One row per input row: ``id_col``, n_bytes, n_removed, n_spans (maximal removed runs) and kept, the bytes left.
 
     Texts are UTF-8 bytes; null counts as empty.  Order is by id, nulls first; rows that
@@ -461,7 +512,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty table gives an empty result.  With ``digest`` kept_sha256 takes the place of kept.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    marks = repeats(docs, id_col, text_col, least, most_segments)
+    marks = repeats(docs, id_col, text_col, least, most_segments, hot_from)
     listed = marks.groupBy("id").agg(F.collect_list(F.struct("v", "a", "length")).alias("found")).withColumnRenamed("id", "other")
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     joined = rows.join(listed, F.col("id").eqNullSafe(F.col("other")), "left").select("id", "text", "found")
