@@ -478,28 +478,61 @@ def later_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield r.select(["id", "v", "a", "length"])
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 100, most_segments: int = 4096, hot_from: int = 16) -> DataFrame:
-    """Marks (id, v, a, length): ranges of bytes that repeat something earlier; v is the text's version among rows of one id."""
+def plain(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
+    """The rows as id, text, c0, c1 …, and the names of the columns that these stand for."""
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *(docs[c].alias(f"c{i}") for i, c in enumerate(others))), others
+
+
+def repeats(rows: DataFrame, least: int = 100, most_segments: int = 4096, hot_from: int = 16) -> DataFrame:
+    """Marks (id, v, a, length) of rows with the columns id and text: ranges of bytes that repeat
+    something earlier; v is the text's version among rows of one id.
+
+    Further columns of ``rows`` aren't used, but dealt with the texts: a join of the result
+    to the same ``rows`` then takes the same exchange, and texts are dealt once.
+    """
     if not KEY_BYTES < least <= KEY_BYTES + 95:
         raise ValueError(f"least must be above {KEY_BYTES} and at most {KEY_BYTES + 95}")
-    n = shuffle_partitions(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    found = rows.mapInArrow(lambda b: segments(b, least, hot_from), f"kind tinyint, key long, same long, id {kind}, a int, nv int")
+    n = shuffle_partitions(rows.sparkSession)
+    kind = rows.schema["id"].dataType.simpleString()
+    found = rows.select("id", "text").mapInArrow(lambda b: segments(b, least, hot_from), f"kind tinyint, key long, same long, id {kind}, a int, nv int")
     # settled rows only pass through, so they go anywhere; segments of hot keys need only meet their equals
     place = F.when(F.col("kind") == SETTLED, F.xxhash64("id", "a")).when(F.col("kind") == HOT, F.xxhash64("key", "same")).otherwise(F.col("key"))
     dealt = found.repartition(n, place)
     marks = dealt.sortWithinPartitions("kind", "key", "same", "id", F.shiftright("nv", 7), "a").mapInArrow(settle, f"kind tinyint, key long, id {kind}, a int, nv int")
     settled = marks.where(F.col("kind") == SETTLED).select("id", F.shiftright("nv", 7).alias("v"), "a", (F.col("nv").bitwiseAND(127) + (least - 1)).alias("length"))
     listed = marks.where(F.col("kind") != SETTLED).groupBy("id").agg(F.collect_list(F.struct("kind", "key", "a", "nv")).alias("found"))
-    wanted = rows.join(listed.withColumnRenamed("id", "other"), F.col("id").eqNullSafe(F.col("other")), "left").select("id", "text", "found")
-    texts = wanted.mapInArrow(lambda b: fetch(b, least), f"key long, h2 long, id {kind}, a int, v int, segment binary")
+    texts = with_lists(rows, listed).mapInArrow(lambda b: fetch(b, least), f"key long, h2 long, id {kind}, a int, v int, segment binary")
     keyed = texts.repartition(n, "key").sortWithinPartitions("key", "id", "v", "a")
     solved = keyed.mapInArrow(lambda b: unequal(b, least, most_segments), MARK_SCHEMA.format(kind=kind))
     solved = solved.repartition(n, F.when(F.col("h2") == 0, F.xxhash64("id", "a")).otherwise(F.col("h1"))).sortWithinPartitions("h1", "h2", "id", "v", "a")
     return settled.union(solved.mapInArrow(later_stretches, f"id {kind}, v int, a int, length int"))
 
 
+def with_lists(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """id, text and found first, then the other columns; found is null where the id has no list."""
+    joined = rows.join(listed.withColumnRenamed("id", "other"), F.col("id").eqNullSafe(F.col("other")), "left")
+    return joined.select("id", "text", "found", *rows.columns[2:])
+
+
+def marked(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    return with_lists(rows, marks.groupBy("id").agg(F.collect_list(F.struct("v", "a", "length")).alias("found")))
+
+
+def kept_parts(b: pa.RecordBatch) -> Iterator[tuple[bytes, list[tuple[int, int]], bytes]]:
+    """For each row of id, text and found: its bytes, the runs to remove, and what is left."""
+    lists = b.column(2)
+    first = lists.offsets.to_numpy()
+    v, a, length = (lists.values.field(i).to_numpy() for i in range(3))
+    for i, text in enumerate(strings(b.column(1))):
+        raw, own = text.encode("utf-8", "surrogatepass"), slice(first[i], first[i + 1])
+        spans, parts, at = cut_spans(raw, v[own], a[own], length[own]), [], 0
+        for x, y in spans:
+            parts.append(raw[at:x])
+            at = y
+        yield raw, spans, b"".join([*parts, raw[at:]])
+
+
 CUT = "n_bytes long, n_removed long, n_spans long, kept binary"
 
 
@@ -511,29 +544,14 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows alike in both are one document and are cut alike.  Other columns aren't read; an
     empty table gives an empty result.  With ``digest`` kept_sha256 takes the place of kept.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    marks = repeats(docs, id_col, text_col, least, most_segments, hot_from)
-    listed = marks.groupBy("id").agg(F.collect_list(F.struct("v", "a", "length")).alias("found")).withColumnRenamed("id", "other")
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    joined = rows.join(listed, F.col("id").eqNullSafe(F.col("other")), "left").select("id", "text", "found")
+    rows, _ = plain(docs.select(id_col, text_col), id_col, text_col)
+    joined = marked(rows, repeats(rows, least, most_segments, hot_from))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
 
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
-            out = []
-            lists = b.column(2)
-            first = lists.offsets.to_numpy()
-            v, a, length = (lists.values.field(i).to_numpy() for i in range(3))
-            for i, text in enumerate(strings(b.column(1))):
-                raw = text.encode("utf-8", "surrogatepass")
-                spans = cut_spans(raw, v[first[i] : first[i + 1]], a[first[i] : first[i + 1]], length[first[i] : first[i + 1]])
-                kept, at = [], 0
-                for x, y in spans:
-                    kept.append(raw[at:x])
-                    at = y
-                rest = b"".join([*kept, raw[at:]])
-                out.append((len(raw), len(raw) - len(rest), len(spans), sha256(rest).hexdigest() if digest else rest))
+            out = [(len(raw), len(raw) - len(rest), len(spans), sha256(rest).hexdigest() if digest else rest) for raw, spans, rest in kept_parts(b)]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string() if digest else pa.binary()]
             names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept"]
             return pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names)
@@ -541,39 +559,29 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         yield from map_slices(batches, "text", work)
 
     schema = CUT.replace("kept binary", "kept_sha256 string") if digest else CUT
+    kind = rows.schema["id"].dataType.simpleString()
     return joined.mapInArrow(run, f"id {kind}, {schema}").withColumnRenamed("id", id_col)
 
 
-def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 100, most_segments: int = 4096) -> DataFrame:
+def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 100, most_segments: int = 4096, hot_from: int = 16) -> DataFrame:
     """``docs`` with all rows and columns, repeats removed from the text as by :func:`without_repeats`.
 
     What a cut leaves of a character is removed with it, so texts stay valid; null texts stay null.
     """
-    listed = repeats(docs, id_col, text_col, least, most_segments).groupBy("id").agg(F.collect_list(F.struct("v", "a", "length")).alias("__found"))
-    listed = listed.withColumnRenamed("id", "__id")
-    joined = docs.join(listed, docs[id_col].eqNullSafe(F.col("__id")), "left").select(*docs.columns, "__found")
+    rows, others = plain(docs, id_col, text_col)
+    names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
-            found = b.column("__found")
-            first = found.offsets.to_numpy()
-            v, a, length = (found.values.field(i).to_numpy() for i in range(3))
-            texts = b.column(text_col).to_pylist()
-            for i, text in enumerate(texts):
-                if not text or first[i] == first[i + 1]:
-                    continue
-                raw, kept, at = text.encode("utf-8", "surrogatepass"), [], 0
-                own = slice(first[i], first[i + 1])
-                for x, y in cut_spans(raw, v[own], a[own], length[own]):
-                    kept.append(raw[at:x])
-                    at = y
-                texts[i] = b"".join([*kept, raw[at:]]).decode("utf-8", "ignore")
-            names = b.schema.names[:-1]
-            return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else b.column(c) for c in names], names)
-
-        yield from map_slices(batches, text_col, work)
-
-    return joined.mapInArrow(run, docs.schema)
+            left = [rest.decode("utf-8", "ignore") if spans else None for _, spans, rest in kept_parts(b)]
+            text = pc.coalesce(pa.array(left, pa.string()), b.column(1).cast(pa.string()))
+            return pa.RecordBatch.from_arrays([b.column(0), text, *b.columns[3:]], names)
+
+        yield from map_slices(batches, "text", work)
+
+    out = marked(rows, repeats(rows, least, most_segments, hot_from)).mapInArrow(run, rows.schema)
+    named = out.withColumnsRenamed({"id": id_col, "text": text_col} | {f"c{i}": c for i, c in enumerate(others)})
+    return named.select(*docs.columns)
 
 
 def cut_spans(raw: bytes, v: np.ndarray, a: np.ndarray, length: np.ndarray) -> list[tuple[int, int]]:
