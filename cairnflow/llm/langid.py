@@ -96,7 +96,7 @@ class Classifier:
     def predict(self, text: str, least_margin: float, margin_from: int) -> tuple[str, float, float, bool]:
         """(language, score, margin, rejected); undetermined for a text without a letter."""
         text = letters(text)
-        if not self.langs or not text:
+        if not self.langs or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0, 0.0, True
         sizes = self.sizes(text)
         order = sorted(range(len(sizes)), key=sizes.__getitem__)

@@ -109,12 +109,12 @@ def noisy_pairs(seed, n=60):
     return [(i, " ".join(rng.choice([*passages, *words, *words]) for _ in range(rng.randrange(1, 25)))) for i in range(n)]
 
 
-@pytest.mark.parametrize("most", [3, 4096])
-def test_suffix_against_brute_force(spark, docs, odd, most):
+@pytest.mark.parametrize(("most", "hot"), [(3, 1000), (4096, 16), (4096, 2)])
+def test_suffix_against_brute_force(spark, docs, odd, most, hot):
     noise = spark.createDataFrame(noisy_pairs(1) + [(100 + k, f"{'filler ' * (k % 7)}{'a phrase that very many documents hold with ever other surroundings, ninety nine or more bytes long, yes'} {k} tail {k * 7}") for k in range(40)], "doc_id long, text string")
     for table in (docs, odd, noise, odd.limit(0)):
         want = brute_repeats(pairs_of(table))
-        got = suffix.without_repeats(table, digest=True, most_segments=most)
+        got = suffix.without_repeats(table, digest=True, most_segments=most, hot_from=hot)
         expected = sorted(((i, *want[i, t or ""]) for i, t in pairs_of(table)), key=repr)
         assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected
 
@@ -546,3 +546,17 @@ def test_queries_are_registered():
     assert [n for n in names if not any(q.startswith(n) for q in queries.queries())] == []
     assert set(queries.oracle_sql()) <= set(queries.queries())
     assert pa.__version__
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql_oracles(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("embeddings", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    got = queries.queries()[name](spark, SMALL)
+    columns = sorted(got.columns)
+    want = con.sql(queries.oracle_sql()[name])
+    assert sorted(want.columns) == columns
+    assert sorted(map(tuple, got.select(*columns).collect()), key=repr) == sorted(want.select(", ".join(columns)).fetchall(), key=repr)
