@@ -52,6 +52,17 @@ def version(data: bytes) -> int:
     return xxh3_64_intdigest(data) & ((1 << VERSION_BITS) - 1)
 
 
+def against_first(new: np.ndarray, *place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(later, alike) of rows sorted by group and place, of which ``new`` begin a group.
+
+    Later rows stand elsewhere than their group's first.  The others are its first and what is
+    alike in id, version and start: further rows of one document, which are no repeats of it.
+    """
+    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    alike = np.logical_and.reduce([p == p[first] for p in place])
+    return ~alike, alike & ~new
+
+
 def owners(data: np.ndarray, starts: np.ndarray, least: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, first start, count of starts, owner) of each segment in texts that lie end to end.
 
@@ -95,7 +106,10 @@ def owners(data: np.ndarray, starts: np.ndarray, least: int, k: int) -> tuple[np
 
 
 def segments(batches: Iterator[pa.RecordBatch], least: int, hot_from: int) -> Iterator[pa.RecordBatch]:
-    """(kind, key, same, id, a, nv): segments; those that are not first of their equals in a slice are settled."""
+    """(kind, key, same, id, a, nv): segments; those that are not first of their equals in a slice are settled.
+
+    Of rows alike in id and text the first stands for all, as marks are joined to each.
+    """
     from xxhash import xxh3_64_intdigest
 
     def work(b: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -120,8 +134,13 @@ def segments(batches: Iterator[pa.RecordBatch], least: int, hot_from: int) -> It
         at = a - starts[text]
         rank = rank_of(b.column(0))[text]
         order = np.lexsort((at, v, rank, same, key))
-        later = np.zeros(len(order), dtype=bool)
-        later[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (same[order[1:]] == same[order[:-1]])
+        key, same, v, n, at, rank, ids = key[order], same[order], v[order], n[order], at[order], rank[order], ids.take(pa.array(order))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (same[1:] != same[:-1])
+        later, alike = against_first(new, rank, v, at)
+        if alike.any():
+            key, same, v, n, at, later = (x[~alike] for x in (key, same, v, n, at, later))
+            ids = ids.filter(pa.array(~alike))
         distinct, count = np.unique(key[~later], return_counts=True)
         hot = distinct[count >= hot_from]
         kind = np.where(later, SETTLED, np.where(np.isin(key, hot), HOT, CANDIDATE)).astype(np.int8)
@@ -154,7 +173,8 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["kind", "key", "id", "a", "nv"]
     held: pa.RecordBatch | None = None  # the last first, its neighbour not yet known
     tied = False  # it has one on the left
-    last, marked = (None, None, None), None
+    last: pa.RecordBatch | None = None  # the first row of the last group of equals
+    marked = None
 
     def of_kind(rows: pa.RecordBatch, kind: int) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, kind, dtype=np.int8)), *rows.columns[1:]], names)
@@ -162,22 +182,27 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        kind, key, same = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+        prior = int(last is not None)
+        if prior:
+            b = pa.concat_batches([last, b])
+        kind, key, same, a, nv = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4, 5))
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (kind[1:] != kind[:-1]) | (key[1:] != key[:-1]) | (same[1:] != same[:-1])
+        again, alike = (x[prior:] for x in against_first(new, rank_of(b.column(3)), nv, a))
+        last = b.slice(int(np.flatnonzero(new)[-1]), 1)
+        b, kind, key, same = b.slice(prior), kind[prior:], key[prior:], same[prior:]
         marker = (same == MARKER) & (kind == CANDIDATE)
-        again = np.zeros(len(key), dtype=bool)
-        again[1:] = (kind[1:] == kind[:-1]) & (key[1:] == key[:-1]) & (same[1:] == same[:-1])
-        again[0] = last == (kind[0], key[0], same[0])
         gone = (again | (kind == SETTLED)) & ~marker
+        over = marker | alike & (kind != SETTLED)
         hot_keys = key[marker]
         hot = (kind == HOT) | (kind == CANDIDATE) & (np.isin(key, hot_keys) | (key == marked if marked is not None else False))
-        last = (kind[-1], key[-1], same[-1])
         if len(hot_keys):
             marked = hot_keys[-1]
         out = b.select(names)
-        for chosen, as_kind in ((gone, SETTLED), (hot & ~gone & ~marker, HOT)):
+        for chosen, as_kind in ((gone, SETTLED), (hot & ~gone & ~over, HOT)):
             if chosen.any():
                 yield of_kind(out.filter(pa.array(chosen)), as_kind)
-        firsts = out.filter(pa.array(~gone & ~hot & ~marker))
+        firsts = out.filter(pa.array(~gone & ~hot & ~over))
         if not firsts.num_rows:
             continue
         if held is not None:
@@ -325,7 +350,8 @@ def fetch(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
     """(key, h2, id, a, v, segment) of the candidates listed with each document.
 
     Hot ones come as single stretches, with no segment and two hashes as key and h2; those
-    that aren't first in their slice are settled: h2 is 0, and the key spreads them.
+    that aren't first in their slice are settled: h2 is 0, and the key spreads them.  Rows
+    alike in id and text are read once in a slice.
     """
     names = ["key", "h2", "id", "a", "v", "segment"]
 
@@ -334,10 +360,11 @@ def fetch(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
         return ids.take(pa.array(row)), np.array(v, dtype=np.int64), np.array(a, dtype=np.int64), list(segment), np.array(key, dtype=np.int64)
 
     def work(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        plain, hot = [], []
-        for i, (text, found) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-            if not found or not text:
+        plain, hot, read = [], [], set()
+        for i, (name, text, found) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())):
+            if not found or not text or (name, text) in read:
                 continue
+            read.add((name, text))
             raw = text.encode("utf-8", "surrogatepass")
             own = version(raw)
             for c in found:
@@ -361,7 +388,7 @@ def fetch(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
 
 
 def stretches(ids: pa.Array, v: np.ndarray, a: np.ndarray, segments: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(segment, start, two hashes) of every stretch; hashes are zero where an equal one starts earlier here."""
+    """(segment, start, two hashes) of every stretch; hashes are zero where an equal one stands earlier here, in another place."""
     from xxhash import xxh3_128_digest
 
     count = np.array([len(s) - least + 1 for s in segments])
@@ -370,10 +397,11 @@ def stretches(ids: pa.Array, v: np.ndarray, a: np.ndarray, segments: list[bytes]
     at = a[row] + step
     digest = [xxh3_128_digest(s[k : k + least]) for s in segments for k in range(len(s) - least + 1)]
     h = np.frombuffer(b"".join(digest), dtype=np.int64).reshape(-1, 2) | np.array([0, 1])  # the second is never zero
-    order = np.lexsort((places(ids, v, np.zeros_like(a))[row] + at, h[:, 1], h[:, 0]))
-    later = np.zeros(len(order), dtype=bool)
-    later[order[1:]] = (h[order[1:]] == h[order[:-1]]).all(axis=1)
-    h[later] = 0
+    place = places(ids, v, np.zeros_like(a))[row] + at
+    order = np.lexsort((place, h[:, 1], h[:, 0]))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (h[order[1:]] != h[order[:-1]]).any(axis=1)
+    h[order[against_first(new, place[order])[0]]] = 0
     return row, at, h
 
 
@@ -463,17 +491,20 @@ def unequal(batches: Iterator[pa.RecordBatch], least: int, most_segments: int) -
 
 
 def later_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks (id, v, a, length) from marks and stretches sorted by hash, id, version and start: a stretch like the one before it is a repeat."""
-    last = (0, 0)
+    """Marks (id, v, a, length) from marks and stretches sorted by hash, id, version and start: a stretch like one that stands elsewhere before it is a repeat."""
+    last: pa.RecordBatch | None = None  # the first row of the last hash
     for b in batches:
         if not b.num_rows:
             continue
-        h1, h2 = b.column(0).to_numpy(), b.column(1).to_numpy()
-        again = np.zeros(len(h1), dtype=bool)
-        again[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
-        again[0] = last == (h1[0], h2[0])
-        last = (h1[-1], h2[-1])
-        r = b.filter(pa.array(again | (h2 == 0)))
+        prior = int(last is not None)
+        if prior:
+            b = pa.concat_batches([last, b])
+        h1, h2, v, a = (b.column(i).to_numpy() for i in (0, 1, 3, 4))
+        new = np.ones(len(h1), dtype=bool)
+        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        again, _ = against_first(new, rank_of(b.column(2)), v, a)
+        last = b.slice(int(np.flatnonzero(new)[-1]), 1)
+        r = b.slice(prior).filter(pa.array((again | (h2 == 0))[prior:]))
         if r.num_rows:
             yield r.select(["id", "v", "a", "length"])
 

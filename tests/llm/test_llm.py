@@ -119,6 +119,22 @@ def test_suffix_against_brute_force(spark, docs, odd, most, hot):
         assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected
 
 
+@pytest.mark.parametrize(("most", "hot"), [(3, 1000), (4096, 16), (4096, 2)])
+def test_suffix_repeated_rows_keep_their_first_copy(spark, most, hot):
+    """Rows alike in id and text are one document, in one slice of the input and in several, with copies and parts elsewhere."""
+    rng = random.Random(11)
+    text = lambda n: " ".join(rng.choice("alpha beta gamma delta of the x".split()) + str(rng.randrange(99)) for _ in range(n))
+    own, shared, part = text(80), text(90), text(40)
+    pairs = [(1, own)] * 3 + [(None, own + "!")] * 2 + [(2, shared)] * 2 + [(3, f"{text(5)} {part} {text(9)}")] * 4 + [(4, shared)] * 2 + [(k, f"{k} {part} {text(3)} {part}") for k in range(5, 30)] * 2
+    rng.shuffle(pairs)
+    want = brute_repeats(pairs)
+    assert want[2, shared][1] == 0 and want[4, shared][1] == len(shared)
+    for slices in (1, 4):
+        table = spark.createDataFrame(pairs, "doc_id long, text string").repartition(slices)
+        got = suffix.without_repeats(table, digest=True, most_segments=most, hot_from=hot)
+        assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(((i, *want[i, t]) for i, t in pairs), key=repr)
+
+
 def test_suffix_cut_keeps_rows(odd):
     out = suffix.cut(odd)
     assert out.columns == odd.columns
