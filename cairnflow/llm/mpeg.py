@@ -152,8 +152,22 @@ def rate_table(data: bytes, at: int, h: Header) -> dict[str, int]:
     return {}
 
 
+def frames_to_end(data: bytes, at: int, like: Header) -> bool:
+    """Frames of one kind follow each other from ``at`` to the very end."""
+    while at < len(data):
+        h = header(data, at)
+        if h is None or (h.version, h.layer, h.rate) != (like.version, like.layer, like.rate):
+            return False
+        at += h.size
+    return at == len(data)
+
+
 def parse(data: bytes) -> Stream:
-    """Read a stream.  Bytes that belong to no frame count as skipped; an empty one has no frames."""
+    """Read a stream.  Bytes that belong to no frame count as skipped; an empty one has no frames.
+
+    The last 128 bytes are an ID3v1 tag if they begin with TAG, unless whole frames reach over
+    their start to the very end: then they are what the frames hold.
+    """
     s = Stream()
     at, s.tags = tags(data)
     end = len(data) - (128 if data[-128:-125] == b"TAG" and len(data) >= at + 128 else 0)
@@ -164,6 +178,8 @@ def parse(data: bytes) -> Stream:
         if h is not None and s.first is not None and (h.version, h.layer, h.rate) != (s.first.version, s.first.layer, s.first.rate):
             h = None
         after = at + h.size if h is not None else 0
+        if after > end and end < len(data) and frames_to_end(data, after, h):
+            end = len(data)
         # out of step, a header counts only if another follows where it says, or the stream ends there
         if h is None or after > end or not synced and after < end and header(data, after) is None:
             nxt = data.find(b"\xff", at + 1, end)

@@ -527,6 +527,21 @@ def test_mpeg_resync_and_checksums():
     assert mpeg.header(bytes([0xFF, 0xFD, 0xA4, 0x00]), 0).samples == 1152
 
 
+def test_mpeg_text_that_looks_like_a_tag(spark):
+    """TAG at byte 521 of the last unit is 128 bytes from the end, where an ID3v1 tag would begin."""
+    text = "x" * 521 + "TAG" + "x" * 52
+    for payload in (text.encode(), b"y" * 1152 + text.encode()):
+        media = mpeg.store(payload)
+        for tag in (b"", b"TAG" + bytes(125)):
+            s = mpeg.parse(media + tag)
+            assert (s.frames, s.skipped, s.bad) == (len(payload) // 576, 0, 0)
+            assert mpeg.read_back(media + tag, s) == payload
+        for short in (1, 100, 300):  # a last frame that is cut off, then a tag
+            assert mpeg.parse(media[:-short] + b"TAG" + bytes(125)).frames == len(payload) // 576 - 1
+    got = mpeg.digests(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (got["payload_bytes"], got["payload_sha256"]) == (576, hashlib.sha256(text.encode()).hexdigest())
+
+
 # -- the pipeline -------------------------------------------------------------------------
 
 
