@@ -1,11 +1,12 @@
 """Secret scans in native DataFrame functions: patterns, and sliding-window Shannon entropy.
 
 Base kinds are patterns.  The method adds spans: candidate strings (long runs of token
-characters) belong to a character class, hexadecimal or base64; a window slides over each,
+characters) belong to a character class: hexadecimal of one or both cases, base64, or digits
+with letters of one case; a window slides over each,
 its character counts are updated by the one that enters and the one that leaves, and with
 them the sum of c * log2(c), so the window's entropy costs the same at every step.  Windows
 at or above the class's threshold are joined to spans.  Candidates on the allow-list are
-suppressed, and so are entropy spans that a base span covers.
+suppressed, and so are windows that hold a placeholder, and entropy spans that a base span covers.
 
 Everything is one projection over the input: no shuffle, no Python.  Positions are code
 points, end exclusive.
@@ -26,16 +27,21 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 0, 16),
     ("hex", r"[0-9a-f]{32,}", 0, 32),  # a run of 32 or more is what a run of any length, then held to 32, gives
 )
-CANDIDATE = r"[A-Za-z0-9+/_=-]{24,}"
+#: Words of made-up values.  No candidate holds one whole, so just the windows around it are left out.
+PLACEHOLDER = r"(?i:example|sample|placeholder|changeme|dummy|xxxx|0000)"
+#: An equals sign ends a candidate, as padding or before a value.
+CANDIDATE = rf"(?:(?!{PLACEHOLDER})[A-Za-z0-9+/_-]){{24,}}+={{0,2}}"
 #: (kind, whole-string pattern, window, least bits a character); the first class that fits counts.
 CLASSES = (
-    ("entropy_hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", 24, 3.0),
+    ("entropy_hex", r"^(?:[0-9a-f]+|[0-9A-F]+)={0,2}$", 24, 3.0),
+    ("entropy_mixed_hex", r"^[0-9a-fA-F]+={0,2}$", 24, 3.3),
     ("entropy_base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_=-]+$", 24, 3.9),
+    ("entropy_lower", r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9+/_=-]+$", 24, 3.7),
+    ("entropy_upper", r"^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9+/_=-]+$", 24, 3.6),
 )
-#: Candidates that fit one of these are no secrets: identifiers in UUID form, placeholders, plain numbers, words joined by hyphens or slashes.
+#: Candidates that fit one of these are no secrets: identifiers in UUID form, plain numbers, words joined by hyphens or slashes.
 ALLOW = (
     r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"(?i:example|sample|placeholder|changeme|dummy|xxxx|0000)",
     r"^[0-9=_-]+$",
     r"^[A-Za-z]+(?:[/_-]+[A-Za-z]+)*$",
 )

@@ -460,6 +460,22 @@ def test_secrets_against_brute_force(spark, docs, odd):
     assert "Exchange" not in plan and "Python" not in plan
 
 
+def test_secrets_of_every_alphabet(spark):
+    """Random keys of one case with digits and of mixed hexadecimal, values after an equals sign, a placeholder beside a key."""
+    rng = random.Random(12)
+    token = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    b64 = low + low.upper() + digits
+    makes = [("entropy_lower", lambda: token(40, low + digits)), ("entropy_upper", lambda: token(40, low.upper() + "234567")), ("entropy_mixed_hex", lambda: token(40, digits + "abcdefABCDEF"))]
+    makes += [("entropy_hex", lambda: "a_long_name_of_an_api_id=" + token(32, digits + "ABCDEF")), ("entropy_base64", lambda: "sample" + token(60, b64)), ("entropy_base64", lambda: token(60, b64) + "0000" + token(60, b64))]
+    table = spark.createDataFrame([(k * 100 + i, make()) for k, (_, make) in enumerate(makes) for i in range(50)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.report(table).collect()}
+    for k, (kind, _) in enumerate(makes):
+        assert sum(f"{kind}:" in got[k * 100 + i] for i in range(50)) >= 49, kind
+    plain = ["sample" + "ab1" * 4 + "example" + "cd2" * 4, "g1" * 20_000, "word" * 30 + "2024"]
+    assert [r["spans"] for r in secrets.report(spark.createDataFrame([(0, t) for t in plain], "doc_id long, text string")).collect()] == [""] * 3
+
+
 def test_secrets_redact(spark, odd):
     rows = spark.createDataFrame([(1, "a token = abcdefgh12 b"), (2, None), (3, "plain"), (4, "x " + "0123456789abcdef" * 2)], "doc_id long, text string")
     assert [r["text"] for r in secrets.redact(rows).orderBy("doc_id").collect()] == ["a [assign] b", None, "plain", "x [hex]"]
