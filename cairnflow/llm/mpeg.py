@@ -1,9 +1,9 @@
 """MPEG audio columns: frames, tags, variable-bitrate tables, checksums, durations, seek offsets.
 
-``parse`` reads any MPEG-1/2/2.5 stream of layers I to III: it skips ID3v2 and ID3v1 tags,
-resynchronises on frame headers (two in a row must agree), reads Xing/Info and VBRI tables,
-verifies the CRC-16 of protected frames, and gives the exact duration (samples over the
-sampling rate) with the byte offset of every frame.  ``store`` writes bytes losslessly into
+``parse`` reads any MPEG-1/2/2.5 stream of layers I to III: it reads ID3v2 (2.2 to 2.4) and
+ID3v1 tags, resynchronises on frame headers (two in a row must agree), reads Xing/Info and VBRI
+tables, verifies the CRC-16 of protected frames of every layer, and gives the exact duration
+(samples over the sampling rate) with the byte offset of every frame.  ``store`` writes bytes losslessly into
 such a stream: silent layer III frames whose ancillary data, the part after empty granules,
 holds 576 payload bytes each.
 """
@@ -32,6 +32,14 @@ BITRATES = {
 }
 RATES = {1: (44100, 48000, 32000), 2: (22050, 24000, 16000), 2.5: (11025, 12000, 8000)}
 VERSIONS = {0: 2.5, 2: 2, 3: 1}
+# Bits of a layer II subband's allocation, as (subbands, bits) runs, by table.
+ALLOCATIONS = {
+    "a": ((11, 4), (12, 3), (4, 2)),
+    "b": ((11, 4), (12, 3), (7, 2)),
+    "c": ((2, 4), (6, 3)),
+    "d": ((2, 4), (10, 3)),
+    "lsf": ((4, 4), (7, 3), (19, 2)),
+}
 
 
 @dataclass
@@ -44,6 +52,11 @@ class Header:
     channels: int
     size: int
     samples: int
+    bound: int = 32  # subbands below it have an allocation for each channel
+
+    def agrees(self, other: Header | None) -> bool:
+        """Frames of one stream: what can't change from frame to frame is the same."""
+        return other is not None and (self.version, self.layer, self.rate) == (other.version, other.layer, other.rate)
 
     @property
     def side_bytes(self) -> int:
@@ -63,7 +76,8 @@ def header(data: bytes, at: int) -> Header | None:
     samples = 384 if layer == 1 else 576 if layer == 3 and version != 1 else 1152
     pad = b2 >> 1 & 1
     size = (12 * bitrate // rate + pad) * 4 if layer == 1 else samples // 8 * bitrate // rate + pad
-    return Header(version, layer, not b1 & 1, bitrate, rate, 1 if b3 >> 6 == 3 else 2, size, samples)
+    bound = 4 * (b3 >> 4 & 3) + 4 if b3 >> 6 == 1 else 32
+    return Header(version, layer, not b1 & 1, bitrate, rate, 1 if b3 >> 6 == 3 else 2, size, samples, bound)
 
 
 def crc_table() -> np.ndarray:
@@ -85,6 +99,40 @@ def crc16(rows: np.ndarray) -> np.ndarray:
     return crc
 
 
+def allocation_bits(h: Header) -> list[int]:
+    """Bits of each subband's allocation in a frame of layer I or II."""
+    if h.layer == 1:
+        return [4] * 32
+    each = h.bitrate // h.channels // 1000
+    if h.version != 1:
+        name = "lsf"
+    elif each <= 48:
+        name = "d" if h.rate == 32000 else "c"
+    else:
+        name = "a" if each <= 80 or h.rate == 48000 else "b"
+    return [bits for count, bits in ALLOCATIONS[name] for _ in range(count)]
+
+
+def checksum_holds(frame: bytes, h: Header) -> bool:
+    """Whether a protected frame of layer I or II has the CRC-16 of its header's end, allocations and, in layer II, selectors."""
+    value, total, at = int.from_bytes(frame[6:], "big"), 8 * (len(frame) - 6), 0
+    taken = chosen = 0
+    for band, width in enumerate(allocation_bits(h)):
+        shared = band >= h.bound
+        for _ in range(1 if shared else h.channels):
+            used = value >> max(0, total - at - width) & ((1 << width) - 1)
+            chosen += (h.channels if shared else 1) * bool(used)
+            at += width
+    taken = at + (2 * chosen if h.layer == 2 else 0)
+    if taken > total:
+        return False
+    crc = 0xFFFF
+    bits = int.from_bytes(frame[2:4], "big") << taken | value >> total - taken
+    for k in range(16 + taken - 1, -1, -1):
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if (crc >> 15) ^ (bits >> k & 1) else 0)
+    return crc == int.from_bytes(frame[4:6], "big")
+
+
 @dataclass
 class Stream:
     """What a parse found; offsets are those of audio frames, without the table's frame."""
@@ -121,17 +169,29 @@ def tags(data: bytes) -> tuple[int, dict[str, str]]:
     while data[at : at + 3] == b"ID3" and len(data) >= at + 10:
         major, flags, end = data[at + 3], data[at + 5], at + 10 + syncsafe(data[at + 6 : at + 10])
         p = at + 10
-        while major >= 3 and p + 10 <= end and data[p : p + 1].isalpha():
-            name = data[p : p + 4].decode("latin-1")
-            size = syncsafe(data[p + 4 : p + 8]) if major == 4 else int.from_bytes(data[p + 4 : p + 8], "big")
-            body = data[p + 10 : min(end, p + 10 + size)]
+        label, head = (3, 6) if major == 2 else (4, 10)  # bytes of a frame's name, and of its header
+        while major >= 2 and p + head <= end and data[p : p + 1].isalpha():
+            name = data[p : p + label].decode("latin-1")
+            stated = data[p + label : p + 2 * label]
+            size = syncsafe(stated) if major == 4 and len(stated) == 4 else int.from_bytes(stated, "big")
+            body = data[p + head : min(end, p + head + size)]
             if name[0] == "T" and body:
                 found[name] = body[1:].decode({1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0], "latin-1"), "replace").rstrip("\0")
-            p += 10 + size
+            p += head + size
         at = end + (10 if flags & 0x10 else 0)
     return min(at, len(data)), found
 
 
+def last_tag(data: bytes) -> dict[str, str]:
+    """Fields of the ID3v1 tag in the last 128 bytes, those that aren't empty."""
+    b = data[-128:]
+    text = lambda x: x.split(b"\0")[0].decode("latin-1").rstrip()
+    out = {"title": text(b[3:33]), "artist": text(b[33:63]), "album": text(b[63:93]), "year": text(b[93:97]), "comment": text(b[97:127])}
+    if b[125] == 0 and b[126]:
+        out["track"] = str(b[126])
+    return {f"v1.{k}": v for k, v in out.items() if v} | {"v1.genre": str(b[127])}
+
+
 def rate_table(data: bytes, at: int, h: Header) -> dict[str, int]:
     """Fields of a Xing, Info or VBRI table in the frame at ``at``; empty if it has none."""
     p = at + 4 + 2 * h.protected + h.side_bytes
@@ -148,7 +208,9 @@ def rate_table(data: bytes, at: int, h: Header) -> dict[str, int]:
         return out
     p = at + 36
     if h.layer == 3 and data[p : p + 4] == b"VBRI":
-        return {"kind": "VBRI", "bytes": int.from_bytes(data[p + 10 : p + 14], "big"), "frames": int.from_bytes(data[p + 14 : p + 18], "big")}
+        count, scale, width, step = struct.unpack(">4H", data[p + 18 : p + 26].ljust(8, b"\0"))
+        entries = [int.from_bytes(data[p + 26 + k * width : p + 26 + (k + 1) * width], "big") * scale for k in range(count)]
+        return {"kind": "VBRI", "bytes": int.from_bytes(data[p + 10 : p + 14], "big"), "frames": int.from_bytes(data[p + 14 : p + 18], "big"), "toc": entries, "step": step}
     return {}
 
 
@@ -156,7 +218,7 @@ def frames_to_end(data: bytes, at: int, like: Header) -> bool:
     """Frames of one kind follow each other from ``at`` to the very end."""
     while at < len(data):
         h = header(data, at)
-        if h is None or (h.version, h.layer, h.rate) != (like.version, like.layer, like.rate):
+        if not like.agrees(h):
             return False
         at += h.size
     return at == len(data)
@@ -165,23 +227,26 @@ def frames_to_end(data: bytes, at: int, like: Header) -> bool:
 def parse(data: bytes) -> Stream:
     """Read a stream.  Bytes that belong to no frame count as skipped; an empty one has no frames.
 
+    Out of step, a header counts if one that agrees with it stands where its frame ends, or if
+    the stream ends there.
+
     The last 128 bytes are an ID3v1 tag if they begin with TAG, unless whole frames reach over
     their start to the very end: then they are what the frames hold.
     """
     s = Stream()
     at, s.tags = tags(data)
     end = len(data) - (128 if data[-128:-125] == b"TAG" and len(data) >= at + 128 else 0)
+    held = end < len(data)  # what may be an ID3v1 tag
     synced = False
     protected: dict[int, list[int]] = {}  # offsets of protected layer III frames by header and side bytes
     while at < end:
         h = header(data, at)
-        if h is not None and s.first is not None and (h.version, h.layer, h.rate) != (s.first.version, s.first.layer, s.first.rate):
+        if s.first is not None and not s.first.agrees(h):
             h = None
         after = at + h.size if h is not None else 0
         if after > end and end < len(data) and frames_to_end(data, after, h):
             end = len(data)
-        # out of step, a header counts only if another follows where it says, or the stream ends there
-        if h is None or after > end or not synced and after < end and header(data, after) is None:
+        if h is None or after > end or not synced and after < end and not h.agrees(header(data, after)):
             nxt = data.find(b"\xff", at + 1, end)
             nxt = end if nxt < 0 else nxt
             s.skipped += nxt - at
@@ -198,8 +263,13 @@ def parse(data: bytes) -> Stream:
         s.samples += h.samples
         if h.protected and h.layer == 3:
             protected.setdefault(h.side_bytes, []).append(at)
+        elif h.protected:
+            s.checked += 1
+            s.bad += not checksum_holds(data[at:after], h)
         at = after
     s.frames = len(s.offsets)
+    if held and end < len(data):
+        s.tags |= last_tag(data)
     raw = np.frombuffer(data, dtype=np.uint8)
     for side, where in protected.items():
         # the checksum covers the header's last two bytes and the side information
@@ -253,21 +323,30 @@ def read_back(data: bytes, s: Stream) -> bytes:
     return b"".join(data[o + BODY : o + BODY + UNIT] for o in s.offsets)
 
 
+def runs(offsets: list[int]) -> str:
+    """All offsets, exactly: the first, then the distances, each with how often it comes in a row."""
+    if not offsets:
+        return ""
+    step = np.diff(np.array(offsets, dtype=np.int64))
+    edges = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(step)] if len(step) else [0]
+    return "+".join([str(offsets[0]), *(f"{step[a]}*{z - a}" for a, z in zip(edges, edges[1:]))])
+
+
 def feature(s: Stream) -> str:
     """A stream's features as one string."""
     d = s.duration
-    at = [s.seek(d * k / 4) for k in range(4)]
     h = s.first
     kind = f"mpeg{h.version:g}-layer{h.layer};{h.rate}Hz;{h.channels}ch;{h.bitrate}bps" if h else "none"
     table = f"{s.table.get('kind', '-')}:{s.table.get('frames', 0)}:{s.table.get('bytes', 0)}"
-    return f"{kind};frames={s.frames};samples={s.samples};duration={d.numerator}/{d.denominator};table={table};crc={s.checked - s.bad}/{s.checked};skipped={s.skipped};seek={','.join(map(str, at))};tags={','.join(f'{k}={v}' for k, v in sorted(s.tags.items()))}"
+    return f"{kind};frames={s.frames};samples={s.samples};duration={d.numerator}/{d.denominator};table={table};crc={s.checked - s.bad}/{s.checked};skipped={s.skipped};seek={runs(s.offsets)};tags={','.join(f'{k}={v}' for k, v in sorted(s.tags.items()))}"
 
 
 def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col``, n_bytes and media, the stream that stores the text's UTF-8.
 
     Null texts count as empty (576 bytes of padding); ids may be null or repeated; other
-    columns aren't read; an empty table gives an empty result.
+    columns aren't read; an empty table gives an empty result.  A text of any length is stored
+    whole, in time and memory in proportion to its length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +369,8 @@ def parse_column(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
     """One row per input row: what :func:`parse` finds in ``media_col``.
 
     The duration is the exact fraction duration_num / duration_den in seconds; seek_offsets
-    has the byte offset of every audio frame.  A null or foreign value has no frames.
+    has the byte offset of every audio frame.  A null or foreign value has no frames.  A stream
+    of any length is read whole, in linear time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +401,7 @@ DIGESTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 l
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store each text, read the stored bytes back and compute features, in one pass; nulls and repeats as in :func:`encode_column`."""
+    """Store each text, read the stored bytes back and compute features, in one pass; nulls, repeats and long texts as in :func:`encode_column`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
