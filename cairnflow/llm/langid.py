@@ -1,14 +1,18 @@
 """Language identification by compression.
 
 For each language a raw-content zstandard dictionary is filled with the words that texts of
-that language share, taken from a bounded sample of labelled rows.  A text, its words in lower case, is compressed with every dictionary; the
-language whose dictionary gives the smallest result is chosen.  The margin between the best
-and the second, as a share of the second, is the score's base; a text whose margin is
-narrower than ``least_margin`` is rejected.
+that language share, taken from a bounded sample of labelled rows.  A text, its words in
+lower case, is cut into windows of one size, the last one filled up from the text's start;
+each window is compressed with every dictionary, and the language with the smallest sum is
+chosen.  A window's margin is what the chosen language saves against the best other one in
+that window, as a share of it; the mean over the windows is the text's margin, the score's
+base, and a text whose margin is narrower than ``least_margin`` is rejected.  As every window
+meets the bare dictionary, the margin of a text in one language is the same whatever its
+length; in a text of two languages the windows speak against each other.
 
 The dictionaries are the only state: at most ``most_langs`` times ``dict_bytes``, so they
 are sent to the executors whatever the size of the corpus.  Prediction is one pass, without
-a shuffle, over whole texts.
+a shuffle, over whole texts, in linear time.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,21 +29,21 @@ from pyspark.sql import functions as F
 from .common import map_slices, strings
 
 UNDETERMINED = "und"
+#: Characters of a window.
+WINDOW = 512
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", dict_bytes: int = 96 << 10, slots: int = 512, row_chars: int = 1000, most_langs: int = 64) -> dict[str, bytes]:
     """Dictionaries by language from a bounded sample: text hashes are dealt to ``slots``
     slots, and for each language the text with the smallest hash of each slot counts, with
-    ``row_chars`` characters of each, up to ``dict_bytes`` in all.  Null labels or texts are left out; more than
-    ``most_langs`` languages raise ValueError; without labelled rows there are none.  The
-    dictionaries are in the order of the languages' counts of rows, the most frequent first.
+    ``row_chars`` characters of each from a place that its hash chooses, up to ``dict_bytes``
+    in all.  Null labels or texts are left out; more than ``most_langs`` languages raise
+    ValueError; without labelled rows there are none.  The dictionaries are in the order of
+    the languages' counts of rows, the most frequent first.
     """
-    sample = (
-        labelled.select(labelled[lang_col].cast("string").alias("lang"), labelled[text_col].alias("text"))
-        .where("lang is not null and length(text) > 0")
-        .select("lang", F.substring("text", 1, row_chars).alias("text"))
-        .withColumn("h", F.xxhash64("text"))
-    )
+    hashed = labelled.select(labelled[lang_col].cast("string").alias("lang"), labelled[text_col].alias("text")).where("lang is not null and length(text) > 0").withColumn("h", F.xxhash64("text"))
+    first = F.pmod(F.col("h"), F.greatest(F.length("text") - row_chars + 1, F.lit(1))).cast("int") + 1
+    sample = hashed.select("lang", "h", F.substring("text", first, F.lit(row_chars)).alias("text"))
     counts = sample.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs + 1)
     langs = [r["lang"] for r in counts.collect()]
     if len(langs) > most_langs:
@@ -66,44 +71,41 @@ def dictionary(texts: list[str], most_bytes: int) -> bytes:
 class Classifier:
     """Compresses with each dictionary; made once in each worker."""
 
-    def __init__(self, dictionaries: dict[str, bytes], level: int = 6, short: int = 300):
+    def __init__(self, dictionaries: dict[str, bytes], level: int = 6):
         import zstandard as zstd
 
-        self.langs, self.short = list(dictionaries), short
-        # short texts are searched for the shortest matches too
-        self.tools, self.close = (
-            [self.tool(d, zstd.ZstdCompressionParameters.from_level(how, write_content_size=0, write_dict_id=0, **more)) for d in dictionaries.values()]
-            for how, more in ((level, {}), (19, {"min_match": 3}))
-        )
+        self.langs = list(dictionaries)
+        how = zstd.ZstdCompressionParameters.from_level(level, write_content_size=0, write_dict_id=0)
+        self.tools = []
+        for content in dictionaries.values():
+            d = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(compression_params=how)
+            self.tools.append(zstd.ZstdCompressor(dict_data=d, compression_params=how))
         self.frame = len(zstd.ZstdCompressor(level=level, write_content_size=False).compress(b""))
 
-    @staticmethod
-    def tool(dictionary: bytes, parameters):
-        import zstandard as zstd
-
-        d = zstd.ZstdCompressionDict(dictionary, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(compression_params=parameters)
-        return zstd.ZstdCompressor(dict_data=d, compression_params=parameters)
+    def sizes(self, text: str) -> np.ndarray:
+        """Compressed sizes, less the frame, of each window (row) by language (column)."""
+        found = [w.encode("utf-8", "replace") for w in windows(text)]
+        return np.array([[len(t.compress(w)) for w in found] for t in self.tools]).T - self.frame
 
-    def sizes(self, text: str) -> list[int]:
-        """Compressed sizes, less the frame, in the order of the languages."""
-        data = f" {text} ".encode("utf-8", "replace")
-        short = len(data) < self.short
-        # repeated, as zstandard stores as it is, alike for every language, what it can't make much smaller
-        data *= 4 if short else 2 if len(data) < 10 * self.short else 1
-        return [max(1, len(t.compress(data)) - self.frame) for t in (self.close if short else self.tools)]
-
-    def predict(self, text: str, least_margin: float, margin_from: int) -> tuple[str, float, float, bool]:
+    def predict(self, text: str, least_margin: float) -> tuple[str, float, float, bool]:
         """(language, score, margin, rejected); undetermined for a text without a letter."""
         text = letters(text)
         if not self.langs or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0, 0.0, True
         sizes = self.sizes(text)
-        order = sorted(range(len(sizes)), key=sizes.__getitem__)
-        best = sizes[order[0]]
-        second = sizes[order[1]] if len(order) > 1 else 2 * best
-        margin = (second - best) / second
-        return self.langs[order[0]], min(1.0, 0.5 + 2 * margin), margin, len(text) >= margin_from and margin < least_margin
+        best = int(sizes.sum(axis=0).argmin())
+        others = np.delete(sizes, best, axis=1).min(axis=1) if len(self.langs) > 1 else 2 * sizes[:, best]
+        margin = float(((others - sizes[:, best]) / others).mean())
+        return self.langs[best], min(1.0, max(0.0, 0.5 + 2 * margin)), margin, margin < least_margin
+
+
+def windows(text: str, size: int = WINDOW) -> list[str]:
+    """The text in windows of ``size`` characters; it goes on from its start until the last one is full."""
+    count = -(-len(text) // size)
+    again = text + " "
+    filled = text + " " + again * (size // len(again) + 1)
+    return [filled[k * size : (k + 1) * size] for k in range(count)]
 
 
 #: Runs of anything but letters.
@@ -118,22 +120,22 @@ def letters(text: str) -> str:
     return OTHER.sub(" ", text.lower()).strip()
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", least_margin: float = 0.01, margin_from: int = 200, keep: tuple[str, ...] = ()) -> DataFrame:
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", least_margin: float = 0.03, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: ``id_col``, lang_pred, score (0 to 1), margin and rejected.
 
     lang_pred is the language of the smallest compressed size, ``und`` for a null text or
-    one without a letter; ties go to the language with more labelled rows, with margin 0.  rejected
-    is true for ``und``, and for texts of at least ``margin_from`` characters of words with
-    margins below ``least_margin`` (in a shorter text one byte is too large a part).  Ids
-    may be null or repeated; of other columns only ``keep`` are carried along; an empty table gives an
-    empty result; without dictionaries every text is ``und``.
+    one without a letter; ties go to the language with more labelled rows, with margin 0.
+    rejected is true for ``und``, and for texts with margins below ``least_margin``, in a very
+    short text ties.  A very long text is read whole, window by window, and its length doesn't
+    change its margin.  Ids may be null or repeated; of other columns only ``keep`` are carried
+    along; an empty table gives an empty result; without dictionaries every text is ``und``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(dictionaries)
 
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
-            lang, score, margin, rejected = zip(*(classifier.predict(t, least_margin, margin_from) for t in strings(b.column(1))))
+            lang, score, margin, rejected = zip(*(classifier.predict(t, least_margin) for t in strings(b.column(1))))
             added = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array(rejected, pa.bool_())]
             return pa.RecordBatch.from_arrays([b.column(0), *added, *b.columns[2:]], ["id", "lang_pred", "score", "margin", "rejected", *(f"k{i}" for i in range(len(keep)))])
 
@@ -146,14 +148,18 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_
     return out.withColumnsRenamed({"id": id_col} | {f"k{i}": c for i, c in enumerate(keep)})
 
 
-def accepted(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", least_margin: float = 0.01, margin_from: int = 200) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text :func:`predict` doesn't reject."""
+def accepted(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", least_margin: float = 0.03) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text :func:`predict` doesn't reject.
+
+    Without dictionaries there is nothing to tell languages by, and all texts with letters stay.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(dictionaries)
 
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
-            kept = [not classifier.predict(t, least_margin, margin_from)[3] for t in strings(b.column(text_col))]
+            texts = strings(b.column(text_col))
+            kept = [not classifier.predict(t, least_margin)[3] for t in texts] if dictionaries else [any(map(str.isalpha, t)) for t in texts]
             return b.filter(pa.array(kept, pa.bool_()))
 
         yield from map_slices(batches, text_col, work)
