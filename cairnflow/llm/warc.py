@@ -4,13 +4,16 @@
 records and makes of each a metadata record and a conversion record.  Both refer to the
 response by its identifier, share its target and date, carry over its other source headers
 with the prefix ``WARC-Source-`` and the digests of its block and payload, and have digests
-of their own.  Identifiers are made from content, so a task that runs again makes the same.
-One pass, no shuffle.
+of their own.  Transfer and content encodings are undone first; a payload that isn't text
+(an image, say) gets a metadata record alone.  Identifiers are made from content, so a task
+that runs again makes the same.  One pass, no shuffle; text is taken out in linear time.
 """
 
 from __future__ import annotations
 
+import gzip
 import re
+import zlib
 from base64 import b32encode
 from collections.abc import Iterator
 from hashlib import sha1
@@ -19,18 +22,25 @@ from uuid import UUID
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import map_slices, strings
 
 VERSION = b"WARC/1.1"
 #: Headers of a record that its derivatives state under their own names.
 OWN = {"warc-type", "warc-record-id", "content-length", "content-type", "warc-date", "warc-target-uri", "warc-block-digest", "warc-payload-digest"}
-HIDDEN = re.compile(r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->")
-BLOCK = re.compile(r"(?i)</?(?:p|div|br|hr|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|blockquote|pre|title|head|body)\b[^>]*>")
-TAG = re.compile(r"<[^>]*>")
-TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")
-LINK = re.compile(r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']""")
+#: Elements whose content isn't shown, and those whose content has no tags.
+HIDDEN, BARE = ("script", "style"), ("title", "textarea")
+BLOCKS = frozenset("p div br hr li ul ol h1 h2 h3 h4 h5 h6 tr table article section nav header footer blockquote pre title head body".split())
+NAME = re.compile(r"/?[A-Za-z][^\s/>]*")
+#: In a tag: its end, or the quote that opens a value.
+STOP = re.compile(r""">|=\s*["']""")
+HREF = re.compile(r"""(?i)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
 SPACE = re.compile(r"[ \t\r\f\v]+")
+CHARSET = re.compile(rb"(?i)charset\s*=\s*[\"']?([\w.:-]+)")
+#: What has text to convert, besides all of text/*.
+TEXTUAL = re.compile(r"(?i)^\s*(?:text/|application/(?:xhtml\+xml|xml|json|javascript|[\w.-]+\+(?:xml|json))\b)")
+MARKUP = re.compile(r"(?i)html|xml")
 
 
 def digest(data: bytes) -> str:
@@ -80,11 +90,147 @@ def value_of(headers: list[tuple[str, str]], name: str) -> str | None:
     return next((v for k, v in headers if k.lower() == name.lower()), None)
 
 
+class Page:
+    """What one pass over a page's markup finds: its text, title and links.
+
+    Tags are told from text as browsers do: ``<`` before a letter or a slash and a letter opens
+    a tag, which ends at the first ``>`` outside quoted values; ``<!`` and ``<?`` open comments.
+    What never ends hides the rest.  No place is searched twice for the same end, so time is
+    linear whatever the page holds.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.none = html, set()  # ends that don't come any more
+        self.lower = html.translate(LOWER)
+        self.parts: list[str] = []
+        self.links: list[str] = []
+        self.title: str | None = None
+        at = 0
+        while at < len(html):
+            k = html.find("<", at)
+            if k < 0:
+                self.parts.append(unescape(html[at:]))
+                break
+            if k > at:
+                self.parts.append(unescape(html[at:k]))
+            at = self.markup(k)
+
+    def after(self, end: str, at: int) -> int:
+        """Past the next ``end`` from ``at`` on; past the page's end if there is none."""
+        k = -1 if end in self.none else self.lower.find(end, at)
+        if k < 0:
+            self.none.add(end)
+            return len(self.html)
+        return k + len(end)
+
+    def markup(self, at: int) -> int:
+        """Reads what ``<`` at a place opens; gives the place after it."""
+        html = self.html
+        if html.startswith("<!--", at):
+            return self.after("-->", at + 4)
+        name = NAME.match(html, at + 1)
+        if name is None:
+            if html[at + 1 : at + 2] in ("!", "?"):
+                return self.after(">", at + 2)
+            self.parts.append("<")
+            return at + 1
+        tag, end = self.lower[name.start() : name.end()], name.end()
+        while True:
+            stop = STOP.search(html, end)
+            if stop is None:
+                return len(html)
+            end = stop.end()
+            if stop[0] == ">":
+                break
+            end = self.after(stop[0][-1], end)
+        if tag.removeprefix("/") in BLOCKS:
+            self.parts.append("\n")
+        if tag == "a":
+            link = HREF.search(html, name.end(), end)
+            if link:
+                self.links.append(unescape(next(x for x in link.groups() if x is not None)))
+        if tag not in HIDDEN + BARE:
+            return end
+        close = self.after(f"</{tag}", end)
+        past = self.after(">", close)
+        if tag in BARE:
+            inside = unescape(html[end : close - len(tag) - 2] if f"</{tag}" not in self.none else html[end:])
+            self.parts.append(inside)
+            if tag == "title":
+                self.parts.append("\n")
+                self.title = inside if self.title is None else self.title
+        return past
+
+    def text(self) -> str:
+        """What a reader sees: a line for each block, without blank lines."""
+        return tidy("".join(self.parts))
+
+
+LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+
+
+def tidy(text: str) -> str:
+    lines = (SPACE.sub(" ", line).strip() for line in text.replace("\xa0", " ").split("\n"))
+    return "\n".join(x for x in lines if x)
+
+
 def plain_text(html: str) -> str:
     """What a reader sees: no scripts, styles, comments or tags; a line for each block, without blank lines."""
-    text = TAG.sub("", BLOCK.sub("\n", HIDDEN.sub(" ", html)))
-    lines = (SPACE.sub(" ", line).strip() for line in unescape(text).replace("\xa0", " ").split("\n"))
-    return "\n".join(x for x in lines if x)
+    return Page(html).text()
+
+
+def unchunked(data: bytes) -> bytes:
+    """The body of a chunked transfer; what isn't chunked is left as it is, as archives often keep it decoded."""
+    out, at = [], 0
+    while True:
+        end = data.find(b"\r\n", at, at + 1024)
+        size = data[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", size):
+            return data
+        n, at = int(size, 16), end + 2
+        if n == 0:
+            return b"".join(out)
+        if at + n > len(data):
+            return data
+        out.append(data[at : at + n])
+        at += n + 2
+
+
+def decoded(payload: bytes, encodings: str) -> bytes:
+    """The payload without its content encodings; ValueError for one that can't be undone."""
+    for name in reversed([x.strip().lower() for x in encodings.split(",")]):
+        try:
+            if name in ("gzip", "x-gzip"):
+                payload = gzip.decompress(payload) if payload[:2] == b"\x1f\x8b" else payload
+            elif name == "deflate":
+                payload = zlib.decompress(payload, 15 if payload[:1] == b"\x78" else -15)
+            elif name == "zstd":
+                import zstandard
+
+                payload = zstandard.ZstdDecompressor().decompressobj().decompress(payload)
+            elif name not in ("", "identity"):
+                raise ValueError(f"the content encoding {name} isn't supported")
+        except (OSError, EOFError, zlib.error) as e:
+            raise ValueError(f"the content encoding {name} is broken") from e
+    return payload
+
+
+def field_of(head: bytes, name: str) -> str:
+    """An HTTP header's value; empty without it."""
+    for line in head.split(b"\r\n")[1:]:
+        key, _, value = line.partition(b":")
+        if key.strip().lower() == name.encode():
+            return value.strip().decode("latin-1")
+    return ""
+
+
+def text_of(payload: bytes, kind: str) -> str:
+    """The payload in its own character set: the header's, else the page's, else UTF-8."""
+    said = CHARSET.search(kind.encode()) or CHARSET.search(payload, 0, 1024)
+    try:
+        return payload.decode(said[1].decode() if said else "utf-8", "replace")
+    except (LookupError, ValueError):
+        return payload.decode("utf-8", "replace")
 
 
 def response(url: str, html: str, key: str, date: str) -> bytes:
@@ -104,7 +250,7 @@ def response(url: str, html: str, key: str, date: str) -> bytes:
 
 
 def derivatives(data: bytes) -> dict[str, str | bytes | int | None]:
-    """The metadata and conversion records of a response record, and what they state."""
+    """The metadata and conversion records of a response record, and what they state; without text no conversion."""
     headers, block = read_record(data)
     if (value_of(headers, "WARC-Type") or "").lower() != "response":
         raise ValueError("not a response")
@@ -115,32 +261,36 @@ def derivatives(data: bytes) -> dict[str, str | bytes | int | None]:
     found_block, found_payload = digest(block), digest(payload)
     stated = value_of(headers, "WARC-Payload-Digest"), value_of(headers, "WARC-Block-Digest")
     intact = stated[0] in (None, found_payload) and stated[1] in (None, found_block)
-    charset = re.search(rb"(?i)content-type:[^\r\n]*charset=([\w.-]+)", head)
-    try:
-        html = payload.decode(charset[1].decode() if charset else "utf-8", "replace")
-    except LookupError:
-        html = payload.decode("utf-8", "replace")
-    text = plain_text(html)
-    title = TITLE.search(html)
-    title = one_line(unescape(TAG.sub("", title[1]))) if title else ""
-    links = LINK.findall(html)
+    kind = field_of(head, "content-type") or value_of(headers, "WARC-Identified-Payload-Type") or ("" if b"\0" in payload[:1024] else "text/html")
+    body = payload if not head or "chunked" not in field_of(head, "transfer-encoding").lower() else unchunked(payload)
+    intact = intact or stated[0] == digest(body) and stated[1] in (None, found_block)
+    text, title, links = None, "", []
+    if TEXTUAL.match(kind):
+        content = text_of(decoded(body, field_of(head, "content-encoding")), kind)
+        page = Page(content) if MARKUP.search(kind) else None
+        text = page.text() if page else tidy(content)
+        title, links = (one_line(page.title or ""), page.links) if page else ("", [])
     carried = [(f"WARC-Source-{k.removeprefix('WARC-')}", v) for k, v in headers if k.lower() not in OWN]
     carried += [("WARC-Source-Block-Digest", stated[1] or found_block), ("WARC-Source-Payload-Digest", stated[0] or found_payload)]
     common = [("WARC-Date", date), ("WARC-Target-URI", target), ("WARC-Refers-To", source), *carried]
 
-    words = text.encode("utf-8", "replace")
-    conversion_id = identifier(b"conversion", source.encode(), words)
-    conversion = record([("WARC-Type", "conversion"), ("WARC-Record-ID", conversion_id), *common, ("WARC-Block-Digest", digest(words)), ("WARC-Payload-Digest", digest(words)), ("Content-Type", "text/plain; charset=utf-8")], words)
+    conversion_id = conversion = found_words = None
+    if text is not None:
+        words = text.encode("utf-8", "replace")
+        conversion_id, found_words = identifier(b"conversion", source.encode(), words), digest(words)
+        conversion = record([("WARC-Type", "conversion"), ("WARC-Record-ID", conversion_id), *common, ("WARC-Block-Digest", found_words), ("WARC-Payload-Digest", found_words), ("Content-Type", "text/plain; charset=utf-8")], words)
     http = [x.decode("latin-1") for x in head.split(b"\r\n") if x]
-    fields = [("title", title), ("digest-check", "pass" if intact else "fail"), ("text-length", str(len(text))), ("conversion", conversion_id)]
+    fields = [("title", title), ("digest-check", "pass" if intact else "fail")]
+    fields += [("text-length", str(len(text))), ("conversion", conversion_id)] if text is not None else [("no-text", kind or "unknown type")]
     fields += [("http-status", http[0])] if http else []
-    fields += [("http-header", one_line(x)) for x in http[1:]] + [("outlink", one_line(unescape(x))) for x in links]
+    fields += [("http-header", one_line(x)) for x in http[1:]] + [("outlink", one_line(x)) for x in links]
     said = "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "replace")
     metadata_id = identifier(b"metadata", source.encode(), said)
-    metadata = record([("WARC-Type", "metadata"), ("WARC-Record-ID", metadata_id), *common, ("WARC-Concurrent-To", conversion_id), ("WARC-Block-Digest", digest(said)), ("Content-Type", "application/warc-fields")], said)
+    linked = [("WARC-Concurrent-To", conversion_id)] if conversion_id else []
+    metadata = record([("WARC-Type", "metadata"), ("WARC-Record-ID", metadata_id), *common, *linked, ("WARC-Block-Digest", digest(said)), ("Content-Type", "application/warc-fields")], said)
     return {
         "response_id": source, "target_uri": target, "warc_date": date, "source_payload_digest": stated[0] or found_payload, "source_block_digest": stated[1] or found_block,
-        "intact": intact, "metadata_id": metadata_id, "conversion_id": conversion_id, "conversion_digest": digest(words), "title": title, "n_links": len(links), "text": text,
+        "intact": intact, "metadata_id": metadata_id, "conversion_id": conversion_id, "conversion_digest": found_words, "title": title, "n_links": len(links), "text": text,
         "metadata_record": metadata, "conversion_record": conversion, "error": None,
     }
 
@@ -149,18 +299,24 @@ DERIVED = "response_id string, target_uri string, warc_date string, source_paylo
 KINDS = {"string": pa.string(), "boolean": pa.bool_(), "long": pa.int64(), "binary": pa.binary()}
 
 
-def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """One row per page: ``id_col`` and record, a WARC response.  A null url or html counts as empty; ids may be null or repeated; other columns aren't read."""
+def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z", date_col: str | None = None) -> DataFrame:
+    """One row per page: ``id_col`` and record, a WARC response.
+
+    The record's date is ``date_col``'s (a timestamp), or ``date`` where there is none.  A null
+    url or html counts as empty; ids may be null or repeated; other columns aren't read; an
+    empty table gives an empty result; a page of any length is one record.
+    """
+    when = F.lit(date) if date_col is None else F.coalesce(F.date_format(F.to_utc_timestamp(F.col(date_col).cast("timestamp"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(date))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
-            made = [response(u, h, str(k), date) for k, u, h in zip(b.column(0).to_pylist(), strings(b.column(1)), strings(b.column(2)))]
+            made = [response(u, h, str(k), d) for k, u, h, d in zip(b.column(0).to_pylist(), strings(b.column(1)), strings(b.column(2)), b.column(3).to_pylist())]
             return pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["id", "record"])
 
         yield from map_slices(batches, "html", work)
 
     kind = pages.schema[id_col].dataType.simpleString()
-    rows = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
+    rows = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), pages[html_col].alias("html"), when.alias("date"))
     return rows.mapInArrow(run, f"id {kind}, record binary").withColumnRenamed("id", id_col)
 
 
@@ -169,7 +325,9 @@ def derive(records: DataFrame, id_col: str = "page_id", record_col: str = "recor
 
     What can't be read as a response (null, empty or foreign bytes, a cut block) has null
     columns and says why in ``error``; no row is dropped.  ``intact`` tells whether the
-    digests that the source states hold.  Repeated rows give equal rows.
+    digests that the source states hold.  A payload that isn't text has no conversion: its
+    columns and text are null, and error too.  Repeated rows give equal rows; an empty table
+    gives an empty result; a long page takes time in proportion to its length.
     """
     fields = [f.split() for f in DERIVED.split(", ")]
 
