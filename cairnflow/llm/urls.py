@@ -14,14 +14,15 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-RULE, PATHS = 0, 1  # keys of a node beside its labels or segments, which are strings
+RULE, PATHS, LENGTHS = 0, 1, 2  # keys of a node beside its labels or segments, which are strings
 
 
 class Trie:
     """host label nodes hold, under PATHS, a trie over path segments; RULE holds (rule, verdict).
 
     A rule's path is a plain prefix.  Its last segment may be partial (``/en`` also fits
-    ``/english``), so a segment node keeps such ends in a list beside its full segments.
+    ``/english``), so a segment node keeps such ends beside its full segments, with their
+    lengths, the longest first: a segment of any length is looked up once for each of these.
     """
 
     def __init__(self, rules: Iterable[tuple[str, str, str]]):
@@ -38,6 +39,7 @@ class Trie:
             # block wins over allow where both name the same place
             if ends.get(last, ("", "allow"))[1] == "allow":
                 ends[last] = (host + path, verdict)
+            node[LENGTHS] = sorted({*map(len, ends)}, reverse=True)
 
     def find(self, host: str, path: str) -> tuple[str, str] | None:
         """The longest entry that fits: more host labels first, then the longer path."""
@@ -60,10 +62,7 @@ class Trie:
                 break
             ends = node.get(RULE)
             if ends:
-                for stop in range(len(segment), -1, -1):
-                    if segment[:stop] in ends:
-                        best = ends[segment[:stop]]
-                        break
+                best = next((ends[segment[:n]] for n in node[LENGTHS] if n <= len(segment) and segment[:n] in ends), best)
             node = node.get(segment)
         return best
 
@@ -89,7 +88,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
     the same host and path, block wins.  Without a fitting rule, ``rule`` is null and the
     verdict is ``default``.  A null url, or one without ``://``, has an empty host and path.
     Ids may be null or repeated; other columns aren't read; an empty table gives an empty
-    result.  Rules whose trie is larger than ``most_bytes`` raise ValueError.
+    result.  A url of any length is judged whole, in linear time.  Rules whose trie is larger than ``most_bytes`` raise ValueError.
     """
     spark = pages.sparkSession
     packed = pickle.dumps(Trie(rules))
