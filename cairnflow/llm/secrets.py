@@ -3,23 +3,31 @@
 Base kinds are patterns.  The method adds spans: candidate strings (long runs of token
 characters) belong to a character class: hexadecimal of one or both cases, base64, or digits
 with letters of one case; a window slides over each,
-its character counts are updated by the one that enters and the one that leaves, and with
-them the sum of c * log2(c), so the window's entropy costs the same at every step.  Windows
+its character counts, packed into seven longs, are updated by the one that enters and the one
+that leaves, and with them the sum of c * log2(c), so the window's entropy costs the same at
+every step.  Windows
 at or above the class's threshold are joined to spans.  Candidates on the allow-list are
 suppressed, and so are windows that hold a placeholder, and entropy spans that a base span covers.
 
 Everything is one projection over the input: no shuffle, no Python.  Positions are code
-points, end exclusive.
+points, end exclusive.  Running values (positions, ends covered so far) are made in blocks, so
+a text with very many matches takes time nearly in proportion to them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARK, OTHER_MARK = "\x01", "\x02"
+#: Array elements that are gone through together; even, so that blocks of a split text begin outside of matches.
+BLOCK = 256
+#: Counts of a window are packed five bits each, twelve to a long, from the first character on.
+FIRST, PACKED, BITS = ord("+"), 12, 5
+LONGS = (ord("z") - FIRST) // PACKED + 1
 
 #: (kind, pattern, group whose length counts or 0 for the match, least length), in the order of ties.
 BASE = (
@@ -48,43 +56,80 @@ ALLOW = (
 SPAN = "struct<start:int,end:int,text:string>"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is named, in lambdas too."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def blocks(xs: Column) -> Column:
+    """The array, a bound one, in blocks of BLOCK elements."""
+    starts = F.when(F.size(xs) > 0, F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda k: F.slice(xs, k * BLOCK + 1, BLOCK))
+
+
+def running(xs: Column, of: Callable[[Column], Column], join: Callable[[Column, Column], Column]) -> Column:
+    """array<struct<x, before>>: each element with the ``join``, an associative one that starts from 0, of what ``of`` gives for those before it.
+
+    An array that grows is copied at each step, so only blocks and their list grow.
+    """
+    return bound(xs, lambda held: bound(blocks(held), lambda cut: running_blocks(cut, of, join)))
+
+
+def running_blocks(cut: Column, of: Callable[[Column], Column], join: Callable[[Column, Column], Column]) -> Column:
+    zero, none = F.lit(0), F.array()
+    totals = F.transform(cut, lambda b: F.aggregate(b, zero, lambda s, x: join(s, of(x))))
+    first = F.struct(zero.alias("s"), none.cast("array<int>").alias("out"))
+    offsets = F.aggregate(totals, first, lambda a, t: F.struct(join(a["s"], t).alias("s"), F.array_append(a["out"], a["s"]).alias("out")), lambda a: a["out"])
+
+    def within(z: Column) -> Column:
+        begin = F.struct(z["offset"].alias("s"), none.cast("array<int>").alias("out"))
+        befores = F.aggregate(z["block"], begin, lambda a, x: F.struct(join(a["s"], of(x)).alias("s"), F.array_append(a["out"], a["s"]).alias("out")), lambda a: a["out"])
+        return F.arrays_zip(z["block"].alias("x"), befores.alias("before"))
+
+    return F.flatten(F.transform(F.arrays_zip(cut.alias("block"), offsets.alias("offset")), within))
+
+
 def hits(text: Column, pattern: str) -> Column:
     """array<struct<start, end, text>> of the leftmost non-overlapping matches.
 
-    Matches are put between marks; a mark in the text itself was replaced before by another
-    character that no pattern holds either.
+    Matches are put between marks, so every second part is one; a mark in the text itself was
+    replaced before by another character that no pattern holds either.
     """
     parts = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
-    none = F.array().cast(f"array<{SPAN}>")
-    first = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), none.alias("out"))
-
-    def step(s: Column, part: Column) -> Column:
-        end = s["at"] + F.length(part)
-        hit = F.struct(s["at"].alias("start"), end.alias("end"), part.alias("text"))
-        return F.struct(end.alias("at"), (~s["inside"]).alias("inside"), F.when(s["inside"], F.array_append(s["out"], hit)).otherwise(s["out"]).alias("out"))
-
-    return F.aggregate(parts, first, step, lambda s: s["out"])
+    placed = running(parts, F.length, lambda s, n: s + n)
+    inside = F.filter(placed, lambda p, k: k % 2 == 1)
+    return F.transform(inside, lambda p: F.struct(p["before"].alias("start"), (p["before"] + F.length(p["x"])).alias("end"), p["x"].alias("text")))
 
 
 def hot_windows(candidate: Column, window: int, least_bits: float) -> Column:
     """array<struct<start, end>> in the candidate: windows of at least ``least_bits`` a character, joined where they meet."""
-    codes = F.transform(F.split(candidate, ""), lambda c: F.ascii(c))
+    codes = F.transform(F.split(candidate, ""), lambda c: F.ascii(c) - FIRST)
     leaving = F.concat(F.array_repeat(F.lit(-1), window), codes)
-    pairs = F.filter(F.arrays_zip(codes.alias("enter"), leaving.alias("leave")), lambda p: p["enter"] > 0)
+    pairs = F.filter(F.arrays_zip(codes.alias("enter"), leaving.alias("leave")), lambda p: p["enter"] >= 0)
     spans = F.array().cast("array<struct<start:int,end:int>>")
-    first = F.struct(F.lit(0).alias("n"), F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), spans.alias("spans"))
+    first = F.struct(F.lit(0).alias("n"), F.array_repeat(F.lit(0).cast("long"), LONGS).alias("counts"), F.lit(0.0).alias("sum"), spans.alias("spans"))
 
     def xlog(c: Column) -> Column:
         return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
 
+    def place(code: Column) -> tuple[Column, Column]:
+        """Which long, and the shift in it."""
+        return F.floor(code / PACKED).cast("int"), (code % PACKED * BITS).cast("int")
+
+    def shifted(value: Column, by: Column, left: bool) -> Column:
+        return F.call_function("shiftleft" if left else "shiftright", value, by)
+
     def step(s: Column, p: Column) -> Column:
         enter, leave = p["enter"], p["leave"]
         same = enter == leave
-        c_in = F.get(s["counts"], enter)
-        c_out = F.get(s["counts"], F.greatest(leave, F.lit(0)))
+        (k_in, b_in), (k_out, b_out) = place(enter), place(F.greatest(leave, F.lit(0)))
+        count = lambda k, b: shifted(F.get(s["counts"], k), b, False).bitwiseAND((1 << BITS) - 1)
+        c_in, c_out = count(k_in, b_in), count(k_out, b_out)
         gone = F.when((leave < 0) | same, F.lit(0.0)).otherwise(xlog(c_out - 1) - xlog(c_out))
         total = s["sum"] + F.when(same, F.lit(0.0)).otherwise(xlog(c_in + 1) - xlog(c_in)) + gone
-        counts = F.when(same, s["counts"]).otherwise(F.transform(s["counts"], lambda v, k: v + (k == enter).cast("int") - (k == leave).cast("int")))
+        one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+        moved = F.transform(s["counts"], lambda v, k: v + F.when(k == k_in, shifted(one, b_in, True)).otherwise(none) - F.when((k == k_out) & (leave >= 0), shifted(one, b_out, True)).otherwise(none))
+        counts = F.when(same, s["counts"]).otherwise(moved)
         n = s["n"] + 1
         bits = F.lit(log2(window)) - total / window
         hot = (n >= window) & (bits >= least_bits - 1e-9)
@@ -99,13 +144,21 @@ def hot_windows(candidate: Column, window: int, least_bits: float) -> Column:
     return F.aggregate(pairs, first, step, lambda s: s["spans"])
 
 
-def scan(docs: DataFrame, text_col: str = "text", allow: tuple[str, ...] = ALLOW) -> DataFrame:
-    """``docs`` with one more column, ``secrets``: array<struct<start:int, order:int, end:int, kind:string>>.
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column has it, in either case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def scan(docs: DataFrame, text_col: str = "text", allow: tuple[str, ...] = ALLOW, to: str = "secrets") -> DataFrame:
+    """``docs`` with one more column, ``to``: array<struct<start:int, order:int, end:int, kind:string>>.
 
     Sorted by start, then by kind in the order BASE, CLASSES.  A null or empty text has no
     spans.  ``allow`` are patterns that suppress entropy candidates; base spans stay.  Rows
-    are independent: nulls, repeats and other columns pass through (a column named
-    ``secrets`` is replaced); an empty table gives an empty result.
+    are independent: nulls, repeats and other columns pass through (a column named ``to`` is
+    replaced); an empty table gives an empty result.  A text of any length is scanned whole.
     """
     text = F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit(MARK), F.lit(OTHER_MARK))
     kinds = [k for k, *_ in BASE] + [k for k, *_ in CLASSES]
@@ -120,7 +173,8 @@ def scan(docs: DataFrame, text_col: str = "text", allow: tuple[str, ...] = ALLOW
         kept = F.filter(hits(text, pattern), lambda h: F.length(measured(h)) >= least)
         return F.transform(kept, lambda h: span(h, k))
 
-    marked = docs.withColumn("secrets", F.concat(*map(base, range(len(BASE))))).withColumn("__candidates", hits(text, CANDIDATE))
+    held = free_name(docs, "candidates")
+    marked = docs.withColumns({to: F.concat(*map(base, range(len(BASE)))), held: hits(text, CANDIDATE)})
 
     def suppressed(c: Column) -> Column:
         out = F.lit(False)
@@ -138,9 +192,11 @@ def scan(docs: DataFrame, text_col: str = "text", allow: tuple[str, ...] = ALLOW
         _, _, window, bits = CLASSES[k]
         return F.transform(hot_windows(c["text"], window, bits), lambda h: span(h, len(BASE) + k, c["start"]))
 
-    hot = F.flatten(F.transform(F.filter("__candidates", lambda c: ~suppressed(c)), windows))
-    new = F.filter(hot, lambda h: ~F.exists("secrets", lambda b: (b["start"] <= h["start"]) & (b["end"] >= h["end"])))
-    return marked.withColumn("secrets", F.array_sort(F.concat("secrets", new))).drop("__candidates")
+    hot = F.flatten(F.transform(F.filter(held, lambda c: ~suppressed(c)), windows))
+    # in order, a base span that covers an entropy span comes before it, so the furthest end of base spans so far tells
+    ends = running(F.array_sort(F.concat(to, hot)), lambda h: F.when(h["order"] < len(BASE), h["end"]).otherwise(0), F.greatest)
+    kept = F.filter(ends, lambda r: (r["x"]["order"] < len(BASE)) | (r["before"] < r["x"]["end"]))
+    return marked.withColumn(to, F.transform(kept, lambda r: r["x"])).drop(held)
 
 
 def joined(spans: Column) -> Column:
@@ -163,15 +219,20 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span of the text replaced by ``[kind]``; where spans overlap, the first in order stands for all.
 
-    Rows without spans, and null texts, are left as they are; no row is dropped.
+    Rows without spans, and null texts, are left as they are; no row and no other column,
+    whatever its name, is dropped; long texts are as in :func:`scan`.
     """
-    rows = scan(docs, text_col)
+    found = free_name(docs, "secrets")
+    rows = scan(docs, text_col, to=found)
     text = F.col(text_col)
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    placed = F.filter(running(F.col(found), lambda h: h["end"], F.greatest), lambda r: r["x"]["start"] >= r["before"])
 
-    def step(s: Column, h: Column) -> Column:
-        new = F.concat(s["out"], F.array(F.substring(text, s["at"] + 1, h["start"] - s["at"]), F.concat(F.lit("["), h["kind"], F.lit("]"))))
-        return F.struct(F.greatest(s["at"], h["end"]).alias("at"), F.when(h["start"] >= s["at"], new).otherwise(s["out"]).alias("out"))
+    def replaced(block: Column) -> Column:
+        """The text from the first gap of a block to its last span, cut out once, with the kinds in place of spans."""
+        begin, end = F.element_at(block, 1)["before"], F.element_at(block, -1)["x"]["start"]
+        pieces = lambda local: F.transform(block, lambda r: F.concat(F.substring(local, r["before"] - begin + 1, r["x"]["start"] - r["before"]), F.lit("["), r["x"]["kind"], F.lit("]")))
+        return F.array_join(bound(F.substring(text, begin + 1, end - begin), pieces), "")
 
-    clean = F.aggregate("secrets", first, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
-    return rows.withColumn(text_col, F.when(F.size("secrets") > 0, clean).otherwise(text)).drop("secrets")
+    last = F.array_max(F.transform(found, lambda h: h["end"]))
+    clean = F.concat(F.array_join(bound(placed, lambda p: F.transform(blocks(p), replaced)), ""), F.substring(text, last + 1, F.length(text)))
+    return rows.withColumn(text_col, F.when(F.size(found) > 0, clean).otherwise(text)).drop(found)
