@@ -8,15 +8,20 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set (tests)."""
+    """The cluster's shared checkpoint folder; where none is set, a temporary one on a local master (tests), and an error on a cluster."""
     sc = spark.sparkContext
     now = sc._jsc.sc().getCheckpointDir()
     if now.isDefined():
         return now.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairnflow-")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="cairnflow-")
     sc.setCheckpointDir(path)
     return path
 
@@ -35,6 +40,27 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Keys of a lookup that are sent to every executor, at most.
+MOST_HOT = 10_000
+
+
+def looked_up(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``facts`` for their ``key`` (long, unique there; null where it has none).
+
+    ``facts`` has a column n, how many of the ``total`` rows have the key, which isn't kept.  Keys
+    of more than a MOST_HOTth of the rows, so no more than MOST_HOT, are broadcast, and their
+    rows are spread over all tasks; only the others are dealt by key.
+    """
+    values = [c for c in facts.columns if c not in (key, "n")]
+    known = facts.select(F.col(key).alias("__key"), F.struct(*values).alias("__fact"), "n")
+    hot = known.where(F.col("n") > max(1000, total // MOST_HOT)).select(F.col("__key").alias("__hot"), F.col("__fact").alias("__known"))
+    first = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    # a hash may fall on a key, but a broadcast fact comes first
+    dealt = first.withColumn("__dealt", F.when(F.col("__hot").isNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns)))
+    joined = dealt.join(known.drop("n"), F.col("__dealt") == F.col("__key"), "left").withColumn("__fact", F.coalesce("__known", "__fact"))
+    return joined.select(*rows.columns, *(F.col("__fact")[c].alias(c) for c in values))
+
+
 def release_memory() -> None:
     """Give freed memory back to the system: a worker outlives its tasks, and an executor's workers share its memory."""
     pa.default_memory_pool().release_unused()

@@ -1,7 +1,7 @@
 """Connected components of a graph of any size, by alternating large-star and small-star steps.
 
-Each step is a group-by minimum, with partial aggregation, and an equi-join, which Spark
-splits where a key is hot; edges are never gathered in one place.  The edges of each
+Each step is a group-by minimum, with partial aggregation, and a lookup of it, in which a hot
+node's minimum is broadcast; edges are never gathered in one place.  The edges of each
 partition are first contracted to stars there, so few rounds are left.  Every round ends in
 the shared checkpoint folder.
 """
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, looked_up
 
 
 def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -75,9 +75,9 @@ def components(edges: DataFrame) -> DataFrame:
             break
         said = signature
         both = now.union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(low, both.a == low.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        rest = large.join(low.withColumnRenamed("a", "u"), F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = checkpointed(rest.union(low).where("a <> b").distinct())
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = looked_up(both, low, "a", 2 * signature[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        rest = looked_up(large, low, "a", signature[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = checkpointed(rest.union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
