@@ -1,43 +1,86 @@
-"""``python -m cairnflow --dataset FILE --recipe FILE --out FOLDER [--provider mock|http] [--dry-run]``"""
+"""Runs over a prompt file, or an experiment.
+
+    python -m cairnflow --config FILE --dataset FILE --out FOLDER [--provider api|vllm|transformers|mock] [--recipe FILE]
+    python -m cairnflow --experiment FILE [--dataset FILE] [--out FOLDER]
+
+With ``--dry-run`` the plan and its counts are shown and nothing is generated.
+"""
 
 from __future__ import annotations
 
 import argparse
-import os
+import logging
 
 from pyspark.sql import functions as F
 
-from .operators import generate
 from .plans import grids, runner
-from .session import session
+from .session import session, setup_logging
 from .sources import config, readers
 
 
-def main() -> None:
-    p = argparse.ArgumentParser(prog="cairnflow", description="Run a recipe over a prompt file.")
-    p.add_argument("--dataset", required=True)
-    p.add_argument("--recipe", required=True)
-    p.add_argument("--out", required=True)
-    p.add_argument("--provider", choices=["mock", "http"], default="mock")
-    p.add_argument("--base-url", default="")
-    p.add_argument("--model", default="")
-    p.add_argument("--samples", type=int, default=1)
-    p.add_argument("--dry-run", action="store_true", help="print the plan and counts, generate nothing")
-    given = p.parse_args()
+def arguments() -> argparse.ArgumentParser:
+    p = argparse.ArgumentParser(prog="cairnflow", description="Generate, verify and report reasoning trajectories.")
+    p.add_argument("--config", help="settings of provider, sampling, scheduler, storage, logging and prompts")
+    p.add_argument("--provider", choices=["api", "http", "vllm", "transformers", "mock"], help="in place of the settings' type")
+    p.add_argument("--dataset")
+    p.add_argument("--recipe", help="a recipe file; without one every prompt is generated as it is")
+    p.add_argument("--experiment")
+    p.add_argument("--out", help="the run's folder")
+    p.add_argument("--samples", type=int, help="in place of the sampling's n")
+    p.add_argument("--verifier", default="math")
+    p.add_argument("--no-resume", action="store_true")
+    p.add_argument("--dry-run", action="store_true")
+    return p
+
+
+def main(argv: list[str] | None = None) -> None:
+    p = arguments()
+    given = p.parse_args(argv)
+    experiment = config.experiment(given.experiment) if given.experiment else None
+    file = given.config or (experiment and experiment.provider_config_path)
+    settings = config.engine(file) if file else config.Engine()
+    dataset = given.dataset or (experiment and experiment.dataset_path)
+    if not dataset:
+        p.error("a dataset is needed")
+    if experiment is None and not given.config and given.provider is None:
+        p.error("--config or --provider is needed")
+    if given.samples:
+        settings.sampling.n = given.samples
+    setup_logging(getattr(logging, settings.logging.level.upper(), logging.INFO), settings.logging.file)
     spark = session()
-    source = readers.scan_prompts(spark, given.dataset)
-    recipe = config.recipe(given.recipe)
+    source = readers.scan_prompts(spark, dataset, settings.prompts.system_prompt)
+    recipe = config.recipe(given.recipe) if given.recipe else None
     if given.dry_run:
-        jobs = grids.jobs(source, recipe)
-        print(f"{source.count()} prompts, {len(recipe.combinations())} combinations, {jobs.count()} jobs")
-        jobs.explain("formatted")
+        show_plan(source, recipe, experiment)
         return
-    provider = generate.MockProvider() if given.provider == "mock" else generate.HTTPProvider(given.base_url, given.model, os.environ.get("API_KEY", ""))
+    provider = config.provider(settings.provider, given.provider)
     truth = F.coalesce(readers.truthy(F.col("metadata"), "answer"), readers.truthy(F.col("metadata"), "ground_truth"))
-    truths = source.select(F.col("id").alias("prompt_id"), truth.alias("ground_truth_answer"))
-    out = runner.run_recipe(source, truths, recipe, provider, generate.Sampling(n=given.samples), given.out)
+    tests = F.coalesce(F.try_variant_get("metadata", "$.test_cases", "array<string>"), F.array().cast("array<string>"))
+    truths = source.select(F.col("id").alias("prompt_id"), truth.alias("ground_truth_answer"), tests.alias("assertions"))
+    options = {"concurrency": settings.provider.max_concurrent, "batch_size": settings.scheduler.batch_size, "progress": settings.scheduler.progress_interval}
+    folder = given.out or (experiment.output_dir if experiment else settings.storage.output_dir)
+    if experiment:
+        for name in experiment.recipes:
+            show(runner.run_experiment(source, truths, experiment, name, provider, settings.sampling, folder, **options))
+    elif recipe:
+        show(runner.run_recipe(source, truths, recipe, provider, settings.sampling, folder, verifier_type=given.verifier, **options))
+    else:
+        show(runner.run_prompts(source, truths, provider, settings.sampling, folder, given.verifier, resume=not given.no_resume, **options))
+
+
+def show_plan(source, recipe, experiment) -> None:
+    print(f"{source.count()} prompts")
+    if recipe:
+        jobs = grids.jobs(source, recipe)
+        print(f"{len(recipe.combinations())} combinations, {jobs.count()} jobs")
+        jobs.explain("formatted")
+    for name, r in experiment.recipes.items() if experiment else ():
+        print(f"{name}: {len(r.personas) * len(r.styles) * len(r.temperatures) * len(r.seeds)} combinations of {r.samples_per_configuration} samples")
+
+
+def show(out: dict) -> None:
     out["leaderboard"].show(50, False)
-    out["summary"].show(1, False)
+    out.get("report", out["summary"]).show(1, False)
 
 
 if __name__ == "__main__":

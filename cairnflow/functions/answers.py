@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import first_nonempty, strip
+from .text import bound, first_nonempty, python_float, strip
 
 # What counts as a number, and the opening of a boxed answer.
 NUMBER = r"[-+]?\d*\.\d+|[-+]?\d+/\d+|[-+]?\d+"
@@ -70,20 +71,28 @@ def parse_response(x: Column) -> dict[str, Column]:
     The answer: the tag in any case, else the balanced box; if that is empty, the last number
     after the thinking, else the last line there; if that is empty, the same of the whole text.
     """
-    x = F.coalesce(x, F.lit(""))
-    thinking, tag = tagged(x, "think", any_case=True), tagged(x, "answer", any_case=True)
-    after = strip(F.regexp_replace(x, "(?is)^.*?<think>.*?</think>", ""))
-    tail = lambda t: F.coalesce(last_number(t), last_line(t), F.lit(""))
-    explicit = F.when(tag.isNotNull(), tag).otherwise(F.coalesce(boxed_balanced(x), F.lit("")))
-    after_thinking = F.when(thinking.isNotNull(), after).otherwise(F.lit(""))
-    thought = F.coalesce(thinking, F.lit(""))
-    return {
-        "thinking": thought,
-        "answer": first_nonempty(explicit, tail(after_thinking), tail(x)),
-        "reasoning_length_chars": F.length(thought),
-        "has_xml_thinking": thinking.isNotNull(),
-        "has_xml_answer": tag.isNotNull(),
-    }
+
+    def parsed(x: Column) -> Column:
+        parts = F.struct(x.alias("x"), tagged(x, "think", any_case=True).alias("think"), tagged(x, "answer", any_case=True).alias("tag"))
+        return bound(parts, fields)
+
+    def fields(p: Column) -> Column:
+        x, thinking, tag = p["x"], p["think"], p["tag"]
+        after = strip(F.regexp_replace(x, "(?is)^.*?<think>.*?</think>", ""))
+        tail = lambda t: F.coalesce(last_number(t), last_line(t), F.lit(""))
+        explicit = F.when(tag.isNotNull(), tag).otherwise(F.coalesce(boxed_balanced(x), F.lit("")))
+        after_thinking = F.when(thinking.isNotNull(), bound(after, tail)).otherwise(F.lit(""))
+        thought = F.coalesce(thinking, F.lit(""))
+        return F.struct(
+            thought.alias("thinking"),
+            first_nonempty(explicit, after_thinking, tail(x)).alias("answer"),
+            F.length(thought).alias("reasoning_length_chars"),
+            thinking.isNotNull().alias("has_xml_thinking"),
+            tag.isNotNull().alias("has_xml_answer"),
+        )
+
+    found = bound(F.coalesce(x, F.lit("")), parsed)
+    return {k: found[k] for k in ("thinking", "answer", "reasoning_length_chars", "has_xml_thinking", "has_xml_answer")}
 
 
 def math_answer(x: Column) -> Column:
@@ -116,15 +125,50 @@ def unsafe_pattern(x: Column) -> Column:
     return F.coalesce(*(F.when(x.rlike(p), F.lit(p)) for p in UNSAFE))
 
 
-def math_verdict(x: Column, truth: Column) -> dict[str, Column]:
-    """is_correct and error_message of a response against its truth, without the symbolic tier.
+def math_verdict(x: Column, truth: Column, symbolic: bool = False) -> dict[str, Column]:
+    """candidate, is_correct and error_message of a response against its truth.
 
-    An empty candidate fails; floats within 1e-5 pass; else texts are compared in lower case.
+    An empty candidate fails; with ``symbolic`` a difference that SymPy makes zero passes,
+    where the library is installed; floats within 1e-5 pass; else texts are compared in lower
+    case.  A tier only ever upgrades to correct.
     """
-    from .text import python_float
+
+    def judged(p: Column) -> Column:
+        found, wanted = p["found"], p["wanted"]
+        near = F.coalesce(F.abs(python_float(found) - python_float(wanted)) < 1e-5, F.lit(False)) | (F.lower(found) == F.lower(wanted))
+        correct = (found != "") & near
+        if symbolic:
+            correct = correct | p["same"]
+        return bound(correct, lambda c: F.struct(found.alias("candidate"), c.alias("is_correct"), message(found, wanted, c).alias("error_message")))
+
+    def message(found: Column, wanted: Column, correct: Column) -> Column:
+        differs = F.concat(F.lit("Answer mismatch. Candidate: "), found, F.lit(", Target: "), wanted)
+        return F.when(found == "", F.lit("Could not extract mathematical answer from text.")).when(~correct, differs)
 
     found, wanted = math_answer(x), strip(F.coalesce(truth, F.lit("")))
-    near = F.abs(python_float(found) - python_float(wanted)) < 1e-5
-    correct = (found != "") & (F.coalesce(near, F.lit(False)) | (F.lower(found) == F.lower(wanted)))
-    said = F.when(found == "", F.lit("Could not extract mathematical answer from text.")).when(~correct, F.concat(F.lit("Answer mismatch. Candidate: "), found, F.lit(", Target: "), wanted))
-    return {"candidate": found, "is_correct": correct, "error_message": said}
+    parts = [found.alias("found"), wanted.alias("wanted")]
+    if symbolic:  # a Python function, so it stands outside of the lambda
+        parts.append(F.when(found != "", same_expression(found, wanted)).otherwise(F.lit(False)).alias("same"))
+    verdict = bound(F.struct(*parts), judged)
+    return {k: verdict[k] for k in ("candidate", "is_correct", "error_message")}
+
+
+def same_expression(a: Column, b: Column) -> Column:
+    """Whether SymPy makes the difference of two expressions zero; false where it can't read them or isn't installed."""
+    @F.pandas_udf("boolean")
+    def same(x: pd.Series, y: pd.Series) -> pd.Series:
+        try:
+            from sympy import simplify
+            from sympy.parsing.sympy_parser import parse_expr
+        except ImportError:
+            return pd.Series([False] * len(x))
+
+        def equal(p: str, q: str) -> bool:
+            try:
+                return bool(simplify(parse_expr(p) - parse_expr(q)) == 0)
+            except Exception:  # noqa: BLE001  what can't be read is not the same
+                return False
+
+        return pd.Series([equal(p, q) for p, q in zip(x, y)])
+
+    return same(a, b)

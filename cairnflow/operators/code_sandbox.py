@@ -10,15 +10,13 @@ import os
 import subprocess
 import sys
 import tempfile
-from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.answers import code, unsafe_pattern
 
-SCHEMA = "id string, is_correct boolean, error_message string"
-
 
 def script(block: str, assertions: list[str]) -> str:
     """The code, then its assertions, each failing with its number and text."""
@@ -33,30 +31,39 @@ def execute(block: str, assertions: list[str], timeout: float) -> str | None:
         with open(path, "w", encoding="utf-8") as f:
             f.write(script(block, assertions))
         try:
-            done = subprocess.run([sys.executable, "-I", path], capture_output=True, text=True, timeout=timeout, cwd=folder)
+            done = subprocess.run([sys.executable, "-I", path], capture_output=True, text=True, errors="replace", timeout=timeout, cwd=folder)
         except subprocess.TimeoutExpired:
             return f"Timeout expired: execution exceeded limit of {timeout}s."
+        except (OSError, ValueError) as e:  # no process could be made: this row's error, not the task's
+            return f"Execution error:\n{type(e).__name__}: {e}"
         return None if done.returncode == 0 else "Execution error:\n" + (done.stderr.strip() or done.stdout.strip()).replace(path, "sandbox.py")
 
 
-def verify(responses: DataFrame, allow_execution: bool = False, timeout: float = 2.0) -> DataFrame:
-    """(id, is_correct, error_message) of rows (id, text, assertions array<string>).
+def run_code(block: Column, assertions: Column, refused: Column, timeout: float) -> Column:
+    """string: what went wrong, null where the code runs and its assertions hold.  Refused code isn't run."""
+    @F.pandas_udf("string")
+    def said(codes: pd.Series, tests: pd.Series, reasons: pd.Series) -> pd.Series:
+        return pd.Series([r if r is not None else execute(c, [a for a in t if a], timeout) for c, t, r in zip(codes, tests, reasons)], dtype=object)
+
+    return said(block, F.coalesce(assertions, F.array().cast("array<string>")), refused)
+
+
+def verdict(text: Column, assertions: Column, allow_execution: bool = False, timeout: float = 2.0) -> tuple[Column, Column]:
+    """(is_correct, error_message) of a response's code.
 
     Without ``allow_execution`` only static verdicts are given: no code, or an unsafe
     pattern; is_correct is null for the rest.
     """
-    block = code(F.col("text"))
-    rows = responses.select(F.col("id").cast("string").alias("id"), block.alias("code"), unsafe_pattern(block).alias("unsafe"), F.coalesce("assertions", F.array().cast("array<string>")).alias("assertions"))
-    refused = F.when(F.col("code") == "", F.lit("Could not extract Python code block from response.")).when(F.col("unsafe").isNotNull(), F.concat(F.lit("Security rejection: unsafe pattern '"), F.col("unsafe"), F.lit("' detected in generated code.")))
-    rows = rows.withColumn("refused", refused)
+    block = code(text)
+    unsafe = unsafe_pattern(block)
+    refused = F.when(block == "", F.lit("Could not extract Python code block from response.")).when(unsafe.isNotNull(), F.concat(F.lit("Security rejection: unsafe pattern '"), unsafe, F.lit("' detected in generated code.")))
     if not allow_execution:
-        return rows.select("id", F.when(F.col("refused").isNotNull(), F.lit(False)).alias("is_correct"), F.col("refused").alias("error_message"))
-
-    def work(batches: Iterator) -> Iterator:
-        import pandas as pd
+        return F.when(refused.isNotNull(), F.lit(False)), refused
+    error = run_code(block, assertions, refused, timeout)
+    return error.isNull(), error
 
-        for b in batches:
-            said = [r if r is not None else execute(c, [a for a in t if a], timeout) for c, r, t in zip(b["code"], b["refused"], b["assertions"])]
-            yield pd.DataFrame({"id": b["id"], "is_correct": [x is None for x in said], "error_message": said})
 
-    return rows.select("id", "code", "refused", "assertions").mapInPandas(work, SCHEMA)
+def verify(responses: DataFrame, allow_execution: bool = False, timeout: float = 2.0) -> DataFrame:
+    """(id, is_correct, error_message) of rows (id, text, assertions array<string>), as :func:`verdict` has it."""
+    right, error = verdict(F.col("text"), F.col("assertions"), allow_execution, timeout)
+    return responses.select(F.col("id").cast("string").alias("id"), right.alias("is_correct"), error.alias("error_message"))

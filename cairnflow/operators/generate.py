@@ -7,16 +7,21 @@ leaves its siblings alone.
 
 from __future__ import annotations
 
+import logging
 import random
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import stop_truncate
+
+log = logging.getLogger(__name__)
+
 
 @dataclass
 class Sampling:
@@ -84,9 +89,17 @@ def retry(call: Callable, retries: int = 3, delay: float = 1.0, most: float = 60
 
 
 class Provider:
-    """A backend.  ``open`` and ``close`` bracket a partition; ``generate`` gives one dict (text, token_count, finish_reason) or raises."""
+    """A backend.  ``open`` and ``close`` bracket a partition; ``generate`` gives one dict (text, token_count, finish_reason) or raises.
+
+    A backend that has its own batches overrides ``generate_batch``.
+    """
 
     name = "provider"
+    model = ""
+
+    def info(self) -> dict[str, str]:
+        """What every response states of its origin."""
+        return {"provider": self.name, "model": self.model}
 
     def open(self) -> None: ...
 
@@ -95,14 +108,28 @@ class Provider:
     def generate(self, system: str, user: str, sampling: Sampling, sample_index: int) -> dict:
         raise NotImplementedError
 
+    def generate_batch(self, tasks: list[tuple[str, str, int]], sampling: Sampling, concurrency: int) -> list[tuple[dict | Exception, float]]:
+        """For each task (system, user, sample_index) its result, or what was raised, with its seconds; ``concurrency`` run at a time."""
+
+        def one(task: tuple[str, str, int]) -> tuple[dict | Exception, float]:
+            start = time.time()
+            try:
+                got: dict | Exception = self.generate(task[0], task[1], sampling, task[2])
+            except Exception as e:  # noqa: BLE001  one prompt's failure is a row, not the task's
+                got = e
+            return got, time.time() - start
+
+        with ThreadPoolExecutor(concurrency) as pool:
+            return list(pool.map(one, tasks))
+
 
 class MockProvider(Provider):
-    """Answers with a number made of the prompt, the seed and the sample's index: for tests and dry runs."""
+    """Answers with a number made of the prompt, the sampling and the sample's index: for tests and dry runs."""
 
     name = "mock"
 
     def generate(self, system: str, user: str, sampling: Sampling, sample_index: int) -> dict:
-        n = int.from_bytes(sha256(f"{system}|{user}|{sampling.seed}|{sample_index}".encode()).digest()[:4], "big") % 1000
+        n = int.from_bytes(sha256(f"{system}|{user}|{sampling.temperature}|{sampling.top_p}|{sampling.seed}|{sample_index}".encode()).digest()[:4], "big") % 1000
         text = f"<think>mock {sample_index}</think>\n<answer>{n}</answer>"
         return {"text": text, "token_count": len(text.split()), "finish_reason": "stop"}
 
@@ -112,8 +139,9 @@ class HTTPProvider(Provider):
 
     name = "http"
 
-    def __init__(self, base_url: str, model: str, api_key: str = "", timeout: float = 120.0):
+    def __init__(self, base_url: str, model: str, api_key: str = "", timeout: float = 120.0, retries: int = 3, delay: float = 1.0):
         self.base_url, self.model, self.api_key, self.timeout = base_url, model, api_key, timeout
+        self.retries, self.delay = retries, delay
 
     def url(self) -> str:
         done = self.base_url.endswith(("/chat/completions", "/completions"))
@@ -143,7 +171,7 @@ class HTTPProvider(Provider):
             except URLError as e:
                 raise ConnectionFailed(str(e)) from e
 
-        return read_response(retry(post))
+        return read_response(retry(post, self.retries, self.delay))
 
 
 def read_response(body: dict) -> dict:
@@ -154,42 +182,58 @@ def read_response(body: dict) -> dict:
     return {"text": choices[0].get("message", {}).get("content", ""), "token_count": body.get("usage", {}).get("completion_tokens", 0), "finish_reason": choices[0].get("finish_reason", "")}
 
 
-SCHEMA = "prompt_id string, sample_index int, text string, token_count long, finish_reason string, latency_ms double, provider string, error string"
+SCHEMA = "prompt_id string, sample_index int, text string, token_count long, finish_reason string, latency_ms double, provider string, model string, temperature double, top_p double, seed long, error_class string, error string"
 
 
-def run(prompts: DataFrame, provider: Provider, sampling: Sampling, id_col: str = "id", concurrency: int = 8) -> DataFrame:
-    """One row for each prompt and sample, with an error where the provider raised.
+def run(prompts: DataFrame, provider: Provider, sampling: Sampling, id_col: str = "id", concurrency: int = 8, batch_size: int = 16, progress: int = 0) -> DataFrame:
+    """One row for each prompt and sample, with an error and its class where the provider raised.
 
-    ``concurrency`` requests run at a time in each task.  A missing system_prompt counts as empty.
+    Columns temperature, top_p and seed of the prompts take the place of ``sampling``'s (a null
+    temperature or top_p doesn't, a null seed means none); rows of one sampling go to the
+    provider together, ``batch_size`` prompts at a time.  Texts are cut at the sampling's stop
+    sequences.  response_id is a hash of the prompt's id and the sample's index.  A missing
+    system_prompt counts as empty.  With ``progress`` a worker logs every so many prompts.
     """
-    system = F.coalesce(F.col("system_prompt"), F.lit("")) if "system_prompt" in prompts.columns else F.lit("")
-    rows = prompts.select(F.col(id_col).cast("string").alias("id"), system.alias("system"), F.coalesce("user_prompt", F.lit("")).alias("user"))
-    given = asdict(sampling)
+    given, there = asdict(sampling), set(prompts.columns)
+    system = F.coalesce(F.col("system_prompt"), F.lit("")) if "system_prompt" in there else F.lit("")
+    own = lambda name, kind: (F.col(name) if name in there else F.lit(given[name])).cast(kind)
+    rows = prompts.select(
+        F.col(id_col).cast("string").alias("id"), system.alias("system"), F.coalesce("user_prompt", F.lit("")).alias("user"),
+        F.coalesce(own("temperature", "double"), F.lit(float(sampling.temperature))).alias("temperature"),
+        F.coalesce(own("top_p", "double"), F.lit(float(sampling.top_p))).alias("top_p"), own("seed", "string").alias("seed"),
+    )
+    said = provider.info()
 
     def work(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        config = Sampling(**given)
-
-        def one(task: tuple) -> tuple:
-            i, s, u, k = task
-            start = time.time()
-            try:
-                r = provider.generate(s, u, config, k)
-                return i, k, r["text"], r["token_count"], r["finish_reason"], (time.time() - start) * 1000, provider.name, None
-            except Exception as e:  # noqa: BLE001  one prompt's failure is a row, not the task's
-                return i, k, None, 0, None, (time.time() - start) * 1000, provider.name, f"{type(e).__name__}: {e}"
-
+        done = 0
         provider.open()
         try:
-            with ThreadPoolExecutor(concurrency) as pool:
-                for b in batches:
-                    tasks = [(i, s, u, k) for i, s, u in zip(b["id"], b["system"], b["user"]) for k in range(config.n)]
-                    yield pd.DataFrame(list(pool.map(one, tasks)), columns=[c.split()[0] for c in SCHEMA.split(", ")])
+            for b in batches:
+                groups: dict[tuple, list[tuple[str, str, str]]] = {}
+                for i, s, u, t, p, seed in zip(b["id"], b["system"], b["user"], b["temperature"], b["top_p"], b["seed"]):
+                    groups.setdefault((t, p, None if seed is None or seed != seed else int(seed)), []).append((i, s, u))
+                for (t, p, seed), members in groups.items():
+                    config = replace(Sampling(**given), temperature=t, top_p=p, seed=seed)
+                    for k in range(0, len(members), batch_size):
+                        chunk = [(i, s, u, n) for i, s, u in members[k : k + batch_size] for n in range(config.n)]
+                        results = provider.generate_batch([(s, u, n) for _, s, u, n in chunk], config, concurrency)
+                        out = []
+                        for (i, _, _, n), (r, seconds) in zip(chunk, results):
+                            got = (None, 0, None) if isinstance(r, Exception) else (r["text"], r["token_count"], r["finish_reason"])
+                            error = (type(r).__name__, f"{type(r).__name__}: {r}") if isinstance(r, Exception) else (None, None)
+                            out.append((i, n, *got, seconds * 1000, said["provider"], said["model"], t, p, seed, *error))
+                        frame = pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+                        yield frame.astype({"seed": "Int64"})
+                        if progress and (done + len(members[k : k + batch_size])) // progress > done // progress:
+                            log.info("%d prompts done in this task", done + len(members[k : k + batch_size]))
+                        done += len(members[k : k + batch_size])
         finally:
             provider.close()
 
-    return rows.mapInPandas(work, SCHEMA)
+    made = rows.mapInPandas(work, SCHEMA).withColumn("text", stop_truncate(F.col("text"), sampling.stop_sequences))
+    return made.withColumn("response_id", F.substring(F.sha2(F.concat_ws("#", "prompt_id", "sample_index"), 256), 1, 32))
 
 
 def write_once(generated: DataFrame, path: str) -> DataFrame:

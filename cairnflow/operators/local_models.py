@@ -1,10 +1,22 @@
-"""Providers that run a model in the worker, where the libraries are installed."""
+"""Providers that run a model in the worker, where the libraries are installed.  Each has batches of its own and runs one at a time."""
 
 from __future__ import annotations
 
+import time
+
 from .generate import Provider, ProviderError, Sampling
 
 
+def chat(system: str, user: str) -> list[dict[str, str]]:
+    return ([{"role": "system", "content": system}] if system else []) + [{"role": "user", "content": user}]
+
+
+def shared(results: list[dict], start: float) -> list[tuple[dict | Exception, float]]:
+    """Each result with its share of the batch's time."""
+    each = (time.time() - start) / max(1, len(results))
+    return [(r, each) for r in results]
+
+
 class VLLMProvider(Provider):
     """A model in vLLM, loaded once by each partition; give such executors GPUs by a resource profile."""
 
@@ -23,14 +35,18 @@ class VLLMProvider(Provider):
     def close(self) -> None:
         self.engine = None
 
-    def generate(self, system: str, user: str, sampling: Sampling, sample_index: int) -> dict:
+    def generate_batch(self, tasks: list[tuple[str, str, int]], sampling: Sampling, concurrency: int) -> list[tuple[dict | Exception, float]]:
+        """The whole batch in one call of the engine; a failure is every task's."""
         from vllm import SamplingParams
 
-        said = ([{"role": "system", "content": system}] if system else []) + [{"role": "user", "content": user}]
-        seed = None if sampling.seed is None else sampling.seed + sample_index
-        how = SamplingParams(temperature=sampling.temperature, top_p=sampling.top_p, top_k=sampling.top_k, min_p=sampling.min_p, repetition_penalty=sampling.repetition_penalty, max_tokens=sampling.max_tokens, stop=sampling.stop_sequences or None, seed=seed)
-        out = self.engine.chat([said], how)[0].outputs[0]
-        return {"text": out.text, "token_count": len(out.token_ids), "finish_reason": out.finish_reason or ""}
+        start = time.time()
+        fixed = {"temperature": sampling.temperature, "top_p": sampling.top_p, "top_k": sampling.top_k, "min_p": sampling.min_p, "repetition_penalty": sampling.repetition_penalty, "max_tokens": sampling.max_tokens, "stop": sampling.stop_sequences or None}
+        how = [SamplingParams(**fixed, seed=None if sampling.seed is None else sampling.seed + k) for _, _, k in tasks]
+        try:
+            outputs = [o.outputs[0] for o in self.engine.chat([chat(s, u) for s, u, _ in tasks], how)]
+        except Exception as e:  # noqa: BLE001  the batch's failure is its rows', not the task's
+            return shared([e] * len(tasks), start)
+        return shared([{"text": o.text, "token_count": len(o.token_ids), "finish_reason": o.finish_reason or ""} for o in outputs], start)
 
 
 class TransformersProvider(Provider):
@@ -48,10 +64,28 @@ class TransformersProvider(Provider):
             raise ProviderError("transformers isn't installed") from e
         self.tool, self.net = AutoTokenizer.from_pretrained(self.model), AutoModelForCausalLM.from_pretrained(self.model)
 
-    def generate(self, system: str, user: str, sampling: Sampling, sample_index: int) -> dict:
-        said = ([{"role": "system", "content": system}] if system else []) + [{"role": "user", "content": user}]
-        ids = self.tool.apply_chat_template(said, add_generation_prompt=True, return_tensors="pt")
-        greedy = sampling.temperature == 0
-        knobs = {} if greedy else {"temperature": sampling.temperature, "top_p": sampling.top_p}
-        out = self.net.generate(ids, do_sample=not greedy, max_new_tokens=sampling.max_tokens, **knobs)[0][ids.shape[1] :]
-        return {"text": self.tool.decode(out, skip_special_tokens=True), "token_count": len(out), "finish_reason": "stop"}
+    def generate_batch(self, tasks: list[tuple[str, str, int]], sampling: Sampling, concurrency: int) -> list[tuple[dict | Exception, float]]:
+        """One call of the model for the batch, its prompts padded on the left; a failure is every task's."""
+        start = time.time()
+        try:
+            self.tool.padding_side = "left"
+            if self.tool.pad_token is None:
+                self.tool.pad_token = self.tool.eos_token
+            texts = [self.tool.apply_chat_template(chat(s, u), add_generation_prompt=True, tokenize=False) for s, u, _ in tasks]
+            given = self.tool(texts, return_tensors="pt", padding=True, add_special_tokens=False)
+            greedy = sampling.temperature == 0
+            knobs = {} if greedy else {"temperature": sampling.temperature, "top_p": sampling.top_p}
+            if sampling.seed is not None:
+                import torch
+
+                torch.manual_seed(sampling.seed)
+            made = self.net.generate(**given, do_sample=not greedy, max_new_tokens=sampling.max_tokens, **knobs)[:, given["input_ids"].shape[1] :]
+            return shared([self.read(ids.tolist()) for ids in made], start)
+        except Exception as e:  # noqa: BLE001  the batch's failure is its rows', not the task's
+            return shared([e] * len(tasks), start)
+
+    def read(self, ids: list[int]) -> dict:
+        """A response's ids up to its end."""
+        end = self.tool.eos_token_id
+        ids, finish = (ids[: ids.index(end)], "stop") if end in ids else (ids, "length")
+        return {"text": self.tool.decode(ids, skip_special_tokens=True), "token_count": len(ids), "finish_reason": finish}

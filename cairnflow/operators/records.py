@@ -2,7 +2,7 @@
 
 Raw records are VARIANT, which tells a JSON null from a missing key.  A mapper is registered
 by dataset name and turns (ordinal, raw) rows into (ordinal, id, prompt,
-ground_truth_answer, test_cases, reject); reject is null for good rows.
+ground_truth_answer, test_cases, metadata, reject); reject is null for good rows.
 """
 
 from __future__ import annotations
@@ -53,6 +53,12 @@ def text_of(raw: Column, key: str) -> Column:
     return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(raw, f"$.{key}", "string"))
 
 
+def falsy(raw: Column, key: str) -> Column:
+    """Whether the key has 0 or false, which load validation takes for no id."""
+    value, kind = F.try_variant_get(raw, f"$.{key}", "string"), F.schema_of_variant(F.try_variant_get(raw, f"$.{key}", "variant"))
+    return F.coalesce((kind != "STRING") & ((value == "false") | (value.try_cast("double") == 0)), F.lit(False))
+
+
 def gsm8k_final(answer: Column) -> Column:
     """What stands after the last ``####``, else the whole; stripped."""
     return strip(F.element_at(F.split(answer, "####"), -1))
@@ -69,6 +75,8 @@ def gsm8k(rows: DataFrame) -> DataFrame:
         strip(by_presence(raw, "question", "prompt")).alias("prompt"),
         gsm8k_final(answer).alias("ground_truth_answer"),
         F.lit(None).cast("array<map<string,string>>").alias("test_cases"),
+        F.create_map(F.lit("full_answer_steps"), answer, F.lit("index"), F.col("ordinal").cast("string"), F.lit("dataset"), F.lit("gsm8k")).alias("metadata"),
+        falsy(raw, "id").alias("no_id"),
     ).transform(rejected)
 
 
@@ -85,6 +93,8 @@ def mbpp(rows: DataFrame) -> DataFrame:
         strip(by_presence(raw, "text", "prompt")).alias("prompt"),
         strip(by_presence(raw, "code", "ground_truth")).alias("ground_truth_answer"),
         test_cases(F.coalesce(listed, F.array().cast("array<variant>"))).alias("test_cases"),
+        F.create_map(F.lit("index"), F.col("ordinal").cast("string"), F.lit("dataset"), F.lit("mbpp")).alias("metadata"),
+        F.when(has(raw, "id"), falsy(raw, "id")).otherwise(falsy(raw, "task_id")).alias("no_id"),
     ).transform(rejected)
 
 
@@ -96,14 +106,14 @@ def test_cases(listed: Column) -> Column:
 
 
 def rejected(entries: DataFrame) -> DataFrame:
-    """With ``reject``: malformed where a mapper couldn't read a value, empty where id, prompt or answer is empty."""
+    """With ``reject``: malformed where a mapper couldn't read a value, empty where id, prompt or answer is empty, or ``no_id`` says so of the id."""
     values = ("id", "prompt", "ground_truth_answer")
     unread = F.lit(False)
-    empty = F.lit(False)
+    empty = F.col("no_id") if "no_id" in entries.columns else F.lit(False)
     for c in values:
         unread = unread | F.col(c).isNull()
         empty = empty | (F.col(c) == "")
-    return entries.withColumn("reject", F.when(unread, "malformed").when(empty, "empty"))
+    return entries.withColumn("reject", F.when(unread, "malformed").when(empty, "empty")).drop("no_id")
 
 
 def valid(entries: DataFrame) -> DataFrame:
@@ -145,14 +155,14 @@ def ingest_report(mapped: DataFrame) -> DataFrame:
 
 
 def ingest(entries: DataFrame, math: bool = True) -> DataFrame:
-    """Validate, clean prompt and answer, normalise math if asked, then keep the first of each id."""
+    """Validate, keep the first of each id, and clean prompt and answer of what is left; normalise math if asked."""
     tidy = (lambda c: normalize_math(clean_whitespace(c))) if math else clean_whitespace
-    cleaned = valid(entries).withColumns({"prompt": clean_whitespace(F.col("prompt")), "ground_truth_answer": tidy(F.col("ground_truth_answer"))})
-    return dedup_first(cleaned)
+    return dedup_first(valid(entries)).withColumns({"prompt": clean_whitespace(F.col("prompt")), "ground_truth_answer": tidy(F.col("ground_truth_answer"))})
 
 
 def with_ordinal(rows: DataFrame, order: str) -> DataFrame:
-    """ordinal from 0 in the order of a column: a range-partitioned sort, and the partitions' counts."""
+    """ordinal from 0 in the order of a column: a range-partitioned sort, written down so that its partitions stay, and their counts."""
+    from ..session import checkpointed
     from ..sources.readers import indexed
 
-    return indexed(rows.orderBy(order))
+    return indexed(checkpointed(rows.orderBy(order)))

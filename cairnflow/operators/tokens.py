@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 #: A picklable function that makes a tokenizer with encode(text) -> list[int] and decode(ids) -> str.
 Factory = Callable[[], object]
-_made: dict[Factory, object] = {}
+_made: dict[tuple[str, str], object] = {}
 
 
 def made(factory: Factory):
-    if factory not in _made:
-        _made[factory] = factory()
-    return _made[factory]
+    """This worker's tokenizer of a factory, known by its module and name: the function itself is a new object in every task."""
+    name = (getattr(factory, "__module__", ""), getattr(factory, "__qualname__", repr(factory)))
+    if name not in _made:
+        _made[name] = factory()
+    return _made[name]
 
 
 def encode(rows: DataFrame, factory: Factory, text_col: str = "text") -> DataFrame:
@@ -43,3 +45,28 @@ def pad_id(tool) -> int | None:
     """A tokenizer's padding id, by default its end-of-text id."""
     pad = getattr(tool, "pad_token_id", None)
     return getattr(tool, "eos_token_id", None) if pad is None else pad
+
+
+def chat_prompt(rows: DataFrame, factory: Factory, system_col: str = "system_prompt", user_col: str = "user_prompt", to: str = "formatted_prompt", chatml: bool = True) -> DataFrame:
+    """With the tokenizer's own chat template over system and user, open for the assistant.
+
+    A tokenizer without a template, or whose template fails, gets ChatML, or with ``chatml``
+    false the two texts with a blank line between.
+    """
+
+    @F.pandas_udf("string")
+    def text(systems: pd.Series, users: pd.Series) -> pd.Series:
+        tool = made(factory)
+
+        def one(system: str, user: str) -> str:
+            said = ([{"role": "system", "content": system}] if system else []) + [{"role": "user", "content": user}]
+            try:
+                return tool.apply_chat_template(said, tokenize=False, add_generation_prompt=True)
+            except Exception:  # noqa: BLE001  templates are programs of their own
+                if not chatml:
+                    return f"{system}\n\n{user}"
+                return "".join(f"<|im_start|>{role}\n{x}<|im_end|>\n" for role, x in (("system", system), ("user", user))) + "<|im_start|>assistant\n"
+
+        return pd.Series([one(s or "", u or "") for s, u in zip(systems, users)])
+
+    return rows.withColumn(to, text(F.col(system_col), F.col(user_col)))

@@ -21,20 +21,29 @@ def pending(rows: DataFrame, done: DataFrame, id_col: str = "id") -> DataFrame:
     return rows.join(done.select(F.col("id").alias(id_col)), id_col, "left_anti")
 
 
+#: Distinct word sets of one share of a group.
+SHARE = 512
+
+
 def pairwise_jaccard(rows: DataFrame, group: str, order: str, text: str = "text") -> DataFrame:
     """(group, n_texts, avg_jaccard): the mean over pairs of the texts' word sets; 0 below two texts.
 
-    A group is a prompt's samples, a bounded number.  Texts with equal word sets stand once for
-    their count, so copies make no pairs; distinct sets of a group meet in an equi-join on it.
+    Texts with equal word sets stand once for their count, so copies make no pairs.  The mean
+    needs every two distinct sets of a group compared; a group of more than SHARE of them is
+    dealt in pairs of parts, so no task has more than SHARE squared comparisons of a group at
+    a time, and only sums leave it.
     """
     sets = rows.select(F.col(group).alias("g"), F.array_sort(word_set(F.coalesce(F.col(text), F.lit("")))).alias("w"))
     sizes = sets.groupBy("g").agg(F.count("*").alias("n_texts"))
     kinds = sets.where(F.size("w") > 0).groupBy("g", "w").agg(F.count("*").alias("c"))
-    a, b = kinds.alias("a"), kinds.alias("b")
-    both = F.size(F.array_intersect("a.w", "b.w"))
-    pairs = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.w") < F.col("b.w")))
-    shared = pairs.select(F.col("a.g").alias("g"), (F.col("a.c") * F.col("b.c") * both / (F.size("a.w") + F.size("b.w") - both)).alias("s"))
-    same = kinds.select("g", (F.col("c") * (F.col("c") - 1) / 2).alias("s"))
+    large = kinds.groupBy("g").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("parts")).where("parts > 1")
+    dealt = kinds.join(large, "g", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("w"), F.col("parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    a = dealt.select("g", "w", "c", F.col("mine").alias("i"), every.alias("j"))
+    b = dealt.select("g", F.col("w").alias("v"), F.col("c").alias("d"), every.alias("i"), F.col("mine").alias("j"))
+    both = F.size(F.array_intersect("w", "v"))
+    shared = a.join(b, ["g", "i", "j"]).where("w < v").select("g", (F.col("c") * F.col("d") * both / (F.size("w") + F.size("v") - both)).alias("s"))
+    same = kinds.where("c > 1").select("g", (F.col("c") * (F.col("c") - 1) / 2).alias("s"))
     total = shared.union(same).groupBy("g").agg(F.sum("s").alias("s"))
     n = F.col("n_texts")
     mean = F.when(n > 1, F.coalesce("s", F.lit(0.0)) / (n * (n - 1) / 2)).otherwise(F.lit(0.0))

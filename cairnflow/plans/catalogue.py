@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
 from ..functions import text as T
-from ..operators import generate, prompts, records, trajectories
+from ..operators import generate, prompts, records, trajectories, verifiers
+from ..session import checkpoint_dir
+from ..sources import readers
 from . import grids
 
 #: Response texts made of an order's keys, every extractor branch; valid in Spark's and DuckDB's SQL alike.
@@ -37,6 +41,7 @@ ELSE 'return ' || CAST(o_orderkey AS STRING) END"""
 RECIPE = grids.Recipe(personas=["analytical", "teacher"], strategies=["default"], styles=["standard"], query_rewrites=["standard", "elegant"], temperatures=[0.5, 1.0], top_p=[0.95], seeds=[None, 7], samples_per_configuration=2)
 PERSONAS = {"analytical": "Work with rigor.", "teacher": "Explain every step."}
 STYLES = {"standard": "Use the tags <think> and <answer>."}
+SUMS = ("You check sums.", "Is this right?\n")
 STOPS = ["</answer>", "total", "done"]
 
 
@@ -114,6 +119,14 @@ def verify_math(spark, d):
     return responses(spark, d).select("o_orderkey", *(c.alias(k) for k, c in v.items()))
 
 
+def verify_typed(spark, d):
+    """The verdict by each row's task type: maths, code unless it must be run, and a type without a verifier."""
+    kinds = F.element_at(F.array(*map(F.lit, ["math", "code", "essay"])), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    rows = table(spark, d, "orders").select("o_orderkey", kinds.alias("task_type"), F.when(kinds == "code", F.expr(CODE)).otherwise(F.expr(RESPONSE)).alias("text"), F.col("o_custkey").cast("string").alias("ground_truth_answer"))
+    out = verifiers.verify(rows, F.col("task_type"))
+    return out.select("o_orderkey", "task_type", "is_correct", "verify_error")
+
+
 def stop_truncate(spark, d):
     return responses(spark, d).select("o_orderkey", T.stop_truncate(F.col("text"), STOPS).alias("cut"))
 
@@ -140,9 +153,9 @@ def mbpp_tests(spark, d):
 
 
 def entries(spark, d):
-    """Documents as entries keyed by their text's start, so that copies share an id."""
+    """Documents as entries keyed by their text, so that copies share an id."""
     t = F.col("text")
-    return table(spark, d, "documents").select(F.substring(t, 1, 40).alias("id"), t.alias("prompt"), F.when(F.col("doc_id") % 7 == 0, F.lit("")).when(F.col("doc_id") % 11 != 0, F.col("lang")).alias("ground_truth_answer"), F.col("doc_id").alias("ordinal"))
+    return table(spark, d, "documents").select(F.md5(t).alias("id"), t.alias("prompt"), F.when(F.col("doc_id") % 7 == 0, F.lit("")).when(F.col("doc_id") % 11 != 0, F.col("lang")).alias("ground_truth_answer"), F.col("doc_id").alias("ordinal"))
 
 
 def validate_entries(spark, d):
@@ -166,6 +179,55 @@ def json_props(spark, d):
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("k").alias("sum_k"), F.max("k").alias("max_k"))
 
 
+def with_ordinal(spark, d):
+    return records.with_ordinal(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "ordinal")
+
+
+def load_falsy(spark, d):
+    """Raw records with ids 0, 1 and 2: 0 is no id."""
+    raw = F.parse_json(F.to_json(F.struct(F.col("text").alias("question"), F.lit("so #### 5").alias("answer"), (F.col("item_id") % 3).alias("id"))))
+    return records.load(table(spark, d, "benchmark").select(F.col("item_id").alias("ordinal"), raw.alias("raw")), "gsm8k")[1]
+
+
+def record_metadata(spark, d):
+    raw = F.parse_json(F.to_json(F.struct(F.col("text").alias("question"), F.concat(F.lit(" steps #### "), F.col("item_id").cast("string"), F.lit(" ")).alias("answer"))))
+    m = F.col("metadata")
+    return records.gsm8k(table(spark, d, "benchmark").select(F.col("item_id").alias("ordinal"), raw.alias("raw"))).select("id", "ground_truth_answer", m["full_answer_steps"].alias("steps"), m["index"].alias("index"), m["dataset"].alias("dataset"))
+
+
+def item_file(spark, d, name: str, whole: bool):
+    """Benchmark items written as JSON lines, with blank and broken ones between, or as one JSON list; the folder."""
+    folder = f"{checkpoint_dir(spark)}/{name}-{uuid4().hex}"
+    item = F.to_json(F.struct(F.col("item_id").alias("id"), F.col("text").alias("problem")))
+    b = table(spark, d, "benchmark")
+    if whole:  # a list is one file by nature
+        rows = b.select("item_id", F.concat(item, F.lit(",")).alias("value"))
+        ends = spark.createDataFrame([(-1, "["), (1 << 60, '{"id": -1}]')], "item_id long, value string")
+        rows.union(ends).orderBy("item_id").coalesce(1).select("value").write.text(folder)
+    else:
+        value = F.when(F.col("item_id") % 7 == 3, "{bad").when(F.col("item_id") % 5 == 2, "  ").otherwise(item)
+        b.orderBy("item_id").select(value.alias("value")).write.text(folder)
+    return folder
+
+
+def scan_json(spark, d):
+    out = readers.scan_json(spark, item_file(spark, d, "list", True))
+    return out.select("ordinal", F.try_variant_get("raw", "$.id", "long").alias("item_id"), F.try_variant_get("raw", "$.problem", "string").alias("problem"))
+
+
+def scan_jsonl(spark, d):
+    out = readers.scan_jsonl(spark, item_file(spark, d, "lines", False))
+    return out.select("ordinal", F.try_variant_get("raw", "$.id", "long").alias("item_id"), F.try_variant_get("raw", "$.problem", "string").alias("problem"))
+
+
+def scan_prompts(spark, d):
+    return readers.scan_prompts(spark, item_file(spark, d, "prompts", False), "Be brief.").select("id", "system_prompt", "user_prompt")
+
+
+def scan_rejects(spark, d):
+    return readers.rejects(spark, item_file(spark, d, "rejects", False))
+
+
 # -- prompts and grids --------------------------------------------------------------------
 
 
@@ -175,7 +237,8 @@ def chatml_prompt(spark, d):
 
 def template_render(spark, d):
     rows = questions(spark, d).withColumnRenamed("user_prompt", "problem")
-    return prompts.render(rows, "math").drop("problem")
+    prompts.register_template("sums", SUMS[0], SUMS[1] + "{problem}")
+    return prompts.render(rows, "sums").drop("problem")
 
 
 def jobs(spark, d):
@@ -218,6 +281,18 @@ def endpoint_url(spark, d):
     return table(spark, d, "pages").select("page_id", prompts.endpoint(shaped).alias("endpoint"))
 
 
+def grid_defaults(spark, d):
+    """A recipe with but one axis: the others have their defaults."""
+    out = grids.jobs(questions(spark, d), grids.Recipe(personas=["teacher"]))
+    return out.select("job_id", "persona", "strategy", "style", "rewrite", "temperature", "top_p", "sample_index")
+
+
+def sampling_applied(spark, d):
+    """Responses by the sampling that they were generated with: their job's own."""
+    made = generate.run(jobs(spark, d).withColumnRenamed("job_id", "id").withColumnRenamed("raw_user_prompt", "user_prompt"), generate.MockProvider(), generate.Sampling(n=2, temperature=9.0))
+    return made.groupBy("temperature", "top_p", seed_text()).agg(F.count("*").alias("n"), F.count_distinct("response_id").alias("n_ids"))
+
+
 def seed_text():
     return F.coalesce(F.col("seed").cast("string"), F.lit("None")).alias("seed")
 
@@ -354,7 +429,7 @@ QUERIES = (
     stop_truncate, gen_config, gsm8k_answer, mbpp_tests, validate_entries, dedup_first, ingest_pipeline, ingest_report, json_props, chatml_prompt, template_render, query_rewrite,
     chat_messages, api_payload, endpoint_url, grid_jobs, experiment_prompts, sampling_groups, batch_assign, resume_union, resume_anti, job_outcome_join, run_report, generate_mock,
     pairwise_jaccard, diversity_stats, diversity_score, correctness_stats, leaderboard, recipe_summary, spectrum_nested, boundary_groups, group_advantage, reward_total, distill_select,
-    best_of_n, join_smoke, event_windows,
+    best_of_n, join_smoke, event_windows, with_ordinal, load_falsy, record_metadata, scan_json, scan_jsonl, scan_prompts, scan_rejects, grid_defaults, sampling_applied, verify_typed,
 )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .catalogue import CODE, PERSONAS, RECIPE, RESPONSE, STOPS, STYLES
+from .catalogue import CODE, PERSONAS, RECIPE, RESPONSE, STOPS, STYLES, SUMS
 
 WS = r"[\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NUM = r"[-+]?\d*\.\d+|[-+]?\d+/\d+|[-+]?\d+"
@@ -75,7 +75,7 @@ def math_of(x: str) -> str:
     return strip(rf"replace(replace({strip(out)}, '\percent', '%'), '\%', '%')")
 
 
-ENTRIES = "(SELECT substr(text, 1, 40) AS id, text AS prompt, CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 11 <> 0 THEN lang END AS answer, doc_id AS ordinal FROM documents)"
+ENTRIES = "(SELECT md5(text) AS id, text AS prompt, CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 11 <> 0 THEN lang END AS answer, doc_id AS ordinal FROM documents)"
 VALID = f"(SELECT * FROM {ENTRIES} WHERE {strip('id')} <> '' AND {strip('prompt')} <> '' AND answer IS NOT NULL)"
 
 
@@ -133,7 +133,6 @@ REWARD = "(SELECT doc_id, persona, round(CASE WHEN is_correct THEN 1.0 ELSE 0.0
 CUT = "least(" + ", ".join(f"coalesce(nullif(strpos(text, '{s}'), 0), 1000000)" for s in STOPS) + ")"
 RATE = "sum(CASE WHEN is_correct THEN 1 ELSE 0 END) / count(*)::DOUBLE"
 COMPOSED = lit(PERSONAS["analytical"] + "\n\nFormat instructions:\n" + STYLES["standard"])
-MATH_SYSTEM = "You are a mathematics expert. Show your complete reasoning inside <think>...</think> tags. Provide your final numerical answer inside <answer>...</answer> tags."
 FLOAT = r"^[+-]?(?:(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+)?|(?i:inf|infinity|nan))$"
 
 
@@ -141,6 +140,10 @@ def py_float(x: str) -> str:
     return f"CASE WHEN regexp_matches({x}, '{FLOAT}') THEN try_cast(replace({x}, '_', '') AS DOUBLE) END"
 
 
+ITEMS = "(SELECT item_id, text, row_number() OVER (ORDER BY item_id) - 1 AS line FROM benchmark)"
+GOOD = f"(SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS ordinal FROM {ITEMS} WHERE item_id % 7 <> 3 AND item_id % 5 <> 2)"
+TYPED = "(SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'math' WHEN 1 THEN 'code' ELSE 'essay' END AS task_type FROM orders)"
+FALSY = "item_id % 3 = 0"
 TEMPERATURE = "CASE WHEN o_orderkey % 3 = 0 THEN 0.0 ELSE (o_orderkey % 5 + 1) / 5.0::DOUBLE END"
 SQL = {
     "clean_whitespace": f"SELECT doc_id, {cleaned("(chr(9) || ' ' || replace(text, '. ', ' ' || chr(13) || chr(10) || chr(13) || '   ') || chr(10) || chr(10))")} AS cleaned FROM documents",
@@ -167,7 +170,7 @@ SQL = {
     "json_props": "SELECT event_type, count(*) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS sum_k, max(CAST(json_extract(props, '$.k') AS BIGINT)) AS max_k FROM events GROUP BY 1",
     "chatml_prompt": f"""SELECT id, 'Solve math problems.' AS system_prompt, 'Problem: ' || user_prompt AS user_query, 20 AS system_prompt_length, length('Problem: ' || user_prompt) AS user_query_length,
         '<|im_start|>system' || chr(10) || 'Solve math problems.<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || 'Problem: ' || user_prompt || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS formatted_prompt FROM {Q}""",
-    "template_render": f"SELECT id, {lit(MATH_SYSTEM)} AS system_prompt, {lit(_REWRITES['standard'])} || user_prompt AS user_prompt, 'v1' AS template_version FROM {Q}",
+    "template_render": f"SELECT id, {lit(SUMS[0])} AS system_prompt, {lit(SUMS[1])} || user_prompt AS user_prompt, 'v1' AS template_version FROM {Q}",
     "query_rewrite": f"SELECT id, rewrite, {rewritten('rewrite', 'user_prompt')} AS user_prompt FROM (SELECT *, ['standard', 'default', '', 'beginner', 'elegant', 'alternative_method', 'unknown'][CAST(id AS INT) % 7 + 1] AS rewrite FROM {Q})",
     "compose_prompts": f"SELECT job_id, CASE WHEN persona = 'analytical' THEN {COMPOSED} ELSE {lit('Format instructions:' + chr(10) + STYLES['standard'])} END AS system_prompt, {rewritten('rewrite', 'raw_user_prompt')} AS user_prompt FROM {JOBS}",
     "chat_messages": f"SELECT id, CASE WHEN CAST(id AS INT) % 2 = 0 THEN 2 ELSE 1 END AS n, CASE WHEN CAST(id AS INT) % 2 = 0 THEN 'system,user' ELSE 'user' END AS roles, user_prompt AS last FROM {Q}",
@@ -198,9 +201,24 @@ SQL = {
     "distill_select": f"SELECT doc_id, persona FROM {REWARD} WHERE reward = 1.0",
     "best_of_n": f"SELECT persona, place, doc_id, reward FROM (SELECT *, row_number() OVER (PARTITION BY persona ORDER BY reward DESC, doc_id) AS place FROM {REWARD}) WHERE place <= 3",
     "join_smoke": "SELECT n_name, count(*) AS n_orders, round(sum(q), 2) AS quantity FROM orders JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1) ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
+    "with_ordinal": "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal FROM documents",
+    "load_falsy": f"SELECT count(*) AS n_raw, count(DISTINCT CASE WHEN NOT {FALSY} THEN item_id % 3 END) AS n_loaded, count(*) FILTER (WHERE {FALSY}) AS n_malformed, count(*) FILTER (WHERE NOT {FALSY}) - count(DISTINCT CASE WHEN NOT {FALSY} THEN item_id % 3 END) AS n_duplicates FROM benchmark",
+    "record_metadata": "SELECT 'gsm8k-' || CAST(item_id AS STRING) AS id, CAST(item_id AS STRING) AS ground_truth_answer, 'steps #### ' || CAST(item_id AS STRING) AS steps, CAST(item_id AS STRING) AS index, 'gsm8k' AS dataset FROM benchmark",
+    "scan_json": "SELECT row_number() OVER (ORDER BY item_id) - 1 AS ordinal, item_id, text AS problem FROM benchmark UNION ALL SELECT count(*), -1, NULL FROM benchmark",
+    "scan_jsonl": f"SELECT ordinal, item_id, text AS problem FROM {GOOD}",
+    "scan_prompts": f"SELECT CASE WHEN item_id = 0 THEN 'prompt-' || CAST(line AS STRING) ELSE CAST(item_id AS STRING) END AS id, 'Be brief.' AS system_prompt, text AS user_prompt FROM {GOOD}",
+    "scan_rejects": f"SELECT line FROM {ITEMS} WHERE item_id % 7 = 3",
+    "grid_defaults": f"SELECT id || '_teacher_default_standard_standard_t1.0_p1.0_sNone_idx0' AS job_id, 'teacher' AS persona, 'default' AS strategy, 'standard' AS style, 'standard' AS rewrite, 1.0::DOUBLE AS temperature, 1.0::DOUBLE AS top_p, 0 AS sample_index FROM {Q}",
+    "sampling_applied": f"SELECT temperature, top_p, coalesce(CAST(seed AS STRING), 'None') AS seed, 2 * count(*) AS n, 2 * count(*) AS n_ids FROM {JOBS} GROUP BY 1, 2, 3",
+    "verify_typed": f"""SELECT t.o_orderkey, t.task_type, CASE t.task_type WHEN 'math' THEN m.is_correct WHEN 'code' THEN CASE WHEN c.code = '' OR c.pattern IS NOT NULL THEN false END ELSE false END AS is_correct,
+        CASE t.task_type WHEN 'math' THEN m.error_message WHEN 'code' THEN CASE WHEN c.code = '' THEN 'Could not extract Python code block from response.' WHEN c.pattern IS NOT NULL THEN 'Security rejection: unsafe pattern ' || chr(39) || c.pattern || chr(39) || ' detected in generated code.' END ELSE 'Verifier exception: no verifier for essay' END AS verify_error
+        FROM {TYPED} t JOIN (__VERIFY__) m USING (o_orderkey) JOIN (SELECT o_orderkey, code, {UNSAFE_CASE} AS pattern FROM {CODES}) c USING (o_orderkey)""",
     "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
 }
 
 
+SQL["verify_typed"] = SQL["verify_typed"].replace("__VERIFY__", SQL["verify_math"])
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -1,4 +1,4 @@
-"""Whole runs: prompts to responses, and recipes to verified spectra, a leaderboard and a summary.
+"""Whole runs: prompts to responses, recipes and experiments to verified spectra, a leaderboard and a summary.
 
 Responses are written before anything reads them, so a lost executor never makes a prompt
 be generated twice by a later step; finished ids are read back from that table, so a run
@@ -7,6 +7,7 @@ that stopped goes on where it was.
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 from uuid import uuid4
 
@@ -15,13 +16,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import answers
-from ..operators import generate, prompts, trajectories
+from ..operators import generate, prompts, trajectories, verifiers
+from ..operators.metrics import RunMetrics
+from ..sources import readers
 from . import grids
 
+log = logging.getLogger(__name__)
+
 
 @dataclass
 class Run:
-    """Where a run's tables lie: responses, spectra (JSON lines), summary."""
+    """Where a run's tables lie: responses, spectra (JSON lines), finished ids, summary."""
 
     folder: str
 
@@ -35,14 +40,20 @@ class Run:
             return None
 
 
-def generate_pending(wanted: DataFrame, provider: generate.Provider, sampling: generate.Sampling, run: Run, resume: bool = True) -> DataFrame:
-    """Generate for the prompts (id, system_prompt, user_prompt) that have no good response yet; all responses so far."""
+def generate_pending(wanted: DataFrame, provider: generate.Provider, sampling: generate.Sampling, run: Run, resume: bool = True, **options) -> DataFrame:
+    """Generate for the prompts (id, system_prompt, user_prompt, and a sampling of their own) that have no good response yet; all responses so far.
+
+    Options are those of :func:`..operators.generate.run`.
+    """
     spark = wanted.sparkSession
     before = run.responses(spark) if resume else None
     if before is not None:
         wanted = trajectories.pending(wanted, before.where("error is null").select(F.col("prompt_id").alias("id")).distinct())
-    made = generate.run(wanted, provider, sampling).withColumn("run", F.lit(uuid4().hex))
-    return generate.write_once(made, run.path("responses"))
+    metrics = RunMetrics()
+    made = metrics.watch(generate.run(wanted, provider, sampling, **options)).withColumn("run", F.lit(uuid4().hex))
+    out = generate.write_once(made, run.path("responses"))
+    log.info("generated: %s", metrics.report())
+    return out
 
 
 def report(wanted: DataFrame, responses: DataFrame) -> DataFrame:
@@ -57,33 +68,94 @@ def report(wanted: DataFrame, responses: DataFrame) -> DataFrame:
     return trajectories.run_report(joined.withColumn("status", status))
 
 
-def verified(responses: DataFrame, jobs: DataFrame, truths: DataFrame) -> DataFrame:
-    """Good responses with their job's persona, parsed fields and verdict; truths are (prompt_id, ground_truth_answer).
+def verified(responses: DataFrame, jobs: DataFrame, truths: DataFrame, verifier_type: str = "math") -> DataFrame:
+    """Good responses with what ``jobs`` (job_id, prompt_id, …) says of theirs, parsed fields and the verdict of a verifier.
 
-    A prompt without a truth is held against an empty one.
+    truths are (prompt_id, ground_truth_answer) and, for code, assertions.  A prompt without a
+    truth is held against an empty one.  extracted_answer is the provider's.
     """
     good = responses.where("error is null").withColumnRenamed("prompt_id", "job_id")
-    joined = good.join(jobs.select("job_id", "prompt_id", "persona", "combo"), "job_id").join(truths, "prompt_id", "left")
-    parsed, verdict = answers.parse_response(F.col("text")), answers.math_verdict(F.col("text"), F.col("ground_truth_answer"))
-    return joined.withColumns({"thinking_trace": parsed["thinking"], "extracted_answer": answers.provider_answer(F.col("text")), "is_correct": verdict["is_correct"], "verify_error": verdict["error_message"]})
+    joined = good.join(jobs, "job_id").join(truths, "prompt_id", "left")
+    return verifiers.verify(joined, verifier_type).withColumn("extracted_answer", answers.provider_answer(F.col("text")))
+
+
+#: What a nested spectrum states of each response.
+RESPONSE = ["response_id", "job_id", "persona", "sample_index", "text", "thinking_trace", "extracted_answer", "reasoning_length_chars", "is_correct", "verify_error", "token_count", "finish_reason", "latency_ms", "temperature", "top_p", "seed"]
+
+
+def spectra(judged: DataFrame, source: DataFrame, recipe: str, sampling: generate.Sampling) -> tuple[DataFrame, DataFrame]:
+    """(spectra, diversity): for each prompt its responses in order, verdict counts, diversity, timing, sampling and origin."""
+    nested = trajectories.spectra(judged, "prompt_id", "place", RESPONSE)
+    counts = trajectories.correctness(judged, "prompt_id")
+    timing = judged.groupBy("prompt_id").agg(
+        F.struct((F.sum("latency_ms") / 1000).alias("latency_seconds"), F.sum("token_count").alias("total_tokens"), F.when(F.sum("latency_ms") > 0, F.sum("token_count") * 1000 / F.sum("latency_ms")).otherwise(F.lit(0.0)).alias("tokens_per_second")).alias("timing"),
+        F.min(F.struct("provider", "model")).alias("provider_info"),
+    )
+    diversity = trajectories.diversity(judged, "prompt_id", "place")
+    told = diversity.select("prompt_id", F.struct(*(c for c in diversity.columns if c != "prompt_id")).alias("diversity_statistics"))
+    metadata = F.struct(F.lit(recipe).alias("recipe_name"), F.col("total").alias("total_candidates"), F.col("correct").alias("correct_candidates"), F.col("incorrect").alias("incorrect_candidates"), F.col("ratio").alias("correctness_ratio"))
+    config = F.struct(*(F.lit(v).alias(k) for k, v in (("temperature", sampling.temperature), ("top_p", sampling.top_p), ("top_k", sampling.top_k), ("min_p", sampling.min_p), ("repetition_penalty", sampling.repetition_penalty), ("max_tokens", sampling.max_tokens), ("n", sampling.n))))
+    own = source.select(F.col("id").alias("prompt_id"), F.struct("id", "user_prompt").alias("prompt"))
+    whole = nested.join(counts, "prompt_id").join(told, "prompt_id").join(timing, "prompt_id").join(own, "prompt_id", "left")
+    return whole.select("prompt_id", "prompt", "n_responses", "responses", metadata.alias("metadata"), "diversity_statistics", "timing", config.alias("sampling"), "provider_info"), diversity
+
+
+def written(judged: DataFrame, source: DataFrame, name: str, sampling: generate.Sampling, run: Run, experiment: str | None = None) -> dict[str, DataFrame]:
+    """Spectra and summary of all that a run's folder holds, written there; the summary has the leaderboard in it."""
+    spark = source.sparkSession
+    nested, diversity = spectra(judged, source, name, sampling)
+    nested.write.mode("overwrite").json(run.path("spectra"))
+    board = trajectories.leaderboard(judged, order="place")
+    listed = board.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "persona", "correctness", "correct_count", "total_count", "avg_tokens"))), lambda r: r.dropFields("place")).alias("persona_leaderboard"))
+    totals = trajectories.recipe_summary(judged, diversity, "prompt_id").select(F.lit(name).alias("recipe"), F.lit(experiment).alias("experiment"), "*")
+    summary = totals.crossJoin(listed)  # one row each
+    readers.write_summary(summary, run.path("summary"))
+    return {"responses": judged, "spectra": spark.read.json(run.path("spectra")), "leaderboard": board, "summary": summary, "diversity": diversity}
 
 
-def run_recipe(source: DataFrame, truths: DataFrame, recipe: grids.Recipe, provider: generate.Provider, sampling: generate.Sampling, folder: str, extra_rewrites: dict[str, str] | None = None) -> dict[str, DataFrame]:
+def run_recipe(source: DataFrame, truths: DataFrame, recipe: grids.Recipe, provider: generate.Provider, sampling: generate.Sampling, folder: str, extra_rewrites: dict[str, str] | None = None, verifier_type: str = "math", **options) -> dict[str, DataFrame]:
     """Plan, generate, verify and report a recipe for prompts (id, user_prompt).
 
-    Gives responses, spectra, leaderboard and summary; spectra and summary are written to
-    the folder as well, over all that the folder holds, earlier runs included.
+    Every job is generated at its own temperature, top_p and seed; ``sampling`` has the rest.
+    Gives responses, spectra, leaderboard, diversity and summary; spectra and summary are
+    written to the folder as well, over all that the folder holds, earlier runs included.
     """
     spark, run = source.sparkSession, Run(folder)
     jobs = grids.jobs(source, recipe)
     dims = [prompts.dimension(spark, prompts.assets(kind), name) for kind, name in (("personas", "persona"), ("strategies", "strategy"), ("styles", "style"))]
     composed = prompts.compose(jobs, *dims, extra_rewrites=extra_rewrites).withColumnRenamed("job_id", "id")
-    responses = generate_pending(composed, provider, sampling, run)
-    judged = verified(responses, jobs, truths)
-    spectra = trajectories.spectra(judged, "prompt_id", "combo", ["job_id", "persona", "text", "thinking_trace", "extracted_answer", "is_correct", "token_count"])
-    spectra.write.mode("overwrite").json(run.path("spectra"))
-    diversity = trajectories.diversity(judged, "prompt_id", "combo")
-    board = trajectories.leaderboard(judged, order="combo")
-    summary = trajectories.recipe_summary(judged, diversity, "prompt_id")
-    summary.coalesce(1).write.mode("overwrite").json(run.path("summary"))
-    return {"responses": judged, "spectra": spark.read.json(run.path("spectra")), "leaderboard": board, "summary": summary, "diversity": diversity}
+    responses = generate_pending(composed, provider, sampling, run, **options)
+    told = jobs.select("job_id", "prompt_id", "persona", (F.col("combo") * sampling.n).alias("first"))
+    judged = verified(responses, told, truths, verifier_type).withColumn("place", F.col("first") + F.col("sample_index"))
+    return written(judged, source, recipe.name, sampling, run)
+
+
+def run_experiment(source: DataFrame, truths: DataFrame, experiment: grids.Experiment, name: str, provider: generate.Provider, sampling: generate.Sampling, folder: str | None = None, **options) -> dict[str, DataFrame]:
+    """One recipe of an experiment: personas by styles by temperatures by seeds, each with its samples, to the recipe's own folder.
+
+    Prompts that have their responses are passed over; the summary covers all that the folder
+    holds.  KeyError for a recipe that the experiment hasn't.
+    """
+    if name not in experiment.recipes:
+        raise KeyError(f"no recipe {name!r}; there are {sorted(experiment.recipes)}")
+    recipe, run = experiment.recipes[name], Run(f"{folder or experiment.output_dir}/{experiment.name}/{name}")
+    personas, styles = prompts.assets("personas"), prompts.assets("styles")
+    config = generate.replace(sampling, n=recipe.samples_per_configuration)
+    grid = grids.experiment(source, {p: personas.get(p, "") for p in recipe.personas}, {s: styles.get(s, "") for s in recipe.styles}, recipe.temperatures, recipe.seeds)
+    responses = generate_pending(grid, provider, config, run, **options)
+    told = grid.select(F.col("id").alias("job_id"), F.col("base_prompt_id").alias("prompt_id"), "persona", "style", (F.col("combo") * config.n).alias("first"))
+    judged = verified(responses, told, truths, experiment.verifier_type).withColumn("place", F.col("first") + F.col("sample_index"))
+    return written(judged, source, name, config, run, experiment.name)
+
+
+def run_prompts(source: DataFrame, truths: DataFrame, provider: generate.Provider, sampling: generate.Sampling, folder: str, verifier_type: str = "math", job_id: str = "default", resume: bool = True, **options) -> dict[str, DataFrame]:
+    """A plain run over prompts (id, system_prompt, user_prompt): responses, spectra, finished ids by ``job_id``, and a report."""
+    run = Run(folder)
+    done = readers.Checkpoint(source.sparkSession, run.path("completed"), job_id)
+    wanted = trajectories.pending(source.withColumn("id", F.col("id").cast("string")), done.completed()) if resume else source
+    responses = generate_pending(wanted, provider, sampling, run, resume, **options)
+    told = source.select(F.col("id").cast("string").alias("job_id"), F.col("id").cast("string").alias("prompt_id"), F.lit(None).cast("string").alias("persona"))
+    judged = verified(responses, told, truths, verifier_type).withColumn("place", F.col("sample_index"))
+    out = written(judged, source, job_id, sampling, run)
+    done.mark(responses.where("error is null").select(F.col("prompt_id").alias("id")))
+    return out | {"report": report(source, responses)}

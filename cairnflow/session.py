@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import logging
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -28,3 +29,24 @@ def setup_logging(level: int = logging.INFO, file: str | None = None) -> None:
     if file:
         handlers.append(logging.FileHandler(file, encoding="utf-8"))
     logging.basicConfig(level=level, format="%(asctime)s %(levelname)s %(name)s: %(message)s", handlers=handlers, force=True)
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; where none is set, a temporary one on a local master (tests), and an error on a cluster."""
+    sc = spark.sparkContext
+    now = sc._jsc.sc().getCheckpointDir()
+    if now.isDefined():
+        return now.get()
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="cairnflow-")
+    sc.setCheckpointDir(path)
+    return path
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage; its partitions are fixed from then on."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -3,20 +3,29 @@
 from __future__ import annotations
 
 import json
+from itertools import islice
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
 
-def scan_hub(spark: SparkSession, path: str, name: str | None = None, split: str = "train", **options) -> DataFrame:
+
+def scan_hub(spark: SparkSession, path: str, name: str | None = None, split: str = "train", batch: int = 10_000, **options) -> DataFrame:
     """(ordinal, raw) of a dataset's split; ImportError without the library ``datasets``.
 
-    The split comes through the driver in batches of rows; for large ones, read the hub's
-    Parquet files with ``spark.read`` instead.
+    The split comes through the driver, ``batch`` rows at a time, into a table in the shared
+    checkpoint folder; of large ones, read the hub's Parquet files with ``spark.read`` instead.
     """
     try:
         from datasets import load_dataset
     except ImportError as e:
         raise ImportError("the library 'datasets' is needed to read from the hub") from e
-    rows = [(i, json.dumps(r, default=str)) for i, r in enumerate(load_dataset(path, name, split=split, **options))]
-    return spark.createDataFrame(rows, "ordinal long, j string").select("ordinal", F.parse_json("j").alias("raw"))
+    rows = ((i, json.dumps(r, default=str)) for i, r in enumerate(load_dataset(path, name, split=split, **options)))
+    folder = f"{checkpoint_dir(spark)}/hub-{uuid4().hex}"
+    schema = "ordinal long, j string"
+    spark.createDataFrame([], schema).write.parquet(folder)
+    while held := list(islice(rows, batch)):
+        spark.createDataFrame(held, schema).write.mode("append").parquet(folder)
+    return spark.read.schema(schema).parquet(folder).select("ordinal", F.parse_json("j").alias("raw"))

@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
+import logging
+
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
 
+log = logging.getLogger(__name__)
+
 
 def indexed(rows: DataFrame, name: str = "ordinal") -> DataFrame:
     """With the place of each row, from 0, in the order of partitions and of rows in them.
 
-    Only the partitions' counts come to the driver; nothing is sorted or dealt.
+    Partitions are counted in one job and numbered in another, so they must be the same in
+    both: a scan's and a checkpoint's are, those behind a shuffle aren't
+    (:func:`..operators.records.with_ordinal` makes them so).  What comes before each
+    partition is a table of one small row for each, joined by its number.
     """
-    marked = rows.withColumn("__mid", F.monotonically_increasing_id())
-    pid = F.shiftright("__mid", 33)
-    counts = dict(marked.groupBy(pid.alias("p")).count().collect())
-    offsets, total = [], 0
-    for p in sorted(counts):
-        offsets += [F.lit(p), F.lit(total)]
-        total += counts[p]
-    base = F.create_map(*offsets)[pid] if offsets else F.lit(0)
-    return marked.withColumn(name, (base + F.col("__mid").bitwiseAND((1 << 33) - 1)).cast("long")).drop("__mid")
+    held = rows.withColumn("__mid", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__mid", 33))
+    counts = held.groupBy("__part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("__part", F.coalesce(before, F.lit(0)).alias("__start"))
+    # a row of two numbers for each partition: 16 MB for a million partitions
+    numbered = held.join(F.broadcast(starts), "__part")
+    return numbered.select(*rows.columns, (F.col("__start") + F.col("__mid").bitwiseAND((1 << 33) - 1)).alias(name))
 
 
 def read_text(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
@@ -45,14 +50,31 @@ def scan_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, raw): lines that aren't blank, with their place among all lines; raw is null where a line isn't JSON."""
-    numbered = indexed(read_text(spark, path), "line").select("line", strip(F.col("value")).alias("value")).where("value <> ''")
-    return numbered.select("line", F.try_parse_json("value").alias("raw"))
+    """(line, raw, file, block): lines that aren't blank, with their place among all lines; raw is null where a line isn't JSON.
+
+    Lines count on through the files of a folder in the order of their names.
+    """
+    rows = read_text(spark, path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    numbered = in_files(rows, "line").withColumn("value", strip(F.col("value"))).where("value <> ''")
+    return numbered.select("line", F.try_parse_json("value").alias("raw"), "file", "block")
+
+
+def in_files(rows: DataFrame, name: str) -> DataFrame:
+    """With the place of each row, from 0, by file, block of the file, and place in the block, for a scan with columns file and block.
+
+    Splits aren't read in the order of the files, so they are put in order by a table of one
+    row for each, which is joined by file and block.
+    """
+    held = rows.withColumn("__mid", F.monotonically_increasing_id())
+    splits = held.groupBy("file", "block").agg(F.min("__mid").alias("__low"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = splits.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("__low")).alias("__shift"))
+    return held.join(F.broadcast(starts), ["file", "block"]).select(*rows.columns, (F.col("__mid") + F.col("__shift")).alias(name))
 
 
 def scan_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """(ordinal, raw) of a JSON lines file; blank and broken lines are skipped and not counted in ordinals."""
-    return indexed(lines(spark, path).where("raw is not null").select("raw")).select("ordinal", "raw")
+    """(ordinal, raw) of JSON lines; blank and broken lines are skipped and not counted in ordinals."""
+    return in_files(lines(spark, path).where("raw is not null").select("raw", "file", "block"), "ordinal").select("ordinal", "raw")
 
 
 def rejects(spark: SparkSession, path: str) -> DataFrame:
@@ -94,9 +116,35 @@ def completed_ids(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("prompt.id").where("id is not null").distinct()
 
 
-def append_spectra(spectra: DataFrame, folder: str) -> None:
-    """Append as JSON lines; a failed job leaves no part of its output."""
-    spectra.write.mode("append").json(folder)
+def append_spectra(spectra: DataFrame, folder: str, best_effort: bool = False) -> bool:
+    """Append as JSON lines; a failed job leaves no part of its output.  With ``best_effort`` a failure is logged and gives False."""
+    try:
+        spectra.write.mode("append").json(folder)
+    except Exception:
+        if not best_effort:
+            raise
+        log.exception("spectra weren't written to %s", folder)
+        return False
+    return True
+
+
+class Checkpoint:
+    """Finished ids by job, an append-only table in a folder; what a failed job wrote of it doesn't count."""
+
+    def __init__(self, spark: SparkSession, folder: str, job_id: str):
+        self.spark, self.folder, self.job_id = spark, folder, job_id
+
+    def mark(self, ids: DataFrame) -> None:
+        """Add a column ``id``'s values."""
+        ids.select(F.col("id").cast("string").alias("id"), F.lit(self.job_id).alias("job_id")).distinct().write.mode("append").partitionBy("job_id").parquet(self.folder)
+
+    def completed(self) -> DataFrame:
+        """Distinct (id) of this job; none where the folder isn't there."""
+        try:
+            found = self.spark.read.schema("id string, job_id string").parquet(self.folder)
+        except AnalysisException:
+            return self.spark.createDataFrame([], "id string")
+        return found.where(F.col("job_id") == self.job_id).select("id").distinct()
 
 
 def write_summary(summary: DataFrame, folder: str) -> None:
