@@ -6,14 +6,19 @@ Method
    zero, so the same passage is cut alike in every document that holds it.
 2. A chunk is encoded once by each Python worker: its ids stay in a bounded store keyed by
    the chunk's own text, and every later document with the chunk takes them from there.
-   Workers outlive tasks, so the store serves all partitions that a worker reads.
+   Workers outlive tasks, so the store serves all partitions that a worker reads; what wasn't
+   used for longest leaves it.
 3. Chunk ends fall anywhere, also inside a word, so the ids beside a join may differ from
-   those of the whole text.  The join is repaired by encoding the text around it again.  The
-   window opens at an *anchor* of the left chunk and is widened, over whole chunks if need
-   be, until it closes at an anchor of a chunk on the right.  At an anchor (an ASCII space
-   after a character that is no white space) every byte-level pre-tokenizer of this family
-   ends one piece and begins the next, whatever stands further left or right; there both
-   encodings agree exactly, so the joined ids are those of the whole text.
+   those of the whole text.  The join is repaired: the text around it, from the last stretch
+   of the chunk on the left to the first of that on the right, is encoded again as a whole,
+   and must give exactly the ids that these stretches have in their own chunks; what lies
+   between is the join's.  Stretches end at *anchors* (an ASCII space after a character that
+   is no white space), where every byte-level pre-tokenizer of this family ends one piece and
+   begins the next.  A chunk without two anchors belongs to the join.  Should the encodings
+   not agree, the window grows to the whole text.
+
+Tokenizers of other kinds (with a normalizer, another pre-tokenizer, or added tokens that take
+in white space) may join pieces over such places, so their texts are encoded whole.
 
 The operator reads its input once and shuffles nothing; the work follows the input's size,
 and no document, however long, needs more memory than its own text and ids.
@@ -51,6 +56,13 @@ SETTLED = re.compile("[\x20-\x7e\n\u00bf-\u024f]*")
 UNSETTLED = r"[^\x20-\x7e\n\x{bf}-\x{24f}]|\n\z|\A\z"
 
 
+def anchored(spec: dict) -> bool:
+    """Whether a tokenizer's pieces never reach over an anchor: plain byte-level, and added tokens take in no white space."""
+    split = spec.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and split.get("add_prefix_space") is False and split.get("use_regex", True) is True
+    return plain and not spec.get("normalizer") and spec["model"].get("type") == "BPE" and not any(t.get("lstrip") or t.get("rstrip") or re.search(r"\s", t["content"]) for t in spec["added_tokens"])
+
+
 def rank_encoder(tokenizer):
     """A second encoder over the same merges, several times faster a short stretch; None where the vocabulary isn't its kind.
 
@@ -147,21 +159,60 @@ class Units:
         return out | dict(zip(slow, self.slow(slow)))
 
 
+class Chunk:
+    """A chunk's text in three parts, at its first and last anchor, with the ids of the middle and of its first and last stretch.
+
+    Without two anchors all is head, and there are no ids.
+    """
+
+    __slots__ = ("body", "first", "head", "ids", "last", "tail")
+
+    def __init__(self, text: str):
+        self.head, self.body, self.tail, self.ids = text, "", "", None
+        self.first = self.last = ("", b"")
+        found = FIRST_ANCHOR.search(text)
+        if found is None:
+            return
+        a, z = found.start() + 1, last_anchor(text, len(text))
+        if a == z:
+            return
+        self.head, self.body, self.tail = text[:a], text[a:z], text[z:]
+        second = UNIT.search(self.body, 1)
+        first = self.body[: second.start()] if second else self.body
+        last = self.body[last_anchor(self.body, len(self.body)) :] if second else self.body
+        self.first, self.last = (first, b""), (last, b"")
+
+
+def last_anchor(text: str, before: int) -> int:
+    """The last anchor of a text that has one, or a text's start."""
+    z = text.rfind(" ", 0, before)
+    while z > 0 and not FIRST_ANCHOR.match(text, z - 1):
+        z = text.rfind(" ", 0, z)
+    return z
+
+
 class Codec:
-    """A tokenizer with stores of encoded units and chunks; both are bounded."""
+    """A tokenizer with a store of encoded chunks in two generations: the old one goes when the young one is full, but for what was used again."""
 
     def __init__(self, path: str, chunk_bytes: int = 1024, store_bytes: int = 64 << 20):
+        import json
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.units = Units(self.tokenizer)
+        spec = json.loads(self.tokenizer.to_str())
+        self.anchored = anchored(spec)
+        self.plain_bytes = (spec.get("decoder") or {}).get("type") == "ByteLevel"
+        self.units = Units(self.tokenizer) if self.anchored else None
         self.mask = np.uint32((1 << max(5, chunk_bytes.bit_length() - 1)) - 1)
         self.most_chunk = 8 * chunk_bytes
-        self.chunks: dict[bytes, tuple[str, bytes | None, str]] = {}
+        self.young: dict[bytes, Chunk] = {}
+        self.old: dict[bytes, Chunk] = {}
         self.store_bytes, self.held = store_bytes, 0
+        self.widened = 0  # texts whose joins didn't agree
         self.pieces: list[bytes] | None = None
 
     # -- encoding -------------------------------------------------------------------------
@@ -201,50 +252,69 @@ class Codec:
             start = stop
         return out
 
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """ids of texts by the library alone."""
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """ids of whole texts as the tokenizers library gives them, each as little-endian unsigned 32-bit."""
+        if not self.anchored:
+            return self.whole(texts)
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        bodies: dict[bytes, str] = {}  # the ids to make: chunks that are new, and windows over joins
-        plans: list[list[bytes | str]] = []
+        used: dict[bytes, Chunk] = {}
+        fresh: list[Chunk] = []
+        plans: list[list[tuple[str, Chunk | None, Chunk | None]]] = []  # of each text its joins: (window, chunk on the left, on the right)
         for data, ends in zip(raw, self.cuts(raw)):
-            plan: list[bytes | str] = []
-            window, a = "", 0
+            joins: list[tuple[str, Chunk | None, Chunk | None]] = []
+            left, window, a = None, "", 0
             for z in ends:
                 key = data[a:z]
-                found = self.chunks.get(key)
-                if found is None:
-                    found = self.chunks[key] = self.parted(key, bodies)
-                head, ids, tail = found
-                window += head
-                if ids is not None:  # an anchor on the right closes the window
-                    plan += [window, key]
-                    window = tail
                 a = z
-            plans.append([*plan, window])
-        keys, windows = list(bodies), [x for p in plans for x in p if isinstance(x, str)]
-        made = self.units.encode_many([*bodies.values(), *windows])
-        for key, ids in zip(keys, made):
-            head, _, tail = self.chunks[key]
-            self.chunks[key] = (head, ids, tail)
-            self.held += 300 + 2 * len(key) + len(ids)
-        repaired = iter(made[len(keys) :])
-        out = [b"".join([next(repaired) if isinstance(x, str) else self.chunks[x][1] for x in p]) for p in plans]
-        if self.held > self.store_bytes:
-            self.chunks.clear()
-            self.held = 0
-        return out
-
-    def parted(self, key: bytes, bodies: dict[bytes, str]) -> tuple[str, bytes | None, str]:
-        """(text before the first anchor, ids between the first and the last, text from the last on); notes the body to encode."""
-        text = key.decode("utf-8", "surrogatepass")
-        first = FIRST_ANCHOR.search(text)
-        if first is None:
-            return text, None, ""
-        a, z = first.start() + 1, text.rfind(" ")
-        while not FIRST_ANCHOR.match(text, z - 1):
-            z = text.rfind(" ", 0, z)
-        bodies[key] = text[a:z]
-        return text[:a], b"", text[z:]
+                chunk = used.get(key)
+                if chunk is None:
+                    chunk = used[key] = self.recalled(key, fresh)
+                window += chunk.head
+                if chunk.ids is not None:
+                    joins.append((window + chunk.first[0], left, chunk))
+                    left, window = chunk, chunk.last[0] + chunk.tail
+            plans.append([*joins, (window, left, None)])
+        for chunk, ids in zip(fresh, self.units.encode_many([c.body for c in fresh])):
+            chunk.ids = ids
+        stretches = {x for c in fresh for x in (c.first[0], c.last[0])} | {w for p in plans for w, _, _ in p}
+        coded = self.units.few(list(stretches - {""})) | {"": b""}
+        for chunk in fresh:
+            chunk.first, chunk.last = (chunk.first[0], coded[chunk.first[0]]), (chunk.last[0], coded[chunk.last[0]])
+        return [self.joined(text, joins, coded) for text, joins in zip(texts, plans)]
+
+    def joined(self, text: str, joins: list[tuple[str, Chunk | None, Chunk | None]], coded: dict[str, bytes]) -> bytes:
+        """A text's ids from those of its chunks and its windows, if these agree on the stretches that they share."""
+        parts = []
+        for window, left, right in joins:
+            ids, before, after = coded[window], left.last[1] if left else b"", right.first[1] if right else b""
+            if len(ids) < len(before) + len(after) or not ids.startswith(before) or not ids.endswith(after):
+                self.widened += 1
+                return self.whole([text])[0]
+            parts.append(ids[len(before) : len(ids) - len(after)])
+            if right:
+                parts.append(right.ids)
+        return b"".join(parts)
+
+    def recalled(self, key: bytes, fresh: list[Chunk]) -> Chunk:
+        """The chunk of this text from the store, or a new one, which is noted to be encoded."""
+        chunk = self.young.get(key)
+        if chunk is not None:
+            return chunk
+        chunk = self.old.pop(key, None)
+        if chunk is None:
+            chunk = Chunk(key.decode("utf-8", "surrogatepass"))
+            if chunk.body:
+                chunk.ids = b""
+                fresh.append(chunk)
+        self.young[key] = chunk
+        self.held += 500 + 4 * len(key)  # texts, and ids, which are about as long
+        if self.held > self.store_bytes // 2:
+            self.old, self.young, self.held = self.young, {}, 0
+        return chunk
 
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]
@@ -253,6 +323,8 @@ class Codec:
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of decode(ids, skip_special_tokens=False); bytes that aren't valid UTF-8 are replaced as there."""
+        if not self.plain_bytes:
+            return self.tokenizer.decode(np.frombuffer(ids, dtype=ID).tolist(), skip_special_tokens=False).encode("utf-8")
         if self.pieces is None:
             self.pieces = token_bytes(self.tokenizer)
         raw = b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, dtype=ID).tolist()))
