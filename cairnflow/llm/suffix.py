@@ -9,16 +9,22 @@ nowhere earlier (smaller document, or same document and earlier start).
    the hash of the k bytes.  Some 3 % of the positions are anchors, and only those are dealt.
 2. *Equal segments.*  Of equal segments all but the first are repeats throughout.  Those that
    aren't first in their own slice of the input are settled before anything is dealt.  A key
-   with ``hot_from`` distinct segments in one slice is hot (a phrase that a large part of the corpus
-   holds in ever other surroundings): its segments are dealt by their own hashes, and a marker
-   tells the key's task that they are.
+   with ``hot_from`` distinct segments among what a task has read so far is hot (a phrase that a
+   large part of the corpus holds in ever other surroundings): its segments are dealt by their
+   own hashes, and a marker tells the key's task that they are.  What a task forgets are keys
+   with fewer than one segment in FORGET slices, so a key that no task takes for hot has at
+   most one row for some 24 MB of the corpus, and ``hot_from`` for each task; they are read as
+   a stream.
 3. *Unequal segments with one key* are where repeats begin and end.  Of each distinct segment
    its first copy takes part: an enhanced suffix array over a batch of whole keys is scanned
    with a stack, which gives the tree of common-prefix intervals; an interval of ``least``
    bytes or more whose members differ in the byte to their left is a maximal repeat, with
    all its occurrences.  All stretches that it covers are repeats but for the earliest.
    Hot keys, and keys with more distinct segments than ``most_segments``, go by the hashes of
-   their single stretches instead, which are dealt by hash; the result is the same.
+   their single stretches instead, which are dealt by hash; the result is the same.  So of the
+   three ways to find repeats only this one is the interval tree's: equal segments, most of
+   all anchors in a corpus with many copies, are settled by hash in step 2, some 5 % of the
+   anchors come to a suffix array, and few go by single stretches.
 4. The documents are joined with their marks and cut.
 
 No key, document or group of copies is gathered whole: step 2 reads sorted rows as a
@@ -32,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_slices, shuffle_partitions, strings
@@ -40,16 +46,18 @@ from .common import map_slices, shuffle_partitions, strings
 #: Bytes whose hash names a segment.
 KEY_BYTES = 32
 SETTLED, CANDIDATE, HOT = 0, 1, 2
+#: Slices of which a key must have a segment in one to be remembered, and segments that a task remembers.
+FORGET, REMEMBER = 4, 8_000_000
 #: In place of a segment's hash: a marker of a hot key; it sorts before the key's segments.
 MARKER = -1
-VERSION_BITS = 24
+#: Bits of a version; rows without an id are told apart by it alone, so theirs has more.
+VERSION_BITS, NAMELESS_BITS = 24, 56
 
 
-def version(data: bytes) -> int:
-    """Tells rows apart that share an id but not the text."""
-    from xxhash import xxh3_64_intdigest
-
-    return xxh3_64_intdigest(data) & ((1 << VERSION_BITS) - 1)
+def version(id_: Column, text: Column) -> Column:
+    """A hash of the text, which tells rows apart that share an id."""
+    bits = F.when(id_.isNull(), F.lit((1 << NAMELESS_BITS) - 1)).otherwise(F.lit((1 << VERSION_BITS) - 1))
+    return F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(bits)
 
 
 def against_first(new: np.ndarray, *place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,6 +113,33 @@ def owners(data: np.ndarray, starts: np.ndarray, least: int, k: int) -> tuple[np
     return text[at[first]], at[first], count, owner[at[first]]
 
 
+class Recent:
+    """Distinct segments of each key that a task has met, to tell hot keys; what it forgets costs no result."""
+
+    def __init__(self, hot_from: int):
+        self.hot_from, self.slices = hot_from, 0
+        self.pairs = np.zeros(0, dtype=np.int64)  # sorted hashes of (key, same)
+        self.keys, self.counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def hot(self, key: np.ndarray, same: np.ndarray) -> np.ndarray:
+        """The hot ones among the keys of a slice's distinct segments; remembers these."""
+        pair = np.unique(key * 0x2545F4914F6CDD1D ^ same, return_index=True)
+        place = np.searchsorted(self.pairs, pair[0])
+        known = place < len(self.pairs)
+        known[known] = self.pairs[place[known]] == pair[0][known]
+        keys, at = np.unique(np.concatenate([self.keys, key[pair[1][~known]]]), return_inverse=True)
+        counts = np.bincount(at, weights=np.concatenate([self.counts, np.ones((~known).sum(), dtype=np.int64)]), minlength=len(keys)).astype(np.int64)
+        self.slices += 1
+        if len(self.pairs) < REMEMBER:
+            self.pairs = np.insert(self.pairs, place[~known], pair[0][~known])
+        else:
+            self.pairs = pair[0]
+        hot = np.intersect1d(keys[counts >= self.hot_from], key)
+        stay = counts > self.slices // FORGET
+        self.keys, self.counts = keys[stay], counts[stay]
+        return hot
+
+
 def segments(batches: Iterator[pa.RecordBatch], least: int, hot_from: int) -> Iterator[pa.RecordBatch]:
     """(kind, key, same, id, a, nv): segments; those that are not first of their equals in a slice are settled.
 
@@ -112,6 +147,8 @@ def segments(batches: Iterator[pa.RecordBatch], least: int, hot_from: int) -> It
     """
     from xxhash import xxh3_64_intdigest
 
+    recent = Recent(hot_from)
+
     def work(b: pa.RecordBatch) -> pa.RecordBatch | None:
         raw = [t.encode("utf-8", "surrogatepass") for t in strings(b.column(1))]
         flat = b"".join(raw)
@@ -129,7 +166,7 @@ def segments(batches: Iterator[pa.RecordBatch], least: int, hot_from: int) -> It
         mask = (1 << 63) - 1
         key = np.fromiter((xxh3_64_intdigest(flat[i : i + KEY_BYTES]) & mask for i in p.tolist()), dtype=np.int64, count=len(p))
         same = np.fromiter((xxh3_64_intdigest(flat[i:j]) & mask for i, j in zip(a.tolist(), (a + n + least - 1).tolist())), dtype=np.int64, count=len(p))
-        v = np.array([version(x) for x in raw], dtype=np.int64)[text]
+        v = b.column(2).to_numpy()[text]
         ids = b.column(0).take(pa.array(text))
         at = a - starts[text]
         rank = rank_of(b.column(0))[text]
@@ -141,8 +178,7 @@ def segments(batches: Iterator[pa.RecordBatch], least: int, hot_from: int) -> It
         if alike.any():
             key, same, v, n, at, later = (x[~alike] for x in (key, same, v, n, at, later))
             ids = ids.filter(pa.array(~alike))
-        distinct, count = np.unique(key[~later], return_counts=True)
-        hot = distinct[count >= hot_from]
+        hot = recent.hot(key[~later], same[~later])
         kind = np.where(later, SETTLED, np.where(np.isin(key, hot), HOT, CANDIDATE)).astype(np.int8)
         key[later] = same[later] = 0
         m = len(hot)
@@ -152,7 +188,7 @@ def segments(batches: Iterator[pa.RecordBatch], least: int, hot_from: int) -> It
             pa.array(np.append(same, np.full(m, MARKER))),
             pa.concat_arrays([ids, pa.nulls(m, ids.type)]),
             pa.array(np.append(at, np.zeros(m)).astype(np.int32)),
-            pa.array(np.append(v << 7 | n, np.zeros(m)).astype(np.int32)),
+            pa.array(np.append(v << 7 | n, np.zeros(m, dtype=np.int64))),
         ]
         return pa.RecordBatch.from_arrays(columns, ["kind", "key", "same", "id", "a", "nv"])
 
@@ -361,25 +397,23 @@ def fetch(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
 
     def work(b: pa.RecordBatch) -> pa.RecordBatch | None:
         plain, hot, read = [], [], set()
-        for i, (name, text, found) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())):
+        for i, (name, text, found, own) in enumerate(zip(*(b.column(k).to_pylist() for k in range(4)))):
             if not found or not text or (name, text) in read:
                 continue
             read.add((name, text))
             raw = text.encode("utf-8", "surrogatepass")
-            own = version(raw)
             for c in found:
-                if c["nv"] >> 7 == own:
-                    segment = raw[c["a"] : c["a"] + (c["nv"] & 127) + least - 1]
-                    (hot if c["kind"] == HOT else plain).append((c["key"], i, c["a"], own, segment))
+                segment = raw[c["a"] : c["a"] + c["n"] + least - 1]
+                (hot if c["kind"] == HOT else plain).append((c["key"], i, c["a"], own, segment))
         out = []
         if plain:
             ids, v, a, segment, key = table(b.column(0), plain)
-            out.append([pa.array(key), pa.array(np.zeros_like(key)), ids, pa.array(a.astype(np.int32)), pa.array(v.astype(np.int32)), pa.array(segment, pa.binary())])
+            out.append([pa.array(key), pa.array(np.zeros_like(key)), ids, pa.array(a.astype(np.int32)), pa.array(v), pa.array(segment, pa.binary())])
         if hot:
             ids, v, a, segment, _ = table(b.column(0), hot)
             row, at, h = stretches(ids, v, a, segment, least)
             spread = np.where(h[:, 1] == 0, (at * 0x9E3779B1 + row * 0x85EBCA6B) & ((1 << 62) - 1), h[:, 0])
-            out.append([pa.array(spread), pa.array(h[:, 1]), ids.take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(v[row].astype(np.int32)), pa.nulls(len(row), pa.binary())])
+            out.append([pa.array(spread), pa.array(h[:, 1]), ids.take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(v[row]), pa.nulls(len(row), pa.binary())])
         if not out:
             return None
         return pa.concat_batches([pa.RecordBatch.from_arrays(c, names) for c in out])
@@ -410,11 +444,13 @@ def places(ids: pa.ChunkedArray | pa.Array, v: np.ndarray, a: np.ndarray) -> np.
     if isinstance(ids, pa.ChunkedArray):
         ids = ids.combine_chunks()
     rank = rank_of(ids)
-    _, document = np.unique(rank << VERSION_BITS | v, return_inverse=True)
-    return document.astype(np.int64) << 32 | a
+    order = np.lexsort((v, rank))
+    document = np.empty(len(order), dtype=np.int64)
+    document[order] = np.cumsum(np.concatenate([[0], (np.diff(rank[order]) != 0) | (np.diff(v[order]) != 0)])) if len(order) else 0
+    return document << 32 | a
 
 
-MARK_SCHEMA = "h1 long, h2 long, id {kind}, v int, a int, length int"
+MARK_SCHEMA = "h1 long, h2 long, id {kind}, v long, a int, length int"
 MARK_NAMES = ["h1", "h2", "id", "v", "a", "length"]
 
 
@@ -438,12 +474,12 @@ def unequal(batches: Iterator[pa.RecordBatch], least: int, most_segments: int) -
             return None
         spans = np.array([s for f in found for s in f], dtype=np.int64)
         zero = pa.array(np.zeros(len(row), dtype=np.int64))
-        return pa.RecordBatch.from_arrays([zero, zero, ids.take(pa.array(row)), pa.array(v[row].astype(np.int32)), pa.array((a[row] + spans[:, 0]).astype(np.int32)), pa.array((spans[:, 1] - spans[:, 0]).astype(np.int32))], MARK_NAMES)
+        return pa.RecordBatch.from_arrays([zero, zero, ids.take(pa.array(row)), pa.array(v[row]), pa.array((a[row] + spans[:, 0]).astype(np.int32)), pa.array((spans[:, 1] - spans[:, 0]).astype(np.int32))], MARK_NAMES)
 
     def single(t: pa.Table) -> pa.RecordBatch:
         ids, v, a = arrays(t)
         row, at, h = stretches(ids, v, a, t.column("segment").to_pylist(), least)
-        return pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), ids.take(pa.array(row)), pa.array(v[row].astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(np.full(len(row), least, dtype=np.int32))], MARK_NAMES)
+        return pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), ids.take(pa.array(row)), pa.array(v[row]), pa.array(at.astype(np.int32)), pa.array(np.full(len(row), least, dtype=np.int32))], MARK_NAMES)
 
     def passed(b: pa.RecordBatch) -> pa.RecordBatch:
         h1, h2 = b.column("key").to_numpy(), b.column("h2").to_numpy()
@@ -510,14 +546,14 @@ def later_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def plain(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
-    """The rows as id, text, c0, c1 …, and the names of the columns that these stand for."""
+    """The rows as id, text, v (the text's version), c0, c1 …, and the names of the columns that c0, c1 … stand for."""
     others = [c for c in docs.columns if c not in (id_col, text_col)]
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *(docs[c].alias(f"c{i}") for i, c in enumerate(others))), others
+    named = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), version(docs[id_col], docs[text_col]).alias("v"), *(docs[c].alias(f"c{i}") for i, c in enumerate(others)))
+    return named, others
 
 
 def repeats(rows: DataFrame, least: int = 100, most_segments: int = 4096, hot_from: int = 16) -> DataFrame:
-    """Marks (id, v, a, length) of rows with the columns id and text: ranges of bytes that repeat
-    something earlier; v is the text's version among rows of one id.
+    """Marks (id, v, a, length) of rows with the columns id, text and v: ranges of bytes that repeat something earlier.
 
     Further columns of ``rows`` aren't used, but dealt with the texts: a join of the result
     to the same ``rows`` then takes the same exchange, and texts are dealt once.
@@ -526,38 +562,40 @@ def repeats(rows: DataFrame, least: int = 100, most_segments: int = 4096, hot_fr
         raise ValueError(f"least must be above {KEY_BYTES} and at most {KEY_BYTES + 95}")
     n = shuffle_partitions(rows.sparkSession)
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.select("id", "text").mapInArrow(lambda b: segments(b, least, hot_from), f"kind tinyint, key long, same long, id {kind}, a int, nv int")
+    found = rows.select("id", "text", "v").mapInArrow(lambda b: segments(b, least, hot_from), f"kind tinyint, key long, same long, id {kind}, a int, nv long")
     # settled rows only pass through, so they go anywhere; segments of hot keys need only meet their equals
     place = F.when(F.col("kind") == SETTLED, F.xxhash64("id", "a")).when(F.col("kind") == HOT, F.xxhash64("key", "same")).otherwise(F.col("key"))
     dealt = found.repartition(n, place)
-    marks = dealt.sortWithinPartitions("kind", "key", "same", "id", F.shiftright("nv", 7), "a").mapInArrow(settle, f"kind tinyint, key long, id {kind}, a int, nv int")
-    settled = marks.where(F.col("kind") == SETTLED).select("id", F.shiftright("nv", 7).alias("v"), "a", (F.col("nv").bitwiseAND(127) + (least - 1)).alias("length"))
-    listed = marks.where(F.col("kind") != SETTLED).groupBy("id").agg(F.collect_list(F.struct("kind", "key", "a", "nv")).alias("found"))
-    texts = with_lists(rows, listed).mapInArrow(lambda b: fetch(b, least), f"key long, h2 long, id {kind}, a int, v int, segment binary")
+    marks = dealt.sortWithinPartitions("kind", "key", "same", "id", F.shiftright("nv", 7), "a").mapInArrow(settle, f"kind tinyint, key long, id {kind}, a int, nv long")
+    marks = marks.select("kind", "key", "id", F.shiftright("nv", 7).alias("v"), "a", F.col("nv").bitwiseAND(127).cast("int").alias("n"))
+    settled = marks.where(F.col("kind") == SETTLED).select("id", "v", "a", (F.col("n") + (least - 1)).alias("length"))
+    listed = marks.where(F.col("kind") != SETTLED).groupBy("id", "v").agg(F.collect_list(F.struct("kind", "key", "a", "n")).alias("found"))
+    texts = with_lists(rows, listed).mapInArrow(lambda b: fetch(b, least), f"key long, h2 long, id {kind}, a int, v long, segment binary")
     keyed = texts.repartition(n, "key").sortWithinPartitions("key", "id", "v", "a")
     solved = keyed.mapInArrow(lambda b: unequal(b, least, most_segments), MARK_SCHEMA.format(kind=kind))
     solved = solved.repartition(n, F.when(F.col("h2") == 0, F.xxhash64("id", "a")).otherwise(F.col("h1"))).sortWithinPartitions("h1", "h2", "id", "v", "a")
-    return settled.union(solved.mapInArrow(later_stretches, f"id {kind}, v int, a int, length int"))
+    return settled.union(solved.mapInArrow(later_stretches, f"id {kind}, v long, a int, length int"))
 
 
 def with_lists(rows: DataFrame, listed: DataFrame) -> DataFrame:
-    """id, text and found first, then the other columns; found is null where the id has no list."""
-    joined = rows.join(listed.withColumnRenamed("id", "other"), F.col("id").eqNullSafe(F.col("other")), "left")
-    return joined.select("id", "text", "found", *rows.columns[2:])
+    """id, text, found and v first, then the other columns; found is null where the id and version have no list."""
+    other = listed.withColumnsRenamed({"id": "other", "v": "w"})
+    joined = rows.join(other, F.col("id").eqNullSafe(F.col("other")) & (F.col("v") == F.col("w")), "left")
+    return joined.select("id", "text", "found", "v", *rows.columns[3:])
 
 
 def marked(rows: DataFrame, marks: DataFrame) -> DataFrame:
-    return with_lists(rows, marks.groupBy("id").agg(F.collect_list(F.struct("v", "a", "length")).alias("found")))
+    return with_lists(rows, marks.groupBy("id", "v").agg(F.collect_list(F.struct("a", "length")).alias("found")))
 
 
 def kept_parts(b: pa.RecordBatch) -> Iterator[tuple[bytes, list[tuple[int, int]], bytes]]:
     """For each row of id, text and found: its bytes, the runs to remove, and what is left."""
     lists = b.column(2)
     first = lists.offsets.to_numpy()
-    v, a, length = (lists.values.field(i).to_numpy() for i in range(3))
+    a, length = (lists.values.field(i).to_numpy() for i in range(2))
     for i, text in enumerate(strings(b.column(1))):
         raw, own = text.encode("utf-8", "surrogatepass"), slice(first[i], first[i + 1])
-        spans, parts, at = cut_spans(raw, v[own], a[own], length[own]), [], 0
+        spans, parts, at = cut_spans(a[own], length[own]), [], 0
         for x, y in spans:
             parts.append(raw[at:x])
             at = y
@@ -573,7 +611,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are UTF-8 bytes; null counts as empty.  Order is by id, nulls first; rows that
     share an id but not the text are documents of their own, ordered by a hash of the text;
     rows alike in both are one document and are cut alike.  Other columns aren't read; an
-    empty table gives an empty result.  With ``digest`` kept_sha256 takes the place of kept.
+    empty table gives an empty result.  A text of any length is read whole, a megabyte at a time
+    where anchors are found.  With ``digest`` kept_sha256 takes the place of kept.
     """
     rows, _ = plain(docs.select(id_col, text_col), id_col, text_col)
     joined = marked(rows, repeats(rows, least, most_segments, hot_from))
@@ -600,28 +639,28 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     What a cut leaves of a character is removed with it, so texts stay valid; null texts stay null.
     """
     rows, others = plain(docs, id_col, text_col)
-    names = rows.columns
+    names = [c for c in rows.columns if c != "v"]
+    left = rows.drop("v").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
-            left = [rest.decode("utf-8", "ignore") if spans else None for _, spans, rest in kept_parts(b)]
-            text = pc.coalesce(pa.array(left, pa.string()), b.column(1).cast(pa.string()))
-            return pa.RecordBatch.from_arrays([b.column(0), text, *b.columns[3:]], names)
+            shorter = [rest.decode("utf-8", "ignore") if spans else None for _, spans, rest in kept_parts(b)]
+            text = pc.coalesce(pa.array(shorter, pa.string()), b.column(1).cast(pa.string()))
+            return pa.RecordBatch.from_arrays([b.column(0), text, *b.columns[4:]], names)
 
         yield from map_slices(batches, "text", work)
 
-    out = marked(rows, repeats(rows, least, most_segments, hot_from)).mapInArrow(run, rows.schema)
+    out = marked(rows, repeats(rows, least, most_segments, hot_from)).mapInArrow(run, left)
     named = out.withColumnsRenamed({"id": id_col, "text": text_col} | {f"c{i}": c for i, c in enumerate(others)})
     return named.select(*docs.columns)
 
 
-def cut_spans(raw: bytes, v: np.ndarray, a: np.ndarray, length: np.ndarray) -> list[tuple[int, int]]:
-    """Maximal runs of the marked ranges of this version of the text."""
-    if not len(v):
+def cut_spans(a: np.ndarray, length: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal runs of marked ranges."""
+    if not len(a):
         return []
-    own = v == version(raw)
-    starts, stops = a[own].astype(np.int64), a[own].astype(np.int64) + length[own]
+    starts, stops = a.astype(np.int64), a.astype(np.int64) + length
     order = np.argsort(starts)
     starts, stops = starts[order], np.maximum.accumulate(stops[order])
-    new = np.flatnonzero(np.concatenate([[True], starts[1:] > stops[:-1]])) if len(starts) else np.zeros(0, np.int64)
-    return list(zip(starts[new].tolist(), stops[np.append(new[1:] - 1, len(stops) - 1)].tolist())) if len(starts) else []
+    new = np.flatnonzero(np.concatenate([[True], starts[1:] > stops[:-1]]))
+    return list(zip(starts[new].tolist(), stops[np.append(new[1:] - 1, len(stops) - 1)].tolist()))
