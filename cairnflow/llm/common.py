@@ -53,7 +53,7 @@ def looked_up(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFr
     """
     values = [c for c in facts.columns if c not in (key, "n")]
     known = facts.select(F.col(key).alias("__key"), F.struct(*values).alias("__fact"), "n")
-    hot = known.where(F.col("n") > max(1000, total // MOST_HOT)).select(F.col("__key").alias("__hot"), F.col("__fact").alias("__known"))
+    hot = known.where(F.col("n") > max(100, total // MOST_HOT)).select(F.col("__key").alias("__hot"), F.col("__fact").alias("__known"))
     first = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
     # a hash may fall on a key, but a broadcast fact comes first
     dealt = first.withColumn("__dealt", F.when(F.col("__hot").isNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns)))

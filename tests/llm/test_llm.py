@@ -66,9 +66,55 @@ def test_bpe_chunks_are_reused():
     codec = bpe.Codec(queries.vocabulary(), chunk_bytes=64)
     shared = " ".join(f"word{i}" for i in range(300))
     codec.encode_many([f"first {shared}"])
-    before = len(codec.chunks)
+    before = len(codec.young)
     codec.encode_many([f"second one, longer {shared}"])
-    assert len(codec.chunks) - before <= 3
+    assert len(codec.young) - before <= 3
+
+
+def test_bpe_store_keeps_what_is_used(tokenizer):
+    """A store too small for all: what every text holds stays, ids stay right, and its size stays bounded."""
+    codec = bpe.Codec(queries.vocabulary(), chunk_bytes=64, store_bytes=60_000)
+    shared = " ".join(f"common{i}" for i in range(60))
+    for k in range(60):
+        text = f"{shared} " + " ".join(f"own{k}x{i}" for i in range(40))
+        assert np.frombuffer(codec.encode(text), dtype="<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    middle = [c for c in (*codec.young.values(), *codec.old.values()) if "common30" in c.body]
+    assert middle and len(codec.young) + len(codec.old) < 200
+
+
+def test_bpe_joins_must_agree(tokenizer):
+    """Where a stretch's ids don't come again in a join's window, the whole text is encoded."""
+    codec = bpe.Codec(queries.vocabulary(), chunk_bytes=32)
+    text = " ".join(f"some{i} words" for i in range(80))
+    want = tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(codec.encode(text), dtype="<u4").tolist() == want and codec.widened == 0
+    for chunk in codec.young.values():
+        chunk.last = (chunk.last[0], chunk.last[1] + b"\1\0\0\0")
+    assert np.frombuffer(codec.encode(text), dtype="<u4").tolist() == want and codec.widened == 1
+
+
+def test_bpe_other_tokenizers_are_encoded_whole(tmp_path):
+    """Pre-tokenizers, normalizers and added tokens that reach over spaces: the library's ids and texts all the same."""
+    from tokenizers import AddedToken, Tokenizer, decoders, models, normalizers, pre_tokenizers
+
+    letters_ = {c: i for i, c in enumerate("abcdefgh▁Ġ ")}
+    merges = [("▁", "a"), ("Ġ", "a"), ("a", "b"), ("▁a", "b"), ("Ġa", "b")]
+    vocab = letters_ | {"".join(m): len(letters_) + i for i, m in enumerate(merges)}
+    text = " ".join(["ab a  b cab", "abc"] * 60)
+    byte_level = lambda: pre_tokenizers.ByteLevel(add_prefix_space=False)
+    kinds = {"metaspace": (pre_tokenizers.Metaspace(), None, decoders.Metaspace()), "prefix": (pre_tokenizers.ByteLevel(add_prefix_space=True), None, decoders.ByteLevel()), "normal": (byte_level(), normalizers.Replace("b a", "ba"), decoders.ByteLevel()), "added": (byte_level(), None, decoders.ByteLevel())}
+    for name, (pre, normalizer, decoder) in kinds.items():
+        made = Tokenizer(models.BPE(vocab, merges))
+        made.pre_tokenizer, made.decoder = pre, decoder
+        if normalizer:
+            made.normalizer = normalizer
+        if name == "added":
+            made.add_tokens([AddedToken("b c", normalized=False), AddedToken("ca", lstrip=True, normalized=False)])
+        made.save(str(tmp_path / f"{name}.json"))
+        codec = bpe.Codec(str(tmp_path / f"{name}.json"), chunk_bytes=32)
+        want = made.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(codec.encode(text), dtype="<u4").tolist() == want, name
+        assert codec.decode(np.array(want, dtype="<u4").tobytes()).decode() == made.decode(want, skip_special_tokens=False), name
 
 
 def test_bpe_query(docs, odd, tokenizer, spark):
@@ -88,7 +134,10 @@ def test_bpe_query(docs, odd, tokenizer, spark):
 
 def brute_repeats(pairs, least=100):
     """(n_bytes, n_removed, n_spans, kept) by (id, text), documents in order of id and of their version."""
-    raw = sorted({((i is not None, i or 0), suffix.version((t or "").encode()), t or "") for i, t in pairs})
+    from xxhash import xxh64_intdigest
+
+    bits = lambda i: suffix.NAMELESS_BITS if i is None else suffix.VERSION_BITS
+    raw = sorted({((i is not None, i or 0), xxh64_intdigest((t or "").encode(), 42) & ((1 << bits(i)) - 1), t or "") for i, t in pairs})
     seen, out = set(), {}
     for (known, i), _, t in raw:
         b = t.encode()
@@ -137,6 +186,29 @@ def test_suffix_repeated_rows_keep_their_first_copy(spark, most, hot):
         assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(((i, *want[i, t]) for i, t in pairs), key=repr)
 
 
+def test_suffix_rows_without_ids(spark):
+    """Thousands of texts without an id are told apart, and each has marks of its own alone."""
+    rng = random.Random(13)
+    parts = [" ".join(str(rng.randrange(10**6)) for _ in range(20)) for _ in range(40)]
+    pairs = [(None, f"{k} {rng.choice(parts)} {rng.randrange(10**9)}") for k in range(3000)]
+    table = spark.createDataFrame(pairs, "doc_id long, text string")
+    want = brute_repeats(pairs)
+    got = suffix.without_repeats(table, digest=True)
+    assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(((i, *want[i, t]) for i, t in pairs), key=repr)
+
+
+def test_suffix_hot_keys_of_a_task():
+    """Segments of one key are counted over slices, equal ones once; rare keys are forgotten."""
+    recent = suffix.Recent(4)
+    key = np.array([1, 1, 2, 3], dtype=np.int64)
+    assert recent.hot(key, np.array([10, 11, 20, 30], dtype=np.int64)).tolist() == []
+    assert recent.hot(key, np.array([10, 11, 21, 30], dtype=np.int64)).tolist() == []
+    assert recent.hot(key, np.array([12, 13, 20, 30], dtype=np.int64)).tolist() == [1]
+    for k in range(30):
+        recent.hot(np.array([100 + k, 1], dtype=np.int64), np.array([k, 50 + k], dtype=np.int64))
+    assert recent.keys.tolist() == [1]
+
+
 def test_suffix_cut_keeps_rows(odd):
     out = suffix.cut(odd)
     assert out.columns == odd.columns
