@@ -44,19 +44,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
 MOST_HOT = 10_000
 
 
-def looked_up(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
-    """``rows`` with the columns of ``facts`` for their ``key`` (long, unique there; null where it has none).
+def looked_up(rows: DataFrame, facts: DataFrame, key: str, total: int, own_key: str | None = None) -> DataFrame:
+    """``rows`` with the columns of ``facts`` for their ``own_key`` (``key`` by default), the long ``key`` there; null where it has none.
 
     ``facts`` has a column n, how many of the ``total`` rows have the key, which isn't kept.  Keys
     of more than a MOST_HOTth of the rows, so no more than MOST_HOT, are broadcast, and their
     rows are spread over all tasks; only the others are dealt by key.
     """
+    own = own_key or key
     values = [c for c in facts.columns if c not in (key, "n")]
     known = facts.select(F.col(key).alias("__key"), F.struct(*values).alias("__fact"), "n")
     hot = known.where(F.col("n") > max(100, total // MOST_HOT)).select(F.col("__key").alias("__hot"), F.col("__fact").alias("__known"))
-    first = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    first = rows.join(F.broadcast(hot), F.col(own) == F.col("__hot"), "left")
     # a hash may fall on a key, but a broadcast fact comes first
-    dealt = first.withColumn("__dealt", F.when(F.col("__hot").isNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns)))
+    dealt = first.withColumn("__dealt", F.when(F.col("__hot").isNull(), F.col(own)).otherwise(F.xxhash64(*rows.columns)))
     joined = dealt.join(known.drop("n"), F.col("__dealt") == F.col("__key"), "left").withColumn("__fact", F.coalesce("__known", "__fact"))
     return joined.select(*rows.columns, *(F.col("__fact")[c].alias(c) for c in values))
 
