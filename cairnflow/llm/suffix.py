@@ -43,8 +43,8 @@ from pyspark.sql import functions as F
 
 from .common import map_slices, shuffle_partitions, strings
 
-#: Bytes whose hash names a segment.
-KEY_BYTES = 32
+#: Bytes whose hash names a segment, and the hash's bits: keys that fall together cost some work, but no result.
+KEY_BYTES, KEY_BITS = 32, 48
 SETTLED, CANDIDATE, HOT = 0, 1, 2
 #: Slices of which a key must have a segment in one to be remembered, and segments that a task remembers.
 FORGET, REMEMBER = 4, 8_000_000
@@ -164,7 +164,7 @@ def segments(batches: Iterator[pa.RecordBatch], least: int, hot_from: int) -> It
         if not len(a):
             return None
         mask = (1 << 63) - 1
-        key = np.fromiter((xxh3_64_intdigest(flat[i : i + KEY_BYTES]) & mask for i in p.tolist()), dtype=np.int64, count=len(p))
+        key = np.fromiter((xxh3_64_intdigest(flat[i : i + KEY_BYTES]) & ((1 << KEY_BITS) - 1) for i in p.tolist()), dtype=np.int64, count=len(p))
         same = np.fromiter((xxh3_64_intdigest(flat[i:j]) & mask for i, j in zip(a.tolist(), (a + n + least - 1).tolist())), dtype=np.int64, count=len(p))
         v = b.column(2).to_numpy()[text]
         ids = b.column(0).take(pa.array(text))
@@ -552,7 +552,7 @@ def plain(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[
     return named, others
 
 
-def repeats(rows: DataFrame, least: int = 100, most_segments: int = 4096, hot_from: int = 16) -> DataFrame:
+def repeats(rows: DataFrame, least: int = 100, most_segments: int = 4096, hot_from: int = 64) -> DataFrame:
     """Marks (id, v, a, length) of rows with the columns id, text and v: ranges of bytes that repeat something earlier.
 
     Further columns of ``rows`` aren't used, but dealt with the texts: a join of the result
@@ -605,7 +605,7 @@ def kept_parts(b: pa.RecordBatch) -> Iterator[tuple[bytes, list[tuple[int, int]]
 CUT = "n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 100, most_segments: int = 4096, hot_from: int = 16, digest: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 100, most_segments: int = 4096, hot_from: int = 64, digest: bool = False) -> DataFrame:
     """One row per input row: ``id_col``, n_bytes, n_removed, n_spans (maximal removed runs) and kept, the bytes left.
 
     Texts are UTF-8 bytes; null counts as empty.  Order is by id, nulls first; rows that
@@ -633,7 +633,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.mapInArrow(run, f"id {kind}, {schema}").withColumnRenamed("id", id_col)
 
 
-def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 100, most_segments: int = 4096, hot_from: int = 16) -> DataFrame:
+def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 100, most_segments: int = 4096, hot_from: int = 64) -> DataFrame:
     """``docs`` with all rows and columns, repeats removed from the text as by :func:`without_repeats`.
 
     What a cut leaves of a character is removed with it, so texts stay valid; null texts stay null.
