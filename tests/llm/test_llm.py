@@ -311,6 +311,59 @@ def test_embeddings_recall_and_counts(spark):
     assert embed.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hashes", [1, 2, 3])
+def test_embeddings_by_hashes(spark, hashes):
+    """However vectors are dealt, what is found is right, and nearly all is found."""
+    x = vectors(d=64, seed=3)
+    got = {r["vec_id"]: r["n_links"] for r in embed.near_duplicates(spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<float>"), hashes=hashes).collect()}
+    m = np.array(x, dtype=np.float32).astype(float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    links = ((m @ m.T >= 0.9) & ~np.eye(len(m), dtype=bool)).sum(axis=1)
+    found = np.array([got[i] for i in range(len(m))])
+    assert (found <= links).all()
+    assert found.sum() >= (0.97 if hashes < 3 else 0.9) * links.sum()
+
+
+def shares_of(x, how):
+    """What compare reads, of vectors in one process."""
+    import pyarrow.compute as pc
+
+    column = pa.array(x, pa.list_(pa.float32()))
+    rows = pa.Table.from_batches(embed.dealt([pa.record_batch([pa.array(range(len(x)), pa.int64()), column], ["h", "v"])], how, "<u2", False)).sort_by("bucket")
+    zero = pa.array(np.zeros(rows.num_rows, dtype=np.int32))
+    side = pc.if_else(rows.column("home"), embed.HOME | embed.GUEST, embed.GUEST)
+    return rows.append_column("i", zero).append_column("j", zero).append_column("side", side.cast(pa.int32())).combine_chunks().to_batches()
+
+
+@pytest.mark.parametrize("noise", [0.02, 0.4])
+def test_embeddings_dense_shares_find_the_same(monkeypatch, noise):
+    """Cosines of all pairs, or local tables: the same links, each once, and pairs in doubt are those near the threshold."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(8, 64))
+    x = [np.float32(base[k % 8] + noise * rng.normal(size=64)).tolist() for k in range(400)]
+    how = (*embed.DEALING[1][:1], 1, embed.DEALING[1][1], 7)
+    outs = []
+    for dense in (False, True):
+        if dense:
+            monkeypatch.setattr(embed.Share, "candidates", embed.Share.dense)
+        total, doubt = Counter(), set()
+        for b in embed.compare(shares_of(x, how), how, "<u2", 0.9):
+            for r in b.to_pylist():
+                if r["b"] is None:
+                    total[r["a"]] += r["more_a"]
+                elif r["more_a"] is not None:
+                    assert (key := (min(r["a"], r["b"]), max(r["a"], r["b"]))) not in doubt
+                    doubt.add(key)
+        outs.append((total, doubt))
+    assert outs[0] == outs[1]
+    m = np.array(x, dtype=float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    cosine = m @ m.T
+    assert all(abs(cosine[a, b] - 0.9) < 0.03 for a, b in doubt)
+    sure = (cosine >= 0.93).sum(axis=1) - 1
+    assert sum(total.values()) >= 0.97 * sure.sum()
+
+
 def test_embeddings_split_buckets(spark, monkeypatch):
     """One dense group, buckets split into parts: every link counted once."""
     rng = np.random.default_rng(4)
