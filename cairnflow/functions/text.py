@@ -81,6 +81,18 @@ def python_float(x: Column) -> Column:
     return F.when(bare.rlike(number), F.regexp_replace(bare, "_", "").try_cast("double"))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A double from 0 to below 128 as Python's fixed format prints it: its binary value to the nearest, ties to even."""
+    bits = 46
+    unit = 1 << bits
+    scaled = F.floor(x * F.lit(float(unit))).cast("long") * 10**digits
+    down, rest = F.shiftright(scaled, bits), scaled.bitwiseAND(unit - 1)
+    up = (rest > unit // 2) | ((rest == unit // 2) & (down % 2 == 1))
+    n = down + up.cast("long")
+    tail = n % 10**digits
+    return F.concat(((n - tail) / 10**digits).cast("long").cast("string"), F.lit("."), F.lpad(tail.cast("string"), digits, "0"))
+
+
 def float_repr(x: float) -> str:
     """How Python prints a float; composed ids hold it."""
     return repr(float(x))

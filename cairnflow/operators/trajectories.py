@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import word_set
+from ..functions.text import fixed, word_set
 
 
 def completed_ids(*sources: DataFrame) -> DataFrame:
@@ -77,7 +77,7 @@ def correctness(rows: DataFrame, group: str, verdict: str = "is_correct") -> Dat
 
 def percent(x: Column) -> Column:
     """A share as Python's .1% prints it."""
-    return F.format_string("%.1f%%", x * 100)
+    return F.concat(fixed(x * 100, 1), F.lit("%"))
 
 
 def leaderboard(rows: DataFrame, persona: str = "persona", verdict: str = "is_correct", tokens: str = "token_count", order: str = "ordinal") -> DataFrame:
@@ -96,7 +96,7 @@ def recipe_summary(rows: DataFrame, scores: DataFrame, prompt: str, verdict: str
     right = F.count_if(F.col(verdict).eqNullSafe(True))
     n = F.count("*")
     totals = rows.agg(F.count_distinct(prompt).alias("num_completed_prompts"), n.alias("total_generated_trajectories"), F.when(n > 0, percent(right / n)).otherwise("0.0%").alias("overall_trajectory_correctness"))
-    mean = scores.agg(F.format_string("%.3f", F.coalesce(F.avg("diversity_score"), F.lit(0.0))).alias("average_lexical_diversity"))
+    mean = scores.agg(fixed(F.coalesce(F.avg("diversity_score"), F.lit(0.0)), 3).alias("average_lexical_diversity"))
     return totals.crossJoin(mean)  # one row each
 
 

@@ -147,3 +147,11 @@ def test_clean_whitespace_matches_lines(spark):
         return "\n".join(x for x in (line.strip() for line in flat.split("\n")) if x)
 
     assert column(spark, values, T.clean_whitespace) == [want(v) for v in values]
+
+
+def test_fixed_is_pythons(spark):
+    """Ties go to the even digit, and what is a tie in decimals alone is none."""
+    shares = [a / b for b in range(1, 65) for a in range(b + 1)] + [0.0625, 0.1875, 0.145, 0.0115]
+    df = spark.createDataFrame([(x,) for x in shares], "x double")
+    got = df.select("x", T.fixed(F.col("x") * 100, 1).alias("p"), T.fixed(F.col("x"), 3).alias("f")).collect()
+    assert all(f"{r['p']}%" == f"{r['x']:.1%}" and r["f"] == f"{r['x']:.3f}" for r in got)

@@ -187,6 +187,13 @@ def test_config(tmp_path, monkeypatch):
     assert (found.personas, found.temperatures) == (["a"], [0.5])
     with pytest.raises(KeyError):
         config.find_recipe(tmp_path, "none")
+    assert config.find_recipe(prompts.ASSETS / "recipes", "mixed").temperatures == [0.5, 0.8, 1.0]
+    assert set(config.experiment(prompts.ASSETS / "experiments" / "personas.json").recipes) == {"mixed", "one_persona"}
+    assert config.engine(prompts.ASSETS / "engines" / "vllm.json").scheduler.batch_size == 64
+    assert config.sampling(prompts.ASSETS / "sampling" / "diverse.json").n == 32
+    assert isinstance(config.provider(config.ProviderConfig(), "api"), generate.HTTPProvider)
+    with pytest.raises(ValueError, match="no provider"):
+        config.provider(config.ProviderConfig(type="x"))
     (tmp_path / "e.json").write_text("")
     with pytest.raises(ValueError, match="empty"):
         config.read(tmp_path / "e.json")
@@ -392,6 +399,15 @@ def test_sql_functions(spark):
     assert "cairn_strip" in sql.register(spark)
     r = spark.sql("SELECT cairn_strip('\t a ') AS s, cairn_words(' a  b ') AS w, cairn_last_number('x 1 y -2.5') AS n, cairn_jaccard(array('a', 'b'), array('b')) AS j, cairn_jaccard(array('a'), filter(array('a'), x -> x = '')) AS z").first()
     assert (r["s"], r["w"], r["n"], r["j"], r["z"]) == ("a", ["a", "b"], "-2.5", 0.5, 0.0)
+    from cairnflow.functions import answers, text
+
+    rows = spark.createDataFrame([(x,) for x in ("\u3000 a \t b\r\n\r\n  c\r d ", r"$\(x\)$ 5\% \percent", " 1_0.5e3 ", "1f", "steps #### 42 ", "import  os", "<Answer>x</ANSWER>", "", None)], "x string")
+    x = F.col("x")
+    pairs = {"cairn_strip(x)": text.strip(x), "cairn_clean_whitespace(x)": text.clean_whitespace(x), "cairn_normalize_math(x)": text.normalize_math(x), "cairn_float(x)": text.python_float(x), "cairn_last_number(x)": answers.last_number(x), "cairn_is_unsafe(x)": answers.unsafe_pattern(x).isNotNull()}
+    got = rows.select(*(F.expr(k).eqNullSafe(c).alias(f"c{i}") for i, (k, c) in enumerate(pairs.items()))).collect()
+    assert all(all(r) for r in got)
+    more = [tuple(r) for r in rows.selectExpr("cairn_gsm8k_answer(x)", "cairn_has_answer(x)").collect()]
+    assert more[4] == ("42", False) and more[6][1] and not more[8][1]
 
 
 def test_metrics_and_ordinals(spark, tmp_path):
