@@ -37,8 +37,10 @@ BASE = (
 )
 #: Words of made-up values.  No candidate holds one whole, so just the windows around it are left out.
 PLACEHOLDER = r"(?i:example|sample|placeholder|changeme|dummy|xxxx|0000)"
-#: An equals sign ends a candidate, as padding or before a value.
-CANDIDATE = rf"(?:(?!{PLACEHOLDER})[A-Za-z0-9+/_-]){{24,}}+={{0,2}}"
+TOKEN = "[A-Za-z0-9+/_-]"
+#: An equals sign ends a candidate, as padding or before a value.  Enough token characters are
+#: looked for first, as placeholders take long to rule out.
+CANDIDATE = rf"(?={TOKEN}{{24}})(?:(?!{PLACEHOLDER}){TOKEN}){{24,}}+={{0,2}}"
 #: (kind, whole-string pattern, window, least bits a character); the first class that fits counts.
 CLASSES = (
     ("entropy_hex", r"^(?:[0-9a-f]+|[0-9A-F]+)={0,2}$", 24, 3.0),
