@@ -308,11 +308,13 @@ def compare(batches: Iterator[pa.RecordBatch], how: tuple[int, int, int, int], n
     for table in key_runs(batches, ["bucket", "i", "j"]):
         bucket, i, j, side, h, count = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("bucket", "i", "j", "side", "h", "count"))
         forms = table.column("form").to_pylist()
+        size = np.fromiter(map(len, forms), dtype=np.int64, count=len(forms))
         cut = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-        for part in np.split(np.arange(len(bucket)), cut):
+        # bucket names hold but the last bits of a length, so lengths are told apart once more
+        for part in (p[size[p] == k] for p in np.split(np.arange(len(bucket)), cut) for k in np.unique(size[p])):
             if len(part) < 2 or not (side[part] & HOME).any():
                 continue
-            form = np.frombuffer(b"".join(forms[part[0] : part[-1] + 1]), dtype=np.uint8).reshape(len(part), -1)
+            form = np.frombuffer(b"".join([forms[r] for r in part]), dtype=np.uint8).reshape(len(part), -1)
             name = int(bucket[part[0]])
             share = Share(name >> 45 & 63, name & ((1 << 45) - 1), h[part], count[part], side[part], form, how, number, least)
             sums = np.zeros(len(share.h), dtype=np.int64)
@@ -360,8 +362,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     null or a value that isn't finite links with nothing, and so does a row without an id
     (component_id null, kept false).  Vectors of different lengths don't link.  Copies link
     with each other; rows that share an id but not the vector are nodes of their own.  Other
-    columns aren't read; an empty table gives an empty result.  Vectors of up to 2,047
-    coordinates are dealt by length.  ``hashes`` follows from the count of distinct vectors.
+    columns aren't read; an empty table gives an empty result.  ``hashes`` follows from the count of distinct vectors.
     The recall of hashing is measured in the tests; what it finds is exact.
     """
     spark = vectors.sparkSession
