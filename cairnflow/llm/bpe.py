@@ -256,6 +256,10 @@ class Codec:
         """ids of texts by the library alone."""
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
+    def encode_once(self, texts: list[str]) -> list[bytes]:
+        """ids of texts without the store of chunks."""
+        return self.units.encode_many(texts) if self.anchored else self.whole(texts)
+
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """ids of whole texts as the tokenizers library gives them, each as little-endian unsigned 32-bit."""
         if not self.anchored:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .bpe import SLICE, Units
+from .bpe import SLICE
 from .common import map_slices, strings
 
 FIELDS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padded_tokens long"
@@ -157,7 +157,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .bpe import codec
 
-        encoder: Units = codec(tokenizer_path).units
+        encode = codec(tokenizer_path).encode_once
         packer = Packer(TaskContext.get().partitionId() << 36, capacity, piece, block_windows, fine)
         names = ["id", *(f.split()[0] for f in FIELDS.split(", "))]
 
@@ -174,7 +174,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
         def work(b: pa.RecordBatch) -> pa.RecordBatch | None:
             kind[:] = [b.column(0).type]
-            for row, ids in zip(b.column(0).to_pylist(), encoder.encode_many(strings(b.column(1)))):
+            for row, ids in zip(b.column(0).to_pylist(), encode(strings(b.column(1)))):
                 packer.add(row, np.append(np.frombuffer(ids, dtype="<u4"), np.uint32(closing_id)))
             return rows(packer.take(end=False), kind[0])
 

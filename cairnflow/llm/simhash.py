@@ -12,7 +12,7 @@ part is the product of Golay's code and all values of the part, which cover it w
 zero: as the other differing bits, four at most, leave a part alone, two near fingerprints
 meet at one of the product's anchors.  Away from home one differing bit is used up, and four
 of the parts are enough.  So there are some 2**21 anchors for each block and part; a
-fingerprint comes to about 50, and comparisons for N of them are some N**2 / 25,000.
+fingerprint comes to about 50, and comparisons for N of them are some N**2 / 33,000.
 
 Only distinct fingerprints take part; copies join them again at the end.  An anchor with
 many fingerprints is split into pairs of parts, each a task's share of bounded size, so a

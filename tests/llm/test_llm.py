@@ -311,6 +311,14 @@ def test_embeddings_recall_and_counts(spark):
     assert embed.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_many_lengths(spark):
+    """Lengths that agree in their last bits, one coordinate, minus zero, doubles."""
+    long = [float(k % 7) for k in range(2051)]
+    x = [long, [1.0, 0.0, 2.0], list(long), [1.0, -0.0, 2.0], [5.0], [2.0], [-2.0], [1e300, 1e300], [1e-300, 1e-300]]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed.near_duplicates(spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: (1, 0), 1: (1, 1), 2: (1, 0), 3: (1, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6), 7: (1, 7), 8: (1, 7)}
+
+
 @pytest.mark.parametrize("hashes", [1, 2, 3])
 def test_embeddings_by_hashes(spark, hashes):
     """However vectors are dealt, what is found is right, and nearly all is found."""
