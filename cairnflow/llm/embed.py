@@ -167,14 +167,16 @@ def dealt(batches: Iterator[pa.RecordBatch], how: tuple[int, int, int, int], num
                 n, d = y.shape
                 codes = buckets(signatures(y, *how), d)
                 each = codes.shape[1] * codes.shape[2]
-                flat, home = pa.array(codes.ravel()), pa.array(np.tile(np.arange(codes.shape[2]) == 0, n * codes.shape[1]))
+                # with few axes probes come again; a vector is in a bucket once
+                new = np.stack([(codes[:, :, :k] != codes[:, :, k : k + 1]).all(axis=2) for k in range(codes.shape[2])], axis=2).ravel()
+                flat, home = pa.array(codes.ravel()[new]), pa.array(np.tile(np.arange(codes.shape[2]) == 0, n * codes.shape[1])[new])
                 if bare:
                     yield pa.RecordBatch.from_arrays([flat, home], ["bucket", "home"])
                     continue
                 q, scale, error = rounded(y)
                 numbers = (codes & ((1 << 45) - 1)).reshape(n, -1).astype(number)
                 packed = np.concatenate([q.view(np.uint8), scale[:, None].view(np.uint8), error[:, None].view(np.uint8), numbers.view(np.uint8)], axis=1)
-                again = pa.array(np.repeat(np.arange(n), each))
+                again = pa.array(np.repeat(np.arange(n), each)[new])
                 form = pa.array([z.tobytes() for z in packed], pa.binary()).take(again)
                 yield pa.RecordBatch.from_arrays([flat, home, pa.array(h[part]).take(again), pa.array(count[part]).take(again), form], ["bucket", "home", "h", "count", "form"])
 
