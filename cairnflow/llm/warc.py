@@ -32,10 +32,12 @@ OWN = {"warc-type", "warc-record-id", "content-length", "content-type", "warc-da
 #: Elements whose content isn't shown, and those whose content has no tags.
 HIDDEN, BARE = ("script", "style"), ("title", "textarea")
 BLOCKS = frozenset("p div br hr li ul ol h1 h2 h3 h4 h5 h6 tr table article section nav header footer blockquote pre title head body".split())
-NAME = re.compile(r"/?[A-Za-z][^\s/>]*")
+#: What ``<`` opens: a tag with its attributes, up to its end or the page's (or a quote that opens no value), a comment, or a declaration.
+MARK = re.compile(r"""<(?:(/?[A-Za-z][^\s/>]*+)((?>[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(>|\Z)?+|!--|[!?])""")
 #: In a tag: its end, or the quote that opens a value.
 STOP = re.compile(r""">|=\s*["']""")
 HREF = re.compile(r"""(?i)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
+CLOSES = {tag: re.compile(f"(?i)</{tag}") for tag in HIDDEN + BARE}
 SPACE = re.compile(r"[ \t\r\f\v]+")
 CHARSET = re.compile(rb"(?i)charset\s*=\s*[\"']?([\w.:-]+)")
 #: What has text to convert, besides all of text/*.
@@ -101,77 +103,84 @@ class Page:
 
     def __init__(self, html: str):
         self.html, self.none = html, set()  # ends that don't come any more
-        self.lower = html.translate(LOWER)
         self.parts: list[str] = []
         self.links: list[str] = []
         self.title: str | None = None
         at = 0
-        while at < len(html):
-            k = html.find("<", at)
-            if k < 0:
-                self.parts.append(unescape(html[at:]))
+        for_mark, parts = MARK.search, self.parts
+        while True:
+            m = for_mark(html, at)
+            if m is None:
+                parts.append(readable(html[at:]))
                 break
-            if k > at:
-                self.parts.append(unescape(html[at:k]))
-            at = self.markup(k)
+            start = m.start()
+            if start > at:
+                parts.append(readable(html[at:start]))
+            at = self.markup(m) if m[1] is None or m[3] is None else m.end()
+            tag = m[1]
+            if tag is None:
+                continue
+            tag = tag.lower()
+            if tag in SHOWN:
+                parts.append("\n")
+            elif tag == "a":
+                link = HREF.search(html, m.end(1), at)
+                if link:
+                    self.links.append(unescape(next(x for x in link.groups() if x is not None)))
+            if tag in CLOSES:
+                at = self.content(tag, at)
 
     def after(self, end: str, at: int) -> int:
         """Past the next ``end`` from ``at`` on; past the page's end if there is none."""
-        k = -1 if end in self.none else self.lower.find(end, at)
+        k = -1 if end in self.none else self.html.find(end, at)
         if k < 0:
             self.none.add(end)
             return len(self.html)
         return k + len(end)
 
-    def markup(self, at: int) -> int:
-        """Reads what ``<`` at a place opens; gives the place after it."""
-        html = self.html
-        if html.startswith("<!--", at):
-            return self.after("-->", at + 4)
-        name = NAME.match(html, at + 1)
-        if name is None:
-            if html[at + 1 : at + 2] in ("!", "?"):
-                return self.after(">", at + 2)
-            self.parts.append("<")
-            return at + 1
-        tag, end = self.lower[name.start() : name.end()], name.end()
+    def markup(self, m: re.Match) -> int:
+        """The place after a comment, a declaration, or a tag with a quote that opens no value."""
+        if m[1] is None:
+            return self.after("-->" if m[0] == "<!--" else ">", m.end())
+        end = m.end()
         while True:
-            stop = STOP.search(html, end)
+            stop = STOP.search(self.html, end)
             if stop is None:
-                return len(html)
+                return len(self.html)
             end = stop.end()
             if stop[0] == ">":
-                break
+                return end
             end = self.after(stop[0][-1], end)
-        if tag.removeprefix("/") in BLOCKS:
-            self.parts.append("\n")
-        if tag == "a":
-            link = HREF.search(html, name.end(), end)
-            if link:
-                self.links.append(unescape(next(x for x in link.groups() if x is not None)))
-        if tag not in HIDDEN + BARE:
-            return end
-        close = self.after(f"</{tag}", end)
-        past = self.after(">", close)
+
+    def content(self, tag: str, at: int) -> int:
+        """Takes in what an element without tags holds; gives the place after its end."""
+        close = None if tag in self.none else CLOSES[tag].search(self.html, at)
+        if close is None:
+            self.none.add(tag)
+        stop = close.start() if close else len(self.html)
         if tag in BARE:
-            inside = unescape(html[end : close - len(tag) - 2] if f"</{tag}" not in self.none else html[end:])
+            inside = unescape(self.html[at:stop])
             self.parts.append(inside)
             if tag == "title":
                 self.parts.append("\n")
                 self.title = inside if self.title is None else self.title
-        return past
+        return self.after(">", close.end()) if close else stop
 
     def text(self) -> str:
         """What a reader sees: a line for each block, without blank lines."""
         return tidy("".join(self.parts))
 
 
-LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+SHOWN = BLOCKS | {f"/{tag}" for tag in BLOCKS}
+
+
+def readable(text: str) -> str:
+    return unescape(text) if "&" in text else text
 
 
 def tidy(text: str) -> str:
-    lines = (SPACE.sub(" ", line).strip() for line in text.replace("\xa0", " ").split("\n"))
-    return "\n".join(x for x in lines if x)
+    lines = map(str.strip, SPACE.sub(" ", text.replace("\xa0", " ")).split("\n"))
+    return "\n".join([x for x in lines if x])
 
 
 def plain_text(html: str) -> str:
