@@ -196,8 +196,8 @@ def links(prints: DataFrame, bits: int = 4) -> DataFrame:
     if not 0 <= bits <= 4:
         raise ValueError("the covering holds for 0 to 4 differing bits")
     n = shuffle_partitions(prints.sparkSession)
-    # dealt to all tasks, as each print becomes some 50 rows
-    at = prints.select("print").repartition(n, "print").mapInArrow(spread, "bucket long, print long, home boolean")
+    # dealt to all tasks, as each print becomes some 50 rows; by another hash, as Spark leaves out what deals alike
+    at = prints.select("print").repartition(n, F.xxhash64("print")).mapInArrow(spread, "bucket long, print long, home boolean")
     parts = checkpointed(at.groupBy("bucket").count().select("bucket", F.ceil(F.col("count") / PART).cast("int").alias("parts")).where("parts > 1"))
     split = at.join(F.broadcast(parts) if parts.count() <= MOST_BROADCAST else parts, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     split = split.withColumn("mine", F.pmod(F.xxhash64("print"), F.col("parts")).cast("int"))
