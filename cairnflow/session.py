@@ -47,6 +47,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage; its partitions are fixed from then on."""
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage; its partitions are fixed from then on.
+
+    The files outlive executors, and Spark's cleaner drops them once no plan uses them
+    (spark.cleaner.referenceTracking.cleanCheckpoints).
+    """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

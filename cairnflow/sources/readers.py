@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..session import checkpointed
 
 log = logging.getLogger(__name__)
 
@@ -59,17 +60,22 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return numbered.select("line", F.try_parse_json("value").alias("raw"), "file", "block")
 
 
+#: Splits of a scan whose starts are broadcast (16 bytes each); those of more are joined.
+MOST_SPLITS = 1_000_000
+
+
 def in_files(rows: DataFrame, name: str) -> DataFrame:
     """With the place of each row, from 0, by file, block of the file, and place in the block, for a scan with columns file and block.
 
     Splits aren't read in the order of the files, so they are put in order by a table of one
-    row for each, which is joined by file and block.
+    row for each, made by a first pass that counts.
     """
     held = rows.withColumn("__mid", F.monotonically_increasing_id())
     splits = held.groupBy("file", "block").agg(F.min("__mid").alias("__low"), F.count("*").alias("n"))
     before = F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1))
-    starts = splits.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("__low")).alias("__shift"))
-    return held.join(F.broadcast(starts), ["file", "block"]).select(*rows.columns, (F.col("__mid") + F.col("__shift")).alias(name))
+    starts = checkpointed(splits.select(F.xxhash64("file", "block").alias("__split"), (F.coalesce(before, F.lit(0)) - F.col("__low")).alias("__shift")))
+    starts = F.broadcast(starts) if starts.count() <= MOST_SPLITS else starts
+    return held.withColumn("__split", F.xxhash64("file", "block")).join(starts, "__split").select(*rows.columns, (F.col("__mid") + F.col("__shift")).alias(name))
 
 
 def scan_jsonl(spark: SparkSession, path: str) -> DataFrame:

@@ -187,7 +187,7 @@ def test_config(tmp_path, monkeypatch):
     assert (found.personas, found.temperatures) == (["a"], [0.5])
     with pytest.raises(KeyError):
         config.find_recipe(tmp_path, "none")
-    assert config.find_recipe(prompts.ASSETS / "recipes", "mixed").temperatures == [0.5, 0.8, 1.0]
+    assert config.find_recipe(prompts.ASSETS / "recipes", "mixed").temperatures == [0.4, 0.7, 1.0]
     assert set(config.experiment(prompts.ASSETS / "experiments" / "personas.json").recipes) == {"mixed", "one_persona"}
     assert config.engine(prompts.ASSETS / "engines" / "vllm.json").scheduler.batch_size == 64
     assert config.sampling(prompts.ASSETS / "sampling" / "diverse.json").n == 32
@@ -331,6 +331,21 @@ def test_stream(spark, tmp_path):
     assert [(r["id"], r["ground_truth_answer"]) for r in got] == [("1", "1")]
 
 
+def test_stream_of_responses(spark, tmp_path):
+    from cairnflow.streaming import responses
+
+    (tmp_path / "in").mkdir()
+    rows = [("r1", "p1", "teacher", "<answer>4</answer>", 5, "2024-01-01T00:01:00"), ("r1", "p1", "teacher", "<answer>4</answer>", 5, "2024-01-01T00:01:00"), ("r2", "p1", "teacher", "5", 3, "2024-01-01T00:02:00"), ("r3", "p2", None, "x", 1, "2024-01-01T00:31:00"), ("late", "p9", "y", "x", 1, "2024-01-01T04:00:00")]
+    names = ["response_id", "prompt_id", "persona", "text", "token_count", "made"]
+    (tmp_path / "in" / "a.jsonl").write_text("\n".join(json.dumps(dict(zip(names, r))) for r in rows) + "\n{bad\n")
+    truths = spark.createDataFrame([("p1", "4"), ("p2", "x")], "prompt_id string, ground_truth_answer string")
+    judged = responses.verified(responses.responses(spark, str(tmp_path / "in")), truths)
+    query = ingest.run(responses.correctness(judged), str(tmp_path / "out"), str(tmp_path / "cp"))
+    query.awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("start").collect()
+    assert [(r["persona"], r["total_count"], r["correct_count"], r["tokens"]) for r in got] == [("teacher", 2, 1, 8), ("unknown", 1, 1, 1)]
+
+
 def test_events(spark):
     e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert events.window_totals(e).agg(F.sum("n")).first()[0] == e.count()
