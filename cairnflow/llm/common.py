@@ -1,39 +1,15 @@
-"""Shared helpers: checkpoints in the shared folder, Arrow batches, key runs."""
+"""Shared helpers: checkpoints in the shared folder, lookups, Arrow batches, key runs."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; where none is set, a temporary one on a local master (tests), and an error on a cluster."""
-    sc = spark.sparkContext
-    now = sc._jsc.sc().getCheckpointDir()
-    if now.isDefined():
-        return now.get()
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = tempfile.mkdtemp(prefix="cairnflow-")
-    sc.setCheckpointDir(path)
-    return path
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
-
-    The files outlive executors, and Spark's cleaner drops them once no plan uses them
-    (spark.cleaner.referenceTracking.cleanCheckpoints).
-    """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+from ..session import checkpoint_dir, checkpointed  # noqa: F401  the operators take them from here
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

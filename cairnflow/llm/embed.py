@@ -44,7 +44,7 @@ MOST_BROADCAST = 100_000
 #: Hashes of vectors to be verified are broadcast up to this many (8 bytes each), and joined beyond.
 MOST_ENDS = 1_000_000
 #: (tables, probes) of the dealing by its hashes, and (tables, hashes, probes) in a bucket.
-DEALING = {1: (2, 2), 2: (6, 4), 3: (14, 6)}
+DEALING = {1: (2, 2), 2: (4, 4), 3: (8, 6)}
 LOCAL = (6, 2, 4)
 #: Coordinates up to which a rotation is kept as a matrix.
 DENSE = 256
