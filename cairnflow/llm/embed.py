@@ -38,7 +38,7 @@ from .common import checkpointed, key_runs, looked_up, shuffle_partitions
 from .components import components, stars
 
 #: Rows of one part of a bucket, of a tile of a comparison, and pairs that are looked at together.
-PART, TILE, PAIRS = 1 << 17, 1024, 1 << 20
+PART, TILE, PAIRS = 1 << 17, 512, 1 << 20
 #: Buckets that are split are broadcast up to this many, and joined beyond.
 MOST_BROADCAST = 100_000
 #: Hashes of vectors to be verified are broadcast up to this many (8 bytes each), and joined beyond.
@@ -222,35 +222,40 @@ class Share:
         return ordered & (np.bitwise_count(self.sketch[a] ^ self.sketch[b]) <= self.most_bits)
 
     def candidates(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Distinct pairs (at home, guest) that meet in a local table, and are near by their sketches."""
+        """Distinct pairs (at home, guest) that meet in a local table, and are near by their sketches; each comes where it meets first."""
         ranges = list(self.ranges())
-        if sum(int((hi - lo).sum()) for _, _, _, lo, hi in ranges) > len(self.homes) * len(self.guests) // 8:
+        if sum(int((hi - lo).sum()) for *_, lo, hi in ranges) > len(self.homes) * len(self.guests) // 8:
             yield from self.dense()
             return
-        held = []
-        for swapped, rows, order, lo, hi in ranges:
+        for k, swapped, rows, order, lo, hi in ranges:
             for own, other in expanded(rows, order, lo, hi):
                 a, b = (own, other) if swapped else (other, own)
                 keep = self.near(a, b)
-                if keep.any():
-                    held.append(a[keep] * len(self.h) + b[keep])
-        if held:
-            pair = np.unique(np.concatenate(held))
-            for p in range(0, len(pair), PAIRS // 8):
-                yield pair[p : p + PAIRS // 8] // len(self.h), pair[p : p + PAIRS // 8] % len(self.h)
-
-    def ranges(self) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(rows are those at home, rows, others by their home cell, from, to): the others in each cell that rows are in or probe."""
+                a, b = a[keep], b[keep]
+                new = ~self.meet(a, b, k)
+                if swapped:  # met already where the guest is, or probes, at its home
+                    new &= (self.local[a, k, :1] != self.local[b, k]).all(axis=1)
+                yield a[new], b[new]
+
+    def meet(self, a: np.ndarray, b: np.ndarray, tables: int) -> np.ndarray:
+        """Whether pairs meet in one of the first local tables."""
+        x, y = self.local[a, :tables], self.local[b, :tables]
+        return ((x[:, :, :1] == y).any(axis=2) | (x == y[:, :, :1]).any(axis=2)).any(axis=1)
+
+    def ranges(self) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(table, rows are those at home, rows, others by their home cell, from, to): the others in each cell that rows are in or probe."""
         for k in range(self.local.shape[1]):
             for swapped, rows, others in ((False, self.guests, self.homes), (True, self.homes, self.guests)):
                 cell = self.local[others, k, 0]
                 order = np.argsort(cell, kind="stable")
                 cell, order = cell[order], others[order]
-                starts = np.searchsorted(cell, np.arange(self.cells + 1)) if self.cells <= PAIRS else None
+                starts = np.searchsorted(cell, np.arange(self.cells + 1)).astype(np.int32) if self.cells <= PAIRS else None
                 for p in range(1 if swapped else 0, self.local.shape[2]):
                     own = self.local[rows, k, p]
-                    lo, hi = (starts[own], starts[own + 1]) if starts is not None else (np.searchsorted(cell, own, x) for x in ("left", "right"))
-                    yield swapped, rows, order, lo, hi
+                    lo, hi = (starts[own], starts[own + 1]) if starts is not None else (np.searchsorted(cell, own, x).astype(np.int32) for x in ("left", "right"))
+                    # with few axes a probe comes again
+                    new = (self.local[rows, k, :p] != own[:, None]).all(axis=1)
+                    yield k, swapped, rows, order, lo, np.where(new, hi, lo)
 
     def dense(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The same pairs, but for some that are far, by all cosines in tiles: cheaper where most meet."""
@@ -262,13 +267,12 @@ class Share:
                 a, b = own[r], other[c]
                 keep = self.near(a, b)
                 a, b = a[keep], b[keep]
-                x, y = self.local[a], self.local[b]
-                met = ((x[:, :, :1] == y).any(axis=2) | (x == y[:, :, :1]).any(axis=2)).any(axis=1)
+                met = self.meet(a, b, self.local.shape[1])
                 yield a[met], b[met]
 
     def links(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(a, b, sure) of pairs that link, or may, and didn't meet before."""
-        for a, b in self.candidates():
+        for a, b in ((x[p : p + PAIRS // 8], y[p : p + PAIRS // 8]) for x, y in self.candidates() for p in range(0, len(x), PAIRS // 8)):
             cosine = np.einsum("ij,ij->i", self.x[a], self.x[b]).astype(np.float64)
             bound = self.error[a] + self.error[b] * (1 + self.error[a]) + 1e-5
             some = cosine >= self.least - bound
@@ -288,7 +292,7 @@ def sketches(x: np.ndarray, seed: int) -> np.ndarray:
 
 def expanded(rows: np.ndarray, order: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, other) for each of the others in each row's range, some PAIRS at a time."""
-    count = hi - lo
+    count = (hi - lo).astype(np.int64)
     some = np.flatnonzero(count)
     share = np.cumsum(count[some]) // PAIRS
     edges = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), len(some)]
