@@ -50,14 +50,13 @@ SETTLED, CANDIDATE, HOT = 0, 1, 2
 FORGET, REMEMBER = 4, 8_000_000
 #: In place of a segment's hash: a marker of a hot key; it sorts before the key's segments.
 MARKER = -1
-#: Bits of a version; rows without an id are told apart by it alone, so theirs has more.
-VERSION_BITS, NAMELESS_BITS = 24, 56
 
 
-def version(id_: Column, text: Column) -> Column:
-    """A hash of the text, which tells rows apart that share an id."""
-    bits = F.when(id_.isNull(), F.lit((1 << NAMELESS_BITS) - 1)).otherwise(F.lit((1 << VERSION_BITS) - 1))
-    return F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(bits)
+def versions(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """What tells rows apart that share an id: 64 bits of a hash of the text; 0 where every id stands once, which a count of the ids tells."""
+    ids = docs.select(docs[id_col].alias("id")).agg(F.count("*"), F.count("id"), F.count_distinct("id")).first()
+    alone = ids[1] == ids[2] and ids[0] - ids[1] <= 1
+    return F.lit(0).cast("long") if alone else F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
 
 
 def against_first(new: np.ndarray, *place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +140,7 @@ class Recent:
 
 
 def segments(batches: Iterator[pa.RecordBatch], least: int, hot_from: int) -> Iterator[pa.RecordBatch]:
-    """(kind, key, same, id, a, nv): segments; those that are not first of their equals in a slice are settled.
+    """(kind, key, same, id, a, v, n): segments; those that are not first of their equals in a slice are settled.
 
     Of rows alike in id and text the first stands for all, as marks are joined to each.
     """
@@ -188,9 +187,10 @@ def segments(batches: Iterator[pa.RecordBatch], least: int, hot_from: int) -> It
             pa.array(np.append(same, np.full(m, MARKER))),
             pa.concat_arrays([ids, pa.nulls(m, ids.type)]),
             pa.array(np.append(at, np.zeros(m)).astype(np.int32)),
-            pa.array(np.append(v << 7 | n, np.zeros(m, dtype=np.int64))),
+            pa.array(np.append(v, np.zeros(m, dtype=np.int64))),
+            pa.array(np.append(n, np.zeros(m)).astype(np.int8)),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["kind", "key", "same", "id", "a", "nv"])
+        return pa.RecordBatch.from_arrays(columns, ["kind", "key", "same", "id", "a", "v", "n"])
 
     yield from map_slices(batches, "text", work, 6 << 20)
 
@@ -206,7 +206,7 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Repeats of a segment are settled.  Firsts become HOT if they are, or if a marker says
     that their key is; else they stay candidates if their key has another segment.
     """
-    names = ["kind", "key", "id", "a", "nv"]
+    names = ["kind", "key", "id", "a", "v", "n"]
     held: pa.RecordBatch | None = None  # the last first, its neighbour not yet known
     tied = False  # it has one on the left
     last: pa.RecordBatch | None = None  # the first row of the last group of equals
@@ -221,10 +221,10 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prior = int(last is not None)
         if prior:
             b = pa.concat_batches([last, b])
-        kind, key, same, a, nv = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4, 5))
+        kind, key, same, a, v = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4, 5))
         new = np.ones(len(key), dtype=bool)
         new[1:] = (kind[1:] != kind[:-1]) | (key[1:] != key[:-1]) | (same[1:] != same[:-1])
-        again, alike = (x[prior:] for x in against_first(new, rank_of(b.column(3)), nv, a))
+        again, alike = (x[prior:] for x in against_first(new, rank_of(b.column(3)), v, a))
         last = b.slice(int(np.flatnonzero(new)[-1]), 1)
         b, kind, key, same = b.slice(prior), kind[prior:], key[prior:], same[prior:]
         marker = (same == MARKER) & (kind == CANDIDATE)
@@ -548,7 +548,7 @@ def later_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def plain(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
     """The rows as id, text, v (the text's version), c0, c1 …, and the names of the columns that c0, c1 … stand for."""
     others = [c for c in docs.columns if c not in (id_col, text_col)]
-    named = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), version(docs[id_col], docs[text_col]).alias("v"), *(docs[c].alias(f"c{i}") for i, c in enumerate(others)))
+    named = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), versions(docs, id_col, text_col).alias("v"), *(docs[c].alias(f"c{i}") for i, c in enumerate(others)))
     return named, others
 
 
@@ -562,12 +562,12 @@ def repeats(rows: DataFrame, least: int = 100, most_segments: int = 4096, hot_fr
         raise ValueError(f"least must be above {KEY_BYTES} and at most {KEY_BYTES + 95}")
     n = shuffle_partitions(rows.sparkSession)
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.select("id", "text", "v").mapInArrow(lambda b: segments(b, least, hot_from), f"kind tinyint, key long, same long, id {kind}, a int, nv long")
+    found = rows.select("id", "text", "v").mapInArrow(lambda b: segments(b, least, hot_from), f"kind tinyint, key long, same long, id {kind}, a int, v long, n tinyint")
     # settled rows only pass through, so they go anywhere; segments of hot keys need only meet their equals
     place = F.when(F.col("kind") == SETTLED, F.xxhash64("id", "a")).when(F.col("kind") == HOT, F.xxhash64("key", "same")).otherwise(F.col("key"))
     dealt = found.repartition(n, place)
-    marks = dealt.sortWithinPartitions("kind", "key", "same", "id", F.shiftright("nv", 7), "a").mapInArrow(settle, f"kind tinyint, key long, id {kind}, a int, nv long")
-    marks = marks.select("kind", "key", "id", F.shiftright("nv", 7).alias("v"), "a", F.col("nv").bitwiseAND(127).cast("int").alias("n"))
+    marks = dealt.sortWithinPartitions("kind", "key", "same", "id", "v", "a").mapInArrow(settle, f"kind tinyint, key long, id {kind}, a int, v long, n tinyint")
+    marks = marks.select("kind", "key", "id", "v", "a", F.col("n").cast("int").alias("n"))
     settled = marks.where(F.col("kind") == SETTLED).select("id", "v", "a", (F.col("n") + (least - 1)).alias("length"))
     listed = marks.where(F.col("kind") != SETTLED).groupBy("id", "v").agg(F.collect_list(F.struct("kind", "key", "a", "n")).alias("found"))
     texts = with_lists(rows, listed).mapInArrow(lambda b: fetch(b, least), f"key long, h2 long, id {kind}, a int, v long, segment binary")
@@ -609,8 +609,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: ``id_col``, n_bytes, n_removed, n_spans (maximal removed runs) and kept, the bytes left.
 
     Texts are UTF-8 bytes; null counts as empty.  Order is by id, nulls first; rows that
-    share an id but not the text are documents of their own, ordered by a hash of the text;
-    rows alike in both are one document and are cut alike.  Other columns aren't read; an
+    share an id but not the text are documents of their own, however many, ordered by a 64-bit hash
+    of the text; rows alike in both are one document and are cut alike.  Other columns aren't read; an
     empty table gives an empty result.  A text of any length is read whole, a megabyte at a time
     where anchors are found.  With ``digest`` kept_sha256 takes the place of kept.
     """

@@ -11,11 +11,10 @@ that runs again makes the same.  One pass, no shuffle; text is taken out in line
 
 from __future__ import annotations
 
-import gzip
 import re
 import zlib
 from base64 import b32encode
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import sha1
 from html import unescape
 from uuid import UUID
@@ -205,22 +204,96 @@ def unchunked(data: bytes) -> bytes:
         at += n + 2
 
 
+#: Bytes that a body may have once its content encodings are undone.
+MOST_DECODED = 256 << 20
+#: Encoded bytes that are undone at a time where a decoder doesn't bound what it gives.
+PIECE = 1 << 10
+
+
+def in_pieces(payload: bytes, start: Callable) -> bytes:
+    """One or more streams of a decoder that ``start`` makes: it takes bytes, and says (what came out, whether it is at its end, bytes beyond).  Zeros may follow the last, as some archives pad."""
+    out, size, at = [], 0, 0
+    if payload.endswith(bytes(9)):  # a stream may end with up to eight
+        payload = payload.rstrip(b"\0") + bytes(8)
+    while at < len(payload) and not (at and payload.count(0, at, at + 9) == len(payload) - at):
+        step, ended = start(), False
+        while at < len(payload) and not ended:
+            piece = payload[at : at + PIECE]
+            got, ended, beyond = step(piece)
+            at += len(piece) - len(beyond)
+            size += len(got)
+            out.append(got)
+            if size > MOST_DECODED:
+                raise ValueError("it is too long once decoded")
+        if not ended:
+            raise ValueError("it is cut")
+    return b"".join(out)
+
+
+def inflated(payload: bytes, kind: int) -> bytes:
+    """One or more zlib, gzip or raw deflate streams; ``kind`` as zlib's wbits."""
+
+    def start() -> Callable:
+        stream = zlib.decompressobj(kind)
+        return lambda piece: (stream.decompress(piece), stream.eof, stream.unused_data)
+
+    return in_pieces(payload, start)
+
+
+def unzstd(payload: bytes) -> bytes:
+    import zstandard
+
+    def start() -> Callable:
+        stream = zstandard.ZstdDecompressor().decompressobj()
+        return lambda piece: (stream.decompress(piece), stream.eof, stream.unused_data)
+
+    try:
+        return in_pieces(payload, start)
+    except zstandard.ZstdError as e:
+        raise ValueError(str(e)) from e
+
+
+def unbrotli(payload: bytes) -> bytes:
+    try:
+        import brotli
+    except ImportError as e:
+        raise LookupError("isn't supported without the library brotli") from e
+
+    def start() -> Callable:
+        stream = brotli.Decompressor()
+        return lambda piece: (stream.process(piece), stream.is_finished(), b"")
+
+    try:
+        return in_pieces(payload, start)
+    except brotli.error as e:
+        raise ValueError(str(e)) from e
+
+
 def decoded(payload: bytes, encodings: str) -> bytes:
-    """The payload without its content encodings; ValueError for one that can't be undone."""
+    """The payload without its content encodings; ValueError for one that isn't known, is broken or cut, or gives more than MOST_DECODED bytes.
+
+    Streams that follow each other are all read.  An empty payload stays empty, and one that is
+    said to be gzip but isn't stays as it is.
+    """
     for name in reversed([x.strip().lower() for x in encodings.split(",")]):
         try:
+            if not payload or name in ("", "identity"):
+                continue
             if name in ("gzip", "x-gzip"):
-                payload = gzip.decompress(payload) if payload[:2] == b"\x1f\x8b" else payload
+                payload = inflated(payload, 31) if payload[:2] == b"\x1f\x8b" else payload
             elif name == "deflate":
-                payload = zlib.decompress(payload, 15 if payload[:1] == b"\x78" else -15)
+                wrapped = len(payload) > 1 and payload[0] & 15 == 8 and int.from_bytes(payload[:2], "big") % 31 == 0
+                payload = inflated(payload, 15 if wrapped else -15)
             elif name == "zstd":
-                import zstandard
-
-                payload = zstandard.ZstdDecompressor().decompressobj().decompress(payload)
-            elif name not in ("", "identity"):
-                raise ValueError(f"the content encoding {name} isn't supported")
-        except (OSError, EOFError, zlib.error) as e:
-            raise ValueError(f"the content encoding {name} is broken") from e
+                payload = unzstd(payload)
+            elif name == "br":
+                payload = unbrotli(payload)
+            else:
+                raise LookupError("isn't supported")
+        except LookupError as e:
+            raise ValueError(f"the content encoding {name} {e.args[0]}") from e
+        except (ValueError, zlib.error) as e:
+            raise ValueError(f"the content encoding {name} is broken: {e}") from e
     return payload
 
 

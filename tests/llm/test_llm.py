@@ -136,8 +136,8 @@ def brute_repeats(pairs, least=100):
     """(n_bytes, n_removed, n_spans, kept) by (id, text), documents in order of id and of their version."""
     from xxhash import xxh64_intdigest
 
-    bits = lambda i: suffix.NAMELESS_BITS if i is None else suffix.VERSION_BITS
-    raw = sorted({((i is not None, i or 0), xxh64_intdigest((t or "").encode(), 42) & ((1 << bits(i)) - 1), t or "") for i, t in pairs})
+    version = lambda t: (xxh64_intdigest(t.encode(), 42) ^ 1 << 63) - (1 << 63)  # noqa: E731  as a long
+    raw = sorted({((i is not None, i or 0), version(t or ""), t or "") for i, t in pairs})
     seen, out = set(), {}
     for (known, i), _, t in raw:
         b = t.encode()
@@ -197,6 +197,20 @@ def test_suffix_rows_without_ids(spark):
     assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(((i, *want[i, t]) for i, t in pairs), key=repr)
 
 
+@pytest.mark.parametrize("lengths", [(1,), (1, 4, 9)])
+def test_suffix_rows_of_one_id(spark, lengths):
+    """20,000 texts of one id, which 24 bits of a hash don't tell apart: each loses what it repeats, and no more."""
+    rng = random.Random(17)
+    parts = [" ".join(str(rng.randrange(10**6)) for _ in range(20)) for _ in range(300)]
+    pairs = [(1, f"{k} " + " ".join(rng.choice(parts) if rng.random() < 0.2 else str(rng.random()) * 7 for _ in range(rng.choice(lengths)))) for k in range(20_000)]
+    table = spark.createDataFrame(pairs, "doc_id long, text string").repartition(4)
+    want = brute_repeats(pairs)
+    assert rows_of(suffix.without_repeats(table, digest=True), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(((i, *want[i, t]) for i, t in pairs), key=repr)
+    if len(lengths) > 1:  # as the pipeline's stage
+        kept = rows_of(suffix.cut(table.selectExpr("doc_id", "text", "text AS was")), "was", "text")
+        assert [(w, hashlib.sha256(t.encode()).hexdigest()) for w, t in kept] == sorted(((t, want[i, t][3]) for i, t in pairs), key=repr)
+
+
 def test_suffix_hot_keys_of_a_task():
     """Segments of one key are counted over slices, equal ones once; rare keys are forgotten."""
     recent = suffix.Recent(4)
@@ -591,6 +605,68 @@ def test_warc_encodings_and_types():
         made(b"Content-Type: text/html\r\nContent-Encoding: gzip", packed[:-9])
 
 
+def raw_deflate(data):
+    c = zlib.compressobj(wbits=-15)
+    return c.compress(data) + c.flush()
+
+
+def test_warc_broken_cut_joined_and_empty_bodies(spark, monkeypatch):
+    """Of every encoding: the whole text, or an error row; never a crash, a lost part, or an empty text without an error."""
+    import gzip
+
+    import zstandard
+
+    first, second = b"<p>first " + b"x" * 1200, b"<p>second " + b"y" * 1200
+    zstd = zstandard.ZstdCompressor()
+    unsized = zstandard.ZstdCompressor(write_content_size=False)
+    makers = {"gzip": [gzip.compress], "deflate": [zlib.compress, raw_deflate], "zstd": [zstd.compress, unsized.compress]}
+    rows, wanted = [], []
+    for name, ways in makers.items():
+        for pack in ways:
+            whole = pack(first)
+            bodies = {"whole": whole, "joined": whole + pack(second), "padded": whole + bytes(512), "empty": b"", "cut": whole[: len(whole) // 2], "nearly": whole[:-1], "broken": whole[:3] + b"garbage garbage" + whole[9:]}
+            bodies |= {"foreign": b"garbage garbage"} if name != "gzip" else {}
+            for case, body in bodies.items():
+                block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Encoding: " + name.encode() + b"\r\n\r\n" + body
+                rows.append((len(rows), warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:1>")], block)))
+                wanted.append({"padded": warc.plain_text(first.decode()), "whole": warc.plain_text(first.decode()), "joined": warc.plain_text((first + second).decode()), "empty": ""}.get(case))
+    for r, want in zip(warc.derive(spark.createDataFrame(rows, "page_id long, record binary")).orderBy("page_id").collect(), wanted):
+        assert r["text"] == want, r
+        assert (r["error"] is None) == (want is not None), r
+    start = time.time()  # many small streams take linear time
+    assert warc.decoded(gzip.compress(b"x") * 40_000, "gzip") == b"x" * 40_000
+    assert time.time() - start < 5
+    monkeypatch.setattr(warc, "MOST_DECODED", 1000)
+    for name, ways in makers.items():
+        for pack in ways:
+            with pytest.raises(ValueError, match="too long"):
+                warc.decoded(pack(first), name)
+            assert warc.decoded(pack(b"z" * 1000), name) == b"z" * 1000
+
+
+def test_warc_brotli_where_its_library_is(monkeypatch):
+    """The library's interface, by a stand-in that undoes zlib."""
+    import sys
+    import types
+
+    class Stream:
+        def __init__(self):
+            self.stream = zlib.decompressobj()
+
+        def process(self, piece):
+            return self.stream.decompress(piece)
+
+        def is_finished(self):
+            return self.stream.eof
+
+    monkeypatch.setitem(sys.modules, "brotli", types.SimpleNamespace(Decompressor=Stream, error=zlib.error))
+    body = bytes(random.Random(1).randrange(256) for _ in range(5000))
+    assert warc.decoded(zlib.compress(body), "br") == body
+    for bad in (zlib.compress(body)[:-1], b"garbage"):
+        with pytest.raises(ValueError, match="broken"):
+            warc.decoded(bad, "br")
+
+
 def test_warc_dates(spark):
     df = spark.sql("SELECT 1L AS page_id, 'u' AS url, 'x' AS html, timestamp'2020-02-03 04:05:06' AS seen UNION ALL SELECT 2L, 'u', 'x', NULL")
     got = warc.derive(warc.responses(df, date_col="seen")).orderBy("page_id").collect()
