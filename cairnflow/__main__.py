@@ -13,6 +13,7 @@ import logging
 
 from pyspark.sql import functions as F
 
+from .operators import prompts
 from .plans import grids, runner
 from .session import session, setup_logging
 from .sources import config, readers
@@ -26,9 +27,9 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--recipe", help="a recipe file; without one every prompt is generated as it is")
     p.add_argument("--experiment")
     p.add_argument("--out", help="the run's folder")
-    p.add_argument("--samples", type=int, help="in place of the sampling's n")
+    p.add_argument("--samples", type=int, help="in place of the sampling's n; with a recipe, responses of each of its jobs (1)")
     p.add_argument("--verifier", default="math")
-    p.add_argument("--no-resume", action="store_true")
+    p.add_argument("--no-resume", action="store_true", help="a run of its own, beside what the folder holds")
     p.add_argument("--dry-run", action="store_true")
     return p
 
@@ -48,6 +49,9 @@ def main(argv: list[str] | None = None) -> None:
         settings.sampling.n = given.samples
     setup_logging(getattr(logging, settings.logging.level.upper(), logging.INFO), settings.logging.file)
     spark = session()
+    if experiment:
+        for kind in ("personas", "styles"):  # before anything is read or paid for
+            prompts.needed(kind, sorted({x for r in experiment.recipes.values() for x in getattr(r, kind)}))
     source = readers.scan_prompts(spark, dataset, settings.prompts.system_prompt)
     recipe = config.recipe(given.recipe) if given.recipe else None
     if given.dry_run:
@@ -57,15 +61,15 @@ def main(argv: list[str] | None = None) -> None:
     truth = F.coalesce(readers.truthy(F.col("metadata"), "answer"), readers.truthy(F.col("metadata"), "ground_truth"))
     tests = F.coalesce(F.try_variant_get("metadata", "$.test_cases", "array<string>"), F.array().cast("array<string>"))
     truths = source.select(F.col("id").alias("prompt_id"), truth.alias("ground_truth_answer"), tests.alias("assertions"))
-    options = {"concurrency": settings.provider.max_concurrent, "batch_size": settings.scheduler.batch_size, "progress": settings.scheduler.progress_interval}
+    options = {"concurrency": settings.provider.max_concurrent, "batch_size": settings.scheduler.batch_size, "progress": settings.scheduler.progress_interval, "every": settings.scheduler.checkpoint_interval, "resume": not given.no_resume}
     folder = given.out or (experiment.output_dir if experiment else settings.storage.output_dir)
     if experiment:
         for name in experiment.recipes:
             show(runner.run_experiment(source, truths, experiment, name, provider, settings.sampling, folder, **options))
     elif recipe:
-        show(runner.run_recipe(source, truths, recipe, provider, settings.sampling, folder, verifier_type=given.verifier, **options))
+        show(runner.run_recipe(source, truths, recipe, provider, settings.sampling, folder, verifier_type=given.verifier, samples=given.samples or 1, **options))
     else:
-        show(runner.run_prompts(source, truths, provider, settings.sampling, folder, given.verifier, resume=not given.no_resume, **options))
+        show(runner.run_prompts(source, truths, provider, settings.sampling, folder, given.verifier, **options))
 
 
 def show_plan(source, recipe, experiment) -> None:

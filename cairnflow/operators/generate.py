@@ -114,7 +114,8 @@ class Provider:
         def one(task: tuple[str, str, int]) -> tuple[dict | Exception, float]:
             start = time.time()
             try:
-                got: dict | Exception = self.generate(task[0], task[1], sampling, task[2])
+                own = sampling if sampling.seed is None else replace(sampling, seed=sampling.seed + task[2])
+                got: dict | Exception = self.generate(task[0], task[1], own, task[2])
             except Exception as e:  # noqa: BLE001  one prompt's failure is a row, not the task's
                 got = e
             return got, time.time() - start
@@ -185,14 +186,21 @@ def read_response(body: dict) -> dict:
 SCHEMA = "prompt_id string, sample_index int, text string, token_count long, finish_reason string, latency_ms double, provider string, model string, temperature double, top_p double, seed long, error_class string, error string"
 
 
-def run(prompts: DataFrame, provider: Provider, sampling: Sampling, id_col: str = "id", concurrency: int = 8, batch_size: int = 16, progress: int = 0) -> DataFrame:
+#: A table of responses: what :func:`run` gives.
+RESPONSES = f"{SCHEMA}, response_id string"
+
+
+def run(prompts: DataFrame, provider: Provider, sampling: Sampling, id_col: str = "id", concurrency: int = 8, batch_size: int = 16, progress: int = 0, run_id: str = "", profile=None) -> DataFrame:
     """One row for each prompt and sample, with an error and its class where the provider raised.
 
     Columns temperature, top_p and seed of the prompts take the place of ``sampling``'s (a null
     temperature or top_p doesn't, a null seed means none); rows of one sampling go to the
     provider together, ``batch_size`` prompts at a time.  Texts are cut at the sampling's stop
-    sequences.  response_id is a hash of the prompt's id and the sample's index.  A missing
-    system_prompt counts as empty.  With ``progress`` a worker logs every so many prompts.
+    sequences.  response_id is a hash of ``run_id``, the prompt's id and the sample's index.  A
+    missing system_prompt counts as empty.  Samples of a seeded prompt are no copies of each
+    other: sample k is asked for with seed + k, while the column seed states the prompt's own.
+    With ``progress`` a worker logs every so many prompts.  ``profile`` is a ResourceProfile for
+    the stage, such as a GPU for each task (:func:`.local_models.gpu_profile`).
     """
     given, there = asdict(sampling), set(prompts.columns)
     system = F.coalesce(F.col("system_prompt"), F.lit("")) if "system_prompt" in there else F.lit("")
@@ -232,8 +240,9 @@ def run(prompts: DataFrame, provider: Provider, sampling: Sampling, id_col: str
         finally:
             provider.close()
 
-    made = rows.mapInPandas(work, SCHEMA).withColumn("text", stop_truncate(F.col("text"), sampling.stop_sequences))
-    return made.withColumn("response_id", F.substring(F.sha2(F.concat_ws("#", "prompt_id", "sample_index"), 256), 1, 32))
+    made = rows.mapInPandas(work, SCHEMA, profile=profile).withColumn("text", stop_truncate(F.col("text"), sampling.stop_sequences))
+    of = [F.lit(run_id)] if run_id else []
+    return made.withColumn("response_id", F.substring(F.sha2(F.concat_ws("#", *of, "prompt_id", "sample_index"), 256), 1, 32))
 
 
 def write_once(generated: DataFrame, path: str) -> DataFrame:
@@ -254,6 +263,21 @@ def batches(rows: DataFrame, key: list[str], *order: str, size: int = 16, salts:
     return numbered.drop("__share")
 
 
+def dealt(prompts: DataFrame, id_col: str = "id", size: int = 16, rows: int | None = None) -> DataFrame:
+    """Prompts dealt to tasks so that a task's rows of one sampling lie together, in slices of ``size`` of :func:`batches`.
+
+    Without sampling columns of their own they are dealt evenly.  ``rows`` says how many there
+    are, which spares a count; a sampling that most rows have goes to many tasks.
+    """
+    n = prompts.count() if rows is None else rows
+    tasks = max(1, min(-(-n // size), 4 * prompts.sparkSession.sparkContext.defaultParallelism))
+    keys = [c for c in ("temperature", "top_p", "seed") if c in prompts.columns]
+    if not keys:
+        return prompts.repartition(tasks)
+    sliced = batches(prompts, keys, id_col, size=size, salts=max(1, min(64, n // (8 * size))))
+    return sliced.repartition(tasks, *keys, "batch").sortWithinPartitions(*keys, "batch").drop("batch")
+
+
 def generation_config(temperature: Column, top_p: float = 1.0, top_k: int = 50, max_new_tokens: int = 512) -> Column:
     """Defaults merged with a temperature; zero means greedy, which has no sampling knobs."""
     greedy = temperature == 0

@@ -44,6 +44,14 @@ def assets(kind: str, folder: Path = ASSETS) -> dict[str, str]:
     return {p.stem: p.read_text(encoding="utf-8").strip() for p in sorted((folder / kind).glob("*.md"))}
 
 
+def needed(kind: str, names: list[str], folder: Path = ASSETS) -> dict[str, str]:
+    """The texts of these names, in their order; FileNotFoundError naming those that have none."""
+    there = assets(kind, folder)
+    if missing := [n for n in names if n not in there]:
+        raise FileNotFoundError(f"no {kind} {missing}; there are {sorted(there)}")
+    return {n: there[n] for n in names}
+
+
 def dimension(spark: SparkSession, texts: dict[str, str], name: str) -> DataFrame:
     """A small table (name, name_text) of assets."""
     return spark.createDataFrame(sorted(texts.items()), f"{name} string, {name}_text string")

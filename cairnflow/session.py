@@ -54,3 +54,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop's file system of a path, the path as it takes it)."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = file_system(spark, path)
+    return fs.exists(at)
+
+
+def removed(spark: SparkSession, path: str) -> bool:
+    """Remove a folder that the library made; whether there was one."""
+    fs, at = file_system(spark, path)
+    return fs.delete(at, True)
