@@ -9,8 +9,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.json import parsed
 from ..functions.text import strip
 from ..session import checkpointed
+from . import json_lists
 
 log = logging.getLogger(__name__)
 
@@ -42,45 +44,45 @@ def read_text(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
 
 
 def scan_json(spark: SparkSession, path: str) -> DataFrame:
-    """(ordinal, raw) of a file that holds one JSON list; a missing file, another root or broken JSON raises."""
-    root = read_text(spark, path, whole=True).select(F.try_parse_json("value").alias("v"))
-    kinds = {r[0] for r in root.select(F.schema_of_variant("v")).distinct().collect()}
-    if any(k is None or not k.startswith("ARRAY") for k in kinds):
-        raise ValueError(f"{path} isn't a JSON list")
-    return root.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(F.col("pos").cast("long").alias("ordinal"), F.col("value").alias("raw"))
+    """(ordinal, raw) of a file, or a folder of files, of one JSON list each, read in byte ranges; a missing file or another root raises, and so does broken JSON, at the latest when it is read."""
+    read_text(spark, path)
+    return json_lists.scan(spark, path)
+
+
+def parsed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, raw, file, block) of all lines, stripped; raw is null where a line isn't JSON."""
+    rows = read_text(spark, path).select(strip(F.col("value")).alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return rows.select("value", parsed(F.col("value")).alias("raw"), "file", "block")
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, raw, file, block): lines that aren't blank, with their place among all lines; raw is null where a line isn't JSON.
+    """(line, raw): lines that aren't blank, with their place among all lines; raw is null where a line isn't JSON.
 
     Lines count on through the files of a folder in the order of their names.
     """
-    rows = read_text(spark, path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    numbered = in_files(rows, "line").withColumn("value", strip(F.col("value"))).where("value <> ''")
-    return numbered.select("line", F.try_parse_json("value").alias("raw"), "file", "block")
-
-
-#: Splits of a scan whose starts are broadcast (16 bytes each); those of more are joined.
-MOST_SPLITS = 1_000_000
+    return in_files(parsed_lines(spark, path), "line").where("value <> ''").select("line", "raw")
 
 
 def in_files(rows: DataFrame, name: str) -> DataFrame:
     """With the place of each row, from 0, by file, block of the file, and place in the block, for a scan with columns file and block.
 
     Splits aren't read in the order of the files, so they are put in order by a table of one
-    row for each, made by a first pass that counts.
+    row for each, made by a first pass that counts.  It is broadcast at any size, as the driver
+    holds more of each split itself.
     """
     held = rows.withColumn("__mid", F.monotonically_increasing_id())
     splits = held.groupBy("file", "block").agg(F.min("__mid").alias("__low"), F.count("*").alias("n"))
     before = F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1))
     starts = checkpointed(splits.select(F.xxhash64("file", "block").alias("__split"), (F.coalesce(before, F.lit(0)) - F.col("__low")).alias("__shift")))
-    starts = F.broadcast(starts) if starts.count() <= MOST_SPLITS else starts
-    return held.withColumn("__split", F.xxhash64("file", "block")).join(starts, "__split").select(*rows.columns, (F.col("__mid") + F.col("__shift")).alias(name))
+    return held.withColumn("__split", F.xxhash64("file", "block")).join(F.broadcast(starts), "__split").select(*rows.columns, (F.col("__mid") + F.col("__shift")).alias(name))
 
 
 def scan_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """(ordinal, raw) of JSON lines; blank and broken lines are skipped and not counted in ordinals."""
-    return in_files(lines(spark, path).where("raw is not null").select("raw", "file", "block"), "ordinal").select("ordinal", "raw")
+    """(ordinal, raw) of JSON lines; blank and broken lines are skipped and not counted in ordinals.
+
+    Only good lines are numbered, so one pass counts them by split and another gives them out.
+    """
+    return in_files(parsed_lines(spark, path).where("raw is not null").select("raw", "file", "block"), "ordinal").select("ordinal", "raw")
 
 
 def rejects(spark: SparkSession, path: str) -> DataFrame:
@@ -96,6 +98,12 @@ def truthy(raw: Column, key: str) -> Column:
     return F.when(value.isNotNull() & (value != "") & ~zero & (kind != "VOID"), value)
 
 
+def begins_with(spark: SparkSession, path: str) -> str:
+    """The first character of a file that isn't blank; empty without any.  Only as much is read as it takes."""
+    shown = read_text(spark, path).select(F.substring(strip(F.col("value")), 1, 1).alias("c")).where("c <> ''").first()
+    return shown[0] if shown else ""
+
+
 def scan_prompts(spark: SparkSession, path: str, system_prompt: str = "") -> DataFrame:
     """(id, system_prompt, user_prompt, metadata) of a JSON list or a JSON lines file.
 
@@ -103,9 +111,15 @@ def scan_prompts(spark: SparkSession, path: str, system_prompt: str = "") -> Dat
     task_id; the default id is prompt-N with the place in the list, or the line's place with
     blank lines counted.  An empty file has no prompts.  metadata holds the whole record.
     """
-    try:
-        rows = scan_json(spark, path)
-    except ValueError:
+    rows = None
+    if begins_with(spark, path) == "[":
+        try:
+            rows = json_lists.scan(spark, path, strict=False)
+        except json_lists.NotAList:
+            pass
+        if rows is not None and not rows.where("raw is null").isEmpty():
+            rows = None
+    if rows is None:
         rows = lines(spark, path).where("raw is not null").withColumnRenamed("line", "ordinal")
     raw = F.col("raw")
     name = F.coalesce(truthy(raw, "id"), truthy(raw, "task_id"), F.concat(F.lit("prompt-"), F.col("ordinal").cast("string")))

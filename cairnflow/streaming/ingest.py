@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.json import parsed
 from ..functions.text import strip
 from ..operators.records import mapper
 
@@ -13,7 +14,7 @@ def entries(spark: SparkSession, folder: str, dataset: str, late: str = "1 hour"
     """A streaming DataFrame of entries: rejects dropped, one row of an id within ``late``, which bounds the state."""
     text = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder)
     rows = text.select(strip(F.col("value")).alias("value")).where("value <> ''")
-    raw = rows.select(F.xxhash64("value").alias("ordinal"), F.try_parse_json("value").alias("raw")).where("raw is not null")
+    raw = rows.select(F.xxhash64("value").alias("ordinal"), parsed(F.col("value")).alias("raw")).where("raw is not null")
     mapped = mapper(dataset)[0](raw.select("ordinal", "raw")).withColumn("seen", F.current_timestamp())
     return mapped.where("reject is null").drop("reject").withWatermark("seen", late).dropDuplicatesWithinWatermark(["id"])
 
