@@ -41,7 +41,9 @@ FUNCTIONS = {
 
 
 def register(spark: SparkSession) -> list[str]:
-    """Create the functions in this session; gives their names."""
+    """Create the functions in this session, table functions included; gives their names."""
+    from . import tables
+
     for name, (arguments, kind, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {kind} RETURN {body}")
-    return sorted(FUNCTIONS)
+    return sorted([*FUNCTIONS, *tables.register(spark)])

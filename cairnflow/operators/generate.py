@@ -186,6 +186,24 @@ def read_response(body: dict) -> dict:
 SCHEMA = "prompt_id string, sample_index int, text string, token_count long, finish_reason string, latency_ms double, provider string, model string, temperature double, top_p double, seed long, error_class string, error string"
 
 
+def answered(provider: Provider, members: list[tuple[str, str, str]], config: Sampling, concurrency: int = 8) -> list[tuple]:
+    """Rows of SCHEMA for prompts (id, system, user) of one sampling, which go to the provider together."""
+    chunk = [(i, s, u, n) for i, s, u in members for n in range(config.n)]
+    results = provider.generate_batch([(s, u, n) for _, s, u, n in chunk], config, concurrency)
+    said, out = provider.info(), []
+    for (i, _, _, n), (r, seconds) in zip(chunk, results):
+        got = (None, 0, None) if isinstance(r, Exception) else (r["text"], r["token_count"], r["finish_reason"])
+        error = (type(r).__name__, f"{type(r).__name__}: {r}") if isinstance(r, Exception) else (None, None)
+        out.append((i, n, *got, seconds * 1000, said["provider"], said["model"], config.temperature, config.top_p, config.seed, *error))
+    return out
+
+
+def cut_at_stops(text: str, stops: list[str]) -> str:
+    """What :func:`..functions.text.stop_truncate` gives, in Python."""
+    found = [at for s in stops if s and (at := text.find(s)) >= 0]
+    return text[: min(found)].strip() if found else text
+
+
 #: A table of responses: what :func:`run` gives.
 RESPONSES = f"{SCHEMA}, response_id string"
 
@@ -210,7 +228,6 @@ def run(prompts: DataFrame, provider: Provider, sampling: Sampling, id_col: str
         F.coalesce(own("temperature", "double"), F.lit(float(sampling.temperature))).alias("temperature"),
         F.coalesce(own("top_p", "double"), F.lit(float(sampling.top_p))).alias("top_p"), own("seed", "string").alias("seed"),
     )
-    said = provider.info()
 
     def work(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -225,13 +242,7 @@ def run(prompts: DataFrame, provider: Provider, sampling: Sampling, id_col: str
                 for (t, p, seed), members in groups.items():
                     config = replace(Sampling(**given), temperature=t, top_p=p, seed=seed)
                     for k in range(0, len(members), batch_size):
-                        chunk = [(i, s, u, n) for i, s, u in members[k : k + batch_size] for n in range(config.n)]
-                        results = provider.generate_batch([(s, u, n) for _, s, u, n in chunk], config, concurrency)
-                        out = []
-                        for (i, _, _, n), (r, seconds) in zip(chunk, results):
-                            got = (None, 0, None) if isinstance(r, Exception) else (r["text"], r["token_count"], r["finish_reason"])
-                            error = (type(r).__name__, f"{type(r).__name__}: {r}") if isinstance(r, Exception) else (None, None)
-                            out.append((i, n, *got, seconds * 1000, said["provider"], said["model"], t, p, seed, *error))
+                        out = answered(provider, members[k : k + batch_size], config, concurrency)
                         frame = pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
                         yield frame.astype({"seed": "Int64"})
                         if progress and (done + len(members[k : k + batch_size])) // progress > done // progress:

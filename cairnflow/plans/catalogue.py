@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
+from ..functions import tables
 from ..functions import text as T
-from ..operators import generate, prompts, records, trajectories, verifiers
-from ..session import checkpoint_dir
-from ..sources import readers
-from . import grids
+from ..operators import aggregates, generate, prompts, records, trajectories, verifiers
+from ..session import checkpoint_dir, checkpointed, removed
+from ..sources import committed, hub, readers
+from . import grids, runner
 
 #: Response texts made of an order's keys, every extractor branch; valid in Spark's and DuckDB's SQL alike.
 RESPONSE = """CASE o_orderkey % 12
@@ -195,9 +196,20 @@ def record_metadata(spark, d):
     return records.gsm8k(table(spark, d, "benchmark").select(F.col("item_id").alias("ordinal"), raw.alias("raw"))).select("id", "ground_truth_answer", m["full_answer_steps"].alias("steps"), m["index"].alias("index"), m["dataset"].alias("dataset"))
 
 
+def folder_for(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/{name}-{uuid4().hex}"
+
+
+def kept(rows: DataFrame, folder: str) -> DataFrame:
+    """The rows, which were read from a folder that is then removed."""
+    out = checkpointed(rows)
+    removed(rows.sparkSession, folder)
+    return out
+
+
 def item_file(spark, d, name: str, whole: bool):
     """Benchmark items written as JSON lines, with blank and broken ones between, or as one JSON list; the folder."""
-    folder = f"{checkpoint_dir(spark)}/{name}-{uuid4().hex}"
+    folder = folder_for(spark, name)
     item = F.to_json(F.struct(F.col("item_id").alias("id"), F.col("text").alias("problem")))
     b = table(spark, d, "benchmark")
     if whole:  # a list is one file by nature
@@ -211,21 +223,46 @@ def item_file(spark, d, name: str, whole: bool):
 
 
 def scan_json(spark, d):
-    out = readers.scan_json(spark, item_file(spark, d, "list", True))
-    return out.select("ordinal", F.try_variant_get("raw", "$.id", "long").alias("item_id"), F.try_variant_get("raw", "$.problem", "string").alias("problem"))
+    folder = item_file(spark, d, "list", True)
+    return kept(readers.scan_json(spark, folder).select("ordinal", F.try_variant_get("raw", "$.id", "long").alias("item_id"), F.try_variant_get("raw", "$.problem", "string").alias("problem")), folder)
 
 
 def scan_jsonl(spark, d):
-    out = readers.scan_jsonl(spark, item_file(spark, d, "lines", False))
-    return out.select("ordinal", F.try_variant_get("raw", "$.id", "long").alias("item_id"), F.try_variant_get("raw", "$.problem", "string").alias("problem"))
+    folder = item_file(spark, d, "lines", False)
+    return kept(readers.scan_jsonl(spark, folder).select("ordinal", F.try_variant_get("raw", "$.id", "long").alias("item_id"), F.try_variant_get("raw", "$.problem", "string").alias("problem")), folder)
 
 
 def scan_prompts(spark, d):
-    return readers.scan_prompts(spark, item_file(spark, d, "prompts", False), "Be brief.").select("id", "system_prompt", "user_prompt")
+    folder = item_file(spark, d, "prompts", False)
+    return kept(readers.scan_prompts(spark, folder, "Be brief.").select("id", "system_prompt", "user_prompt"), folder)
+
+
+def scan_prompt_list(spark, d):
+    """The same items as one list: default ids have the place in it."""
+    folder = item_file(spark, d, "prompt-list", True)
+    return kept(readers.scan_prompts(spark, folder).select("id", "user_prompt"), folder)
 
 
 def scan_rejects(spark, d):
-    return readers.rejects(spark, item_file(spark, d, "rejects", False))
+    folder = item_file(spark, d, "rejects", False)
+    return kept(readers.rejects(spark, folder), folder)
+
+
+def scan_hub(spark, d):
+    """Documents as a dataset in many files, read by row groups."""
+    folder = folder_for(spark, "hub")
+    table(spark, d, "documents").orderBy("doc_id").select("doc_id", "lang", F.length("text").alias("size")).write.option("maxRecordsPerFile", 150).parquet(f"{folder}/train")
+    out = hub.scan_hub(spark, folder)
+    return kept(out.select("ordinal", F.try_variant_get("raw", "$.doc_id", "long").alias("doc_id"), F.try_variant_get("raw", "$.lang", "string").alias("lang"), F.try_variant_get("raw", "$.size", "long").alias("size")), folder)
+
+
+def sink_committed(spark, d):
+    """Responses in three commits, one of which is played again."""
+    folder = folder_for(spark, "committed")
+    rows = responses(spark, d)
+    for part in (0, 1, 1, 2):
+        committed.append(rows.where(F.col("o_orderkey") % 3 == part), folder, f"part-{part}")
+    return kept(committed.read(spark, folder), folder)
 
 
 # -- prompts and grids --------------------------------------------------------------------
@@ -329,6 +366,36 @@ def job_outcome_join(spark, d):
     return j.join(outcomes, "job_id", "left").groupBy("persona").agg(F.count("*").alias("n_jobs"), F.count("n_tokens").alias("n_done"), F.sum("n_tokens").alias("n_tokens"))
 
 
+def batch_dispatch(spark, d):
+    """The shipped way, with shares: every job is in one slice of its sampling, and no slice is over its size."""
+    keys = ["temperature", "top_p", "seed"]
+    sliced = generate.batches(jobs(spark, d), keys, "prompt_id", "combo", size=16).groupBy(*keys, "batch").agg(F.count("*").alias("n"))
+    return sliced.groupBy("temperature", "top_p", seed_text()).agg(F.sum("n").alias("n_jobs"), (F.max("n") <= 16).alias("within_size"))
+
+
+def asked(spark, d):
+    return questions(spark, d).withColumn("system_prompt", F.lit("Be brief."))
+
+
+def run_resumed(spark, d):
+    """Responses of a run that had half of its prompts when it stopped."""
+    folder, config = folder_for(spark, "resumed"), generate.Sampling(n=2, seed=5)
+    half = asked(spark, d).where(F.col("id").cast("long") % 2 == 0)
+    runner.generate_pending(half, generate.MockProvider(), config, runner.Run.opened(spark, folder), every=3)
+    out = runner.generate_pending(asked(spark, d), generate.MockProvider(), config, runner.Run.opened(spark, folder), every=3)
+    return kept(out.select("prompt_id", "sample_index", "text"), folder)
+
+
+def run_fresh(spark, d):
+    """Spectra of a second run without resume, in the folder of a first."""
+    folder, config = folder_for(spark, "fresh"), generate.Sampling(n=3)
+    truths = questions(spark, d).select(F.col("id").alias("prompt_id"), F.lit("7").alias("ground_truth_answer"))
+    for resume in (True, False):
+        out = runner.run_prompts(asked(spark, d), truths, generate.MockProvider(), config, folder, resume=resume)
+    total = F.aggregate("responses", F.lit(0).cast("long"), lambda s, r: s + r["token_count"])
+    return kept(out["spectra"].select("prompt_id", "n_responses", F.col("metadata.total_candidates").alias("total"), total.alias("tokens")), folder)
+
+
 def run_report(spark, d):
     status = F.when(F.col("combo") % 5 == 0, "failed").when(F.col("combo") % 7 == 0, "skipped").otherwise("completed")
     done = F.col("status") == "completed"
@@ -341,6 +408,21 @@ def generate_mock(spark, d):
     return generate.run(questions(spark, d), generate.MockProvider(), config).select("prompt_id", "sample_index", "text", "token_count", "finish_reason", "error")
 
 
+def generate_sql(spark, d):
+    """The same by a table function in SQL."""
+    tables.register(spark)
+    # a view of the query's own name, as queries may run side by side
+    questions(spark, d).createOrReplaceTempView("cairn_generate_sql")
+    return spark.sql("SELECT prompt_id, sample_index, text, token_count, finish_reason, error FROM cairn_generate(TABLE(cairn_generate_sql), provider => 'mock', n => 2, seed => 11)")
+
+
+def answer_parts(spark, d):
+    """The provider's thinking and answer by a table function in SQL."""
+    tables.register(spark)
+    responses(spark, d).createOrReplaceTempView("cairn_answer_parts")
+    return spark.sql("SELECT r.o_orderkey, p.thinking, p.answer FROM cairn_answer_parts r, LATERAL cairn_parts(r.text) p")
+
+
 # -- aggregates ---------------------------------------------------------------------------
 
 
@@ -364,6 +446,21 @@ def diversity_score(spark, d):
     return out.select("conv_id", F.round("diversity_score", 9).alias("diversity_score"), F.round("avg_semantic", 9).alias("avg_semantic"))
 
 
+def semantic_diversity(spark, d):
+    out = trajectories.semantic_similarity(table(spark, d, "embeddings"), "label")
+    return out.select("label", "n_vectors", F.round("avg_cosine", 9).alias("avg_cosine"))
+
+
+def cosine_plugin(spark, d):
+    out = aggregates.aggregated(table(spark, d, "embeddings"), "label", "mean_cosine")
+    return out.select("label", "n_vectors", F.round("avg_cosine", 9).alias("avg_cosine"))
+
+
+def diversity_plugin(spark, d):
+    out = aggregates.lexical(turns(spark, d), "conv_id")
+    return out.select("conv_id", "total_responses", "unique_texts", "unique_answers", "duplicates", F.round("avg_chars", 6).alias("avg_chars"), "min_chars", "max_chars", F.round("avg_tokens", 6).alias("avg_tokens"), "min_tokens", "max_tokens")
+
+
 def correctness_stats(spark, d):
     return trajectories.correctness(judged(spark, d), "persona").withColumn("ratio", F.round("ratio", 9))
 
@@ -430,6 +527,7 @@ QUERIES = (
     chat_messages, api_payload, endpoint_url, grid_jobs, experiment_prompts, sampling_groups, batch_assign, resume_union, resume_anti, job_outcome_join, run_report, generate_mock,
     pairwise_jaccard, diversity_stats, diversity_score, correctness_stats, leaderboard, recipe_summary, spectrum_nested, boundary_groups, group_advantage, reward_total, distill_select,
     best_of_n, join_smoke, event_windows, with_ordinal, load_falsy, record_metadata, scan_json, scan_jsonl, scan_prompts, scan_rejects, grid_defaults, sampling_applied, verify_typed,
+    scan_prompt_list, scan_hub, sink_committed, batch_dispatch, run_resumed, run_fresh, generate_sql, answer_parts, semantic_diversity, cosine_plugin, diversity_plugin,
 )
 
 
