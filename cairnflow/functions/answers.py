@@ -154,20 +154,13 @@ def math_verdict(x: Column, truth: Column, symbolic: bool = False) -> dict[str,
 
 
 def same_expression(a: Column, b: Column) -> Column:
-    """Whether SymPy makes the difference of two expressions zero; false where it can't read them or isn't installed."""
+    """Whether SymPy makes the difference of two expressions zero; false where they can't be read (:mod:`.expressions`) or it isn't installed.
+
+    Nothing of the texts is evaluated as a program.
+    """
     @F.pandas_udf("boolean")
     def same(x: pd.Series, y: pd.Series) -> pd.Series:
-        try:
-            from sympy import simplify
-            from sympy.parsing.sympy_parser import parse_expr
-        except ImportError:
-            return pd.Series([False] * len(x))
-
-        def equal(p: str, q: str) -> bool:
-            try:
-                return bool(simplify(parse_expr(p) - parse_expr(q)) == 0)
-            except Exception:  # noqa: BLE001  what can't be read is not the same
-                return False
+        from .expressions import equal
 
         return pd.Series([equal(p, q) for p, q in zip(x, y)])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from .generate import Provider, ProviderError, Sampling
 
@@ -17,8 +18,36 @@ def shared(results: list[dict], start: float) -> list[tuple[dict | Exception, fl
     return [(r, each) for r in results]
 
 
+def gpu_profile(per_task: float = 1.0, per_executor: int | None = None, cores: int | None = None):
+    """A ResourceProfile for a generation stage: ``per_task`` GPUs (a fraction is shared by as many tasks), and executors with that many or ``per_executor``.
+
+        generate.run(prompts, VLLMProvider(model), sampling, profile=gpu_profile())
+
+    It takes a cluster with dynamic allocation and spark.executor.resource.gpu.discoveryScript.
+    """
+    from pyspark.resource import ExecutorResourceRequests, ResourceProfileBuilder, TaskResourceRequests
+
+    asks = ExecutorResourceRequests().resource("gpu", per_executor or max(1, round(per_task)))
+    if cores:
+        asks.cores(cores)
+    return ResourceProfileBuilder().require(TaskResourceRequests().cpus(1).resource("gpu", per_task)).require(asks).build
+
+
+#: This worker's engines by kind, model and options: a model is loaded once and serves all of the worker's tasks.
+_engines: dict[str, object] = {}
+
+
+def engine_of(kind: str, model: str, options: dict, load: Callable[[], object]):
+    """The worker's engine; the last one makes way for another, as a GPU holds one."""
+    key = f"{kind} {model} {sorted(options.items())!r}"
+    if key not in _engines:
+        _engines.clear()
+        _engines[key] = load()
+    return _engines[key]
+
+
 class VLLMProvider(Provider):
-    """A model in vLLM, loaded once by each partition; give such executors GPUs by a resource profile."""
+    """A model in vLLM, loaded once by each worker; give such stages GPUs by :func:`gpu_profile`."""
 
     name = "vllm"
 
@@ -30,7 +59,7 @@ class VLLMProvider(Provider):
             from vllm import LLM
         except ImportError as e:
             raise ProviderError("vllm isn't installed") from e
-        self.engine = LLM(model=self.model, **self.options)
+        self.engine = engine_of(self.name, self.model, self.options, lambda: LLM(model=self.model, **self.options))
 
     def close(self) -> None:
         self.engine = None
@@ -62,7 +91,7 @@ class TransformersProvider(Provider):
             from transformers import AutoModelForCausalLM, AutoTokenizer
         except ImportError as e:
             raise ProviderError("transformers isn't installed") from e
-        self.tool, self.net = AutoTokenizer.from_pretrained(self.model), AutoModelForCausalLM.from_pretrained(self.model)
+        self.tool, self.net = engine_of(self.name, self.model, {}, lambda: (AutoTokenizer.from_pretrained(self.model), AutoModelForCausalLM.from_pretrained(self.model)))
 
     def generate_batch(self, tasks: list[tuple[str, str, int]], sampling: Sampling, concurrency: int) -> list[tuple[dict | Exception, float]]:
         """One call of the model for the batch, its prompts padded on the left; a failure is every task's."""
