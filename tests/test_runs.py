@@ -181,3 +181,34 @@ def test_settings_nothing_uses_are_warned_of(tmp_path, caplog):
         got = config.engine(tmp_path / "e.json")
     assert "format" in caplog.text and "dtype" not in caplog.text and got.storage.output_dir == "o"
     assert got.provider.local_model() == ("m", {"dtype": "auto"})
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_first_rows_of_a_shuffled_stream(spark, tmp_path, files):
+    """A stream of shuffled files: each id's first row in the end, whatever came before it, as in one batch."""
+    import random
+
+    from cairnflow.operators import records
+    from cairnflow.streaming import first_wins
+
+    rng = random.Random(files)
+    rows = [{"id": rng.choice(["hot", *(f"i{k}" for k in range(30))]), "ordinal": k, "prompt": f"p{k}"} for k in range(400)]
+    shuffled = rng.sample(rows, len(rows))
+    (tmp_path / "in").mkdir()
+    for n in range(files):
+        (tmp_path / "in" / f"{n}.json").write_text("\n".join(json.dumps(r) for r in shuffled[n::files]))
+    kind = "id string, ordinal long, prompt string"
+    before = {k: spark.conf.get(k, None) for k in first_wins.STORE}
+    for k, v in first_wins.STORE.items():
+        spark.conf.set(k, v)
+    try:
+        for _ in range(2):  # the second goes on and finds nothing new
+            stream = first_wins.first_wins(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in")))
+            stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    got = sorted(tuple(r) for r in first_wins.current(spark, str(tmp_path / "out")).select("id", "ordinal", "prompt").collect())
+    assert got == sorted(tuple(r) for r in records.dedup_first(spark.createDataFrame(rows, kind)).collect())
+    given = spark.read.parquet(str(tmp_path / "out")).count()
+    assert given == len(got) if files == 1 else len(got) < given < len(rows)
