@@ -362,7 +362,8 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     A null text counts as empty: no ids.  Ids may be null or repeated; each row stands for
     itself.  Other columns, whatever their names, are not read.  An empty table gives an
-    empty result.  ``tokenizer_path`` must be readable on every executor.
+    empty result.  A very long text is encoded whole, in chunks, in time in proportion to its
+    length; rows alike give the same ids.  ``tokenizer_path`` must be readable on every executor.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,7 +401,7 @@ def digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
     """``encode`` and ``decode`` in one pass, reduced to digests for each row.
 
     n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256 (of the
-    decoded text in UTF-8); nulls and repeats as in :func:`encode`.
+    decoded text in UTF-8); nulls, repeats, very long texts and empty tables as in :func:`encode`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

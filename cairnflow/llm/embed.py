@@ -368,7 +368,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     null or a value that isn't finite links with nothing, and so does a row without an id
     (component_id null, kept false).  Vectors of different lengths don't link.  Copies link
     with each other; rows that share an id but not the vector are nodes of their own.  Other
-    columns aren't read; an empty table gives an empty result.  ``hashes`` follows from the count of distinct vectors.
+    columns aren't read; an empty table gives an empty result.  Vectors of any length are
+    compared whole; beyond DENSE components their turns take n log n steps.  ``hashes`` follows from the count of distinct vectors.
     The recall of hashing is measured in the tests; what it finds is exact.
     """
     spark = vectors.sparkSession

@@ -150,7 +150,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     Ids are those of the tokenizers library with ``add_special_tokens=False``, then
     ``closing_id``.  A null or empty text is the closing id alone.  Ids of documents may be
     null or repeated: each row is a document of its own.  Other columns aren't read; an
-    empty table gives an empty result.  ``sequence_id`` is unique, not gapless: its high
+    empty table gives an empty result.  A very long text makes as many whole pieces as it takes;
+    pieces of equal length are taken in the order of their rows.  ``sequence_id`` is unique, not gapless: its high
     bits are the input partition.
     """
 

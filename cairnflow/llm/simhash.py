@@ -244,7 +244,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component_id is the smallest id reachable over links, the row's own included.  A null or
     empty text, or one of white space, has fingerprint zero, which links like any other; a
-    text of fewer than ``words`` words is one shingle.  Repeated rows share a component; a
+    text of fewer than ``words`` words is one shingle.  A bit that exactly half of the hashes have
+    is 0.  Repeated rows share a component; a
     row with a null id links like others but never names a component, unless no other is
     there (then null).  Other columns aren't read; an empty table gives an empty result.  A very
     long text is hashed whole, in time in proportion to its length.

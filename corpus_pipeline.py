@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnflow.llm import common, langid, packing, queries, secrets, simhash, suffix
+from cairnflow.session import removed
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,13 +59,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; the last one's rows."""
+    """All stages over the documents of ``sf_dir``; the last one's rows.
+
+    A stage's table is removed once the next one's is written, so one copy of the corpus stays,
+    that which the result is read from.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{common.checkpoint_dir(spark)}/pipeline-{uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             out.write.parquet(f"{folder}/{k}-{name}")
+            if k:
+                removed(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
             out = spark.read.parquet(f"{folder}/{k}-{name}")
         docs = out
     return docs

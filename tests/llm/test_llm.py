@@ -501,6 +501,18 @@ def test_language_of_texts_of_any_length(spark):
     assert [r["doc_id"] for r in langid.accepted(bare, {}).collect()] == [1]
 
 
+def test_langid_short_texts_stay(spark):
+    """The first words of ordinary texts: few letters are no reason to go, and most are told right."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and text is not null")
+    model = langid.Classifier(langid.fit(docs))
+    rows = [(langid.letters(r["text"]).split(), r["lang"]) for r in docs.select("text", "lang").collect()]
+    for n, least in ((1, 0.8), (2, 0.9), (3, 0.95), (5, 0.98), (8, 0.98)):
+        told = [(*model.predict(" ".join(w[:n]), 0.03), lang) for w, lang in rows if len(w) >= n]
+        assert sum(t[3] for t in told) <= 0.005 * len(told)
+        assert sum(t[0] == t[4] for t in told) >= least * len(told)
+    assert model.predict("12 !", 0.03)[3] and not model.predict("ok", 0.03)[3]
+
+
 # -- 6: WARC ------------------------------------------------------------------------------
 
 
