@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fixed, word_set
+from ..session import checkpointed
 
 
 def completed_ids(*sources: DataFrame) -> DataFrame:
@@ -34,15 +35,17 @@ def pairwise_jaccard(rows: DataFrame, group: str, order: str, text: str = "text"
     a time, and only sums leave it.
     """
     sets = rows.select(F.col(group).alias("g"), F.array_sort(word_set(F.coalesce(F.col(text), F.lit("")))).alias("w"))
-    sizes = sets.groupBy("g").agg(F.count("*").alias("n_texts"))
-    kinds = sets.where(F.size("w") > 0).groupBy("g", "w").agg(F.count("*").alias("c"))
-    large = kinds.groupBy("g").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("parts")).where("parts > 1")
+    # written once, as sizes, parts and both sides of the join come of it; empty sets have no pairs, but count
+    every = checkpointed(sets.groupBy("g", "w").agg(F.count("*").alias("c")))
+    sizes = every.groupBy("g").agg(F.sum("c").alias("n_texts"), F.ceil(F.count_if(F.size("w") > 0) / SHARE).cast("int").alias("parts"))
+    kinds = every.where(F.size("w") > 0)
+    large = sizes.where("parts > 1").select("g", "parts")
     dealt = kinds.join(large, "g", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("w"), F.col("parts")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    a = dealt.select("g", "w", "c", F.col("mine").alias("i"), every.alias("j"))
-    b = dealt.select("g", F.col("w").alias("v"), F.col("c").alias("d"), every.alias("i"), F.col("mine").alias("j"))
+    # a pair of parts meets once, the lower one on the left
+    a = dealt.select("g", "w", "c", F.col("mine").alias("i"), F.explode(F.sequence(F.col("mine"), F.col("parts") - 1)).alias("j"))
+    b = dealt.select("g", F.col("w").alias("v"), F.col("c").alias("d"), F.explode(F.sequence(F.lit(0), F.col("mine"))).alias("i"), F.col("mine").alias("j"))
     both = F.size(F.array_intersect("w", "v"))
-    shared = a.join(b, ["g", "i", "j"]).where("w < v").select("g", (F.col("c") * F.col("d") * both / (F.size("w") + F.size("v") - both)).alias("s"))
+    shared = a.join(b, ["g", "i", "j"]).where("i < j or w < v").select("g", (F.col("c") * F.col("d") * both / (F.size("w") + F.size("v") - both)).alias("s"))
     same = kinds.where("c > 1").select("g", (F.col("c") * (F.col("c") - 1) / 2).alias("s"))
     total = shared.union(same).groupBy("g").agg(F.sum("s").alias("s"))
     n = F.col("n_texts")

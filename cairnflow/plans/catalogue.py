@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from uuid import uuid4
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +65,11 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(label, "doc_id", "left").select("doc_id", F.col("source").alias("persona"), (F.col("quality") == 1).alias("is_correct"), F.col("n_chars").alias("token_count"), "text")
 
 
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as prompts: their urls."""
+    return table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), F.lit("Be brief.").alias("system_prompt"), F.col("url").alias("user_prompt"))
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("user_prompt"))
 
@@ -238,8 +244,21 @@ def scan_prompts(spark, d):
 
 
 def scan_prompt_list(spark, d):
-    """The same items as one list: default ids have the place in it."""
-    folder = item_file(spark, d, "prompt-list", True)
+    """Pages in files of one JSON list each: an id that is 0 gives way to the place among all."""
+    folder = folder_for(spark, "prompt-list")
+
+    def as_list(batches):
+        yield pa.RecordBatch.from_pydict({"value": ["["]})
+        comma = ""
+        for b in batches:
+            rows = b.column(0).to_pylist()
+            if rows:
+                yield pa.RecordBatch.from_pydict({"value": [comma + ",".join(rows)]})
+                comma = ","
+        yield pa.RecordBatch.from_pydict({"value": ["]"]})
+
+    item = F.to_json(F.struct(F.col("page_id").alias("id"), F.col("url").alias("problem")))
+    table(spark, d, "pages").repartitionByRange("page_id").sortWithinPartitions("page_id").select(item.alias("value")).mapInArrow(as_list, "value string").write.text(folder)
     return kept(readers.scan_prompts(spark, folder).select("id", "user_prompt"), folder)
 
 
@@ -257,11 +276,11 @@ def scan_hub(spark, d):
 
 
 def sink_committed(spark, d):
-    """Responses in three commits, one of which is played again."""
+    """Documents in three commits, one of which is played again."""
     folder = folder_for(spark, "committed")
-    rows = responses(spark, d)
+    rows = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
     for part in (0, 1, 1, 2):
-        committed.append(rows.where(F.col("o_orderkey") % 3 == part), folder, f"part-{part}")
+        committed.append(rows.where(F.pmod("doc_id", F.lit(3)) == part), folder, f"part-{part}")
     return kept(committed.read(spark, folder), folder)
 
 
@@ -369,29 +388,26 @@ def job_outcome_join(spark, d):
 def batch_dispatch(spark, d):
     """The shipped way, with shares: every job is in one slice of its sampling, and no slice is over its size."""
     keys = ["temperature", "top_p", "seed"]
-    sliced = generate.batches(jobs(spark, d), keys, "prompt_id", "combo", size=16).groupBy(*keys, "batch").agg(F.count("*").alias("n"))
+    sliced = generate.batches(grids.jobs(asked(spark, d), RECIPE), keys, "prompt_id", "combo", size=16).groupBy(*keys, "batch").agg(F.count("*").alias("n"))
     return sliced.groupBy("temperature", "top_p", seed_text()).agg(F.sum("n").alias("n_jobs"), (F.max("n") <= 16).alias("within_size"))
 
 
-def asked(spark, d):
-    return questions(spark, d).withColumn("system_prompt", F.lit("Be brief."))
-
-
 def run_resumed(spark, d):
     """Responses of a run that had half of its prompts when it stopped."""
     folder, config = folder_for(spark, "resumed"), generate.Sampling(n=2, seed=5)
     half = asked(spark, d).where(F.col("id").cast("long") % 2 == 0)
-    runner.generate_pending(half, generate.MockProvider(), config, runner.Run.opened(spark, folder), every=3)
-    out = runner.generate_pending(asked(spark, d), generate.MockProvider(), config, runner.Run.opened(spark, folder), every=3)
+    runner.generate_pending(half, generate.MockProvider(), config, runner.Run.opened(spark, folder), every=2000)
+    out = runner.generate_pending(asked(spark, d), generate.MockProvider(), config, runner.Run.opened(spark, folder), every=2000)
     return kept(out.select("prompt_id", "sample_index", "text"), folder)
 
 
 def run_fresh(spark, d):
     """Spectra of a second run without resume, in the folder of a first."""
     folder, config = folder_for(spark, "fresh"), generate.Sampling(n=3)
-    truths = questions(spark, d).select(F.col("id").alias("prompt_id"), F.lit("7").alias("ground_truth_answer"))
+    source = asked(spark, d)
+    truths = source.select(F.col("id").alias("prompt_id"), F.lit("7").alias("ground_truth_answer"))
     for resume in (True, False):
-        out = runner.run_prompts(asked(spark, d), truths, generate.MockProvider(), config, folder, resume=resume)
+        out = runner.run_prompts(source, truths, generate.MockProvider(), config, folder, resume=resume, every=2000)
     total = F.aggregate("responses", F.lit(0).cast("long"), lambda s, r: s + r["token_count"])
     return kept(out["spectra"].select("prompt_id", "n_responses", F.col("metadata.total_candidates").alias("total"), total.alias("tokens")), folder)
 
@@ -409,18 +425,20 @@ def generate_mock(spark, d):
 
 
 def generate_sql(spark, d):
-    """The same by a table function in SQL."""
+    """Generation by a table function in SQL, over pages."""
     tables.register(spark)
     # a view of the query's own name, as queries may run side by side
-    questions(spark, d).createOrReplaceTempView("cairn_generate_sql")
+    asked(spark, d).drop("system_prompt").createOrReplaceTempView("cairn_generate_sql")
     return spark.sql("SELECT prompt_id, sample_index, text, token_count, finish_reason, error FROM cairn_generate(TABLE(cairn_generate_sql), provider => 'mock', n => 2, seed => 11)")
 
 
 def answer_parts(spark, d):
-    """The provider's thinking and answer by a table function in SQL."""
+    """The provider's thinking and answer by a table function in SQL, of texts made of urls."""
     tables.register(spark)
-    responses(spark, d).createOrReplaceTempView("cairn_answer_parts")
-    return spark.sql("SELECT r.o_orderkey, p.thinking, p.answer FROM cairn_answer_parts r, LATERAL cairn_parts(r.text) p")
+    kind, url = F.col("page_id") % 4, F.coalesce("url", F.lit(""))
+    made = F.when(kind == 0, F.concat(F.lit("<think> "), url, F.lit("</think> <answer>\n"), url, F.lit(" </answer>"))).when(kind == 1, F.concat(F.lit("so \\boxed{"), url, F.lit("}."))).when(kind == 2, F.concat(F.lit("<think>cut <answer>"), url)).otherwise(url)
+    table(spark, d, "pages").select("page_id", made.alias("text")).createOrReplaceTempView("cairn_answer_parts")
+    return spark.sql("SELECT r.page_id, p.thinking, p.answer FROM cairn_answer_parts r, LATERAL cairn_parts(r.text) p")
 
 
 # -- aggregates ---------------------------------------------------------------------------

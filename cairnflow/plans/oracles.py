@@ -220,12 +220,13 @@ SQL = {
 SQL["verify_typed"] = SQL["verify_typed"].replace("__VERIFY__", SQL["verify_math"])
 
 
-def mocked(system: str, seed: str, samples: int) -> str:
+def mocked(system: str, seed: str, samples: int, asked: str = "(SELECT page_id AS id, coalesce(url, '') AS text FROM pages)") -> str:
     """What the mock provider answers: a number made of the prompt, its sampling and the sample."""
     number = f"CAST('0x' || substr(sha256('{system}|' || text || '|1.0|1.0|' || {seed} || '|' || k), 1, 8) AS BIGINT) % 1000"
-    return f"SELECT CAST(item_id AS STRING) AS prompt_id, CAST(k AS INT) AS sample_index, '<think>mock ' || k || '</think>' || chr(10) || '<answer>' || ({number}) || '</answer>' AS text FROM benchmark CROSS JOIN range({samples}) r(k)"
+    return f"SELECT CAST(id AS STRING) AS prompt_id, CAST(k AS INT) AS sample_index, '<think>mock ' || k || '</think>' || chr(10) || '<answer>' || ({number}) || '</answer>' AS text FROM {asked} CROSS JOIN range({samples}) r(k)"
 
 
+MOCKED = "SELECT *, CAST(3 AS BIGINT) AS token_count, 'stop' AS finish_reason, CAST(NULL AS STRING) AS error FROM ({})"
 COSINE = """WITH whole AS (
     SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS v, embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok FROM embeddings
 ), pairs AS (
@@ -234,19 +235,19 @@ COSINE = """WITH whole AS (
 SELECT z.label, n AS n_vectors, round(CASE WHEN n > 1 THEN s / (n * (n - 1) / 2) ELSE 0.0 END, 9) AS avg_cosine FROM sizes z LEFT JOIN pairs p ON z.label IS NOT DISTINCT FROM p.label"""
 
 SQL |= {
-    "generate_mock": f"SELECT *, CAST(3 AS BIGINT) AS token_count, 'stop' AS finish_reason, CAST(NULL AS STRING) AS error FROM ({mocked('', 'CAST(11 + k AS STRING)', 2)})",
+    "generate_mock": MOCKED.format(mocked("", "CAST(11 + k AS STRING)", 2, Q.replace("user_prompt", "text"))),
+    "generate_sql": MOCKED.format(mocked("", "CAST(11 + k AS STRING)", 2)),
     "run_resumed": mocked("Be brief.", "CAST(5 + k AS STRING)", 2),
-    "run_fresh": "SELECT CAST(item_id AS STRING) AS prompt_id, CAST(3 AS BIGINT) AS n_responses, CAST(3 AS BIGINT) AS total, CAST(9 AS BIGINT) AS tokens FROM benchmark",
-    "batch_dispatch": f"SELECT temperature, top_p, coalesce(CAST(seed AS STRING), 'None') AS seed, count(*) AS n_jobs, true AS within_size FROM {JOBS} GROUP BY 1, 2, 3",
-    "scan_prompt_list": "SELECT CASE WHEN item_id = 0 THEN 'prompt-' || CAST(row_number() OVER (ORDER BY item_id) - 1 AS STRING) ELSE CAST(item_id AS STRING) END AS id, text AS user_prompt FROM benchmark UNION ALL SELECT '-1', ''",
+    "run_fresh": "SELECT CAST(page_id AS STRING) AS prompt_id, CAST(3 AS BIGINT) AS n_responses, CAST(3 AS BIGINT) AS total, CAST(9 AS BIGINT) AS tokens FROM pages",
+    "batch_dispatch": "SELECT t AS temperature, 0.95::DOUBLE AS top_p, s AS seed, 8 * (SELECT count(*) FROM pages) AS n_jobs, true AS within_size FROM (VALUES (0.5::DOUBLE), (1.0::DOUBLE)) a(t) CROSS JOIN (VALUES ('None'), ('7')) b(s)",
+    "scan_prompt_list": "SELECT CASE WHEN page_id = 0 THEN 'prompt-' || (row_number() OVER (ORDER BY page_id) - 1) ELSE CAST(page_id AS STRING) END AS id, coalesce(url, '') AS user_prompt FROM pages",
     "scan_hub": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ordinal, doc_id, lang, length(text) AS size FROM documents",
-    "sink_committed": f"SELECT o_orderkey, o_custkey, text FROM {R}",
+    "sink_committed": "SELECT doc_id, lang, source, n_chars FROM documents",
     "semantic_diversity": COSINE,
     "cosine_plugin": COSINE,
-    "answer_parts": SQL["provider_answer"],
+    "answer_parts": """SELECT page_id, CASE WHEN page_id % 4 = 0 THEN trim(u) ELSE '' END AS thinking, CASE page_id % 4 WHEN 2 THEN '<think>cut <answer>' || u ELSE trim(u) END AS answer FROM (SELECT page_id, coalesce(url, '') AS u FROM pages)""",
     "diversity_plugin": SQL["diversity_stats"],
 }
-SQL["generate_sql"] = SQL["generate_mock"]
 
 
 def oracle_sql() -> dict[str, str]:

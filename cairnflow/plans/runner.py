@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import answers
 from ..operators import generate, prompts, trajectories, verifiers
 from ..operators.metrics import RunMetrics
+from ..session import checkpointed
 from ..sources import readers
 from ..streaming import commits
 from . import grids
@@ -142,6 +143,7 @@ def spectra(judged: DataFrame, source: DataFrame, recipe: str, sampling: generat
 def written(judged: DataFrame, source: DataFrame, name: str, sampling: generate.Sampling, run: Run, experiment: str | None = None) -> dict[str, DataFrame]:
     """Spectra and summary of all that a run holds, written to its folder; the summary, the folder's latest, has the leaderboard in it."""
     spark = source.sparkSession
+    judged = checkpointed(judged)  # parsed and verified once, for all that is told of it
     nested, diversity = spectra(judged, source, name, sampling)
     own = f"{run.path('spectra')}/run={run.run_id}"
     nested.write.mode("overwrite").json(own)
