@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fixed, word_set
 from ..session import checkpointed
+from .aggregates import MeanCosine, aggregated
 
 
 def completed_ids(*sources: DataFrame) -> DataFrame:
@@ -57,22 +58,11 @@ def semantic_similarity(rows: DataFrame, group: str, vector: str = "embedding")
     """(group, n_vectors, avg_cosine): the mean cosine over pairs of a group's vectors; 0 below two.
 
     The sum of u * v over all pairs of unit vectors is (|sum of u|^2 - n) / 2, so one pass of
-    sums does, which are added up in each task first; a hot group is no more than a vector from
-    each.  A vector that is null, zero, or holds a null or a value that isn't finite has no
+    sums does, which are added up in each task first (:class:`.aggregates.MeanCosine`); a hot
+    group is no more than a vector from each.  A vector that is null, zero, or holds a null or a value that isn't finite has no
     direction, and vectors of different lengths have no angle: such pairs count as 0.
     """
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    finite = F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
-    size = F.array_max(F.transform(v, F.abs))
-    rows = rows.select(F.col(group).alias("g"), F.when(F.coalesce(finite & (size > 0), F.lit(False)), F.transform(v, lambda x: x / size)).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    counts = rows.groupBy("g").agg(F.count("*").alias("n_vectors"), F.count("v").alias("units"))
-    table = rows.where("v is not null").select("g", F.size("v").alias("d"), F.posexplode(F.transform("v", lambda x: x / norm)).alias("pos", "x"))
-    sums = table.groupBy("g", "d", "pos").agg(F.sum("x").alias("s")).groupBy("g").agg(F.sum(F.col("s") * F.col("s")).alias("squared"))
-    n = F.col("n_vectors")
-    mean = F.when(n > 1, (F.coalesce("squared", F.lit(0.0)) - F.col("units")) / (n * (n - 1))).otherwise(F.lit(0.0))
-    joined = counts.join(sums.withColumnRenamed("g", "h"), F.col("g").eqNullSafe(F.col("h")), "left")
-    return joined.select(F.col("g").alias(group), "n_vectors", mean.alias("avg_cosine"))
+    return aggregated(rows, group, MeanCosine(vector))
 
 
 def diversity(rows: DataFrame, group: str, order: str, text: str = "text", answer: str = "extracted_answer", tokens: str = "token_count", vector: str | None = None) -> DataFrame:
