@@ -6,8 +6,7 @@ lower case, is cut into windows of one size, the last one filled up from the tex
 each window is compressed with every dictionary, and the language with the smallest sum is
 chosen.  A window's margin is what the chosen language saves against the best other one in
 that window, as a share of it; the mean over the windows is the text's margin, the score's
-base, and a text whose margin is narrower than ``least_margin`` is rejected, unless it is too
-short to tell (a few words, whose sizes tie more often than not).  As every window
+base, and a text whose margin is narrower than ``least_margin`` is rejected.  As every window
 meets the bare dictionary, the margin of a text in one language is the same whatever its
 length; in a text of two languages the windows speak against each other.
 
@@ -32,7 +31,7 @@ from .common import map_slices, strings
 UNDETERMINED = "und"
 #: Characters of a window.
 WINDOW = 512
-#: Letters and spaces below which a text isn't rejected for its margin: a few bytes tell little, and two languages hardly fit in.
+#: Letters and spaces below which a text stays whatever its margin: a few bytes tell little, and two languages hardly fit in.
 SHORT = 24
 
 
@@ -100,7 +99,12 @@ class Classifier:
         best = int(sizes.sum(axis=0).argmin())
         others = np.delete(sizes, best, axis=1).min(axis=1) if len(self.langs) > 1 else 2 * sizes[:, best]
         margin = float(((others - sizes[:, best]) / others).mean())
-        return self.langs[best], min(1.0, max(0.0, 0.5 + 2 * margin)), margin, margin < least_margin and len(text) >= SHORT
+        return self.langs[best], min(1.0, max(0.0, 0.5 + 2 * margin)), margin, margin < least_margin
+
+    def keeps(self, text: str, least_margin: float) -> bool:
+        """Whether a text stays: it isn't rejected, or has letters, but too few to tell."""
+        _, _, _, rejected = self.predict(text, least_margin)
+        return not rejected or 0 < len(letters(text)) < SHORT and any(map(str.isalpha, text))
 
 
 def windows(text: str, size: int = WINDOW) -> list[str]:
@@ -128,8 +132,8 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_
 
     lang_pred is the language of the smallest compressed size, ``und`` for a null text or
     one without a letter; ties go to the language with more labelled rows, with margin 0.
-    rejected is true for ``und``, and for texts with margins below ``least_margin`` but those of
-    less than SHORT letters, which may be of any language and stay.  A very long text is read whole, window by window, and its length doesn't
+    rejected is true for ``und``, and for texts with margins below ``least_margin``, in a very
+    short text ties.  A very long text is read whole, window by window, and its length doesn't
     change its margin.  Ids may be null or repeated; of other columns only ``keep`` are carried
     along; an empty table gives an empty result; without dictionaries every text is ``und``.
     """
@@ -152,8 +156,9 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_
 
 
 def accepted(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", least_margin: float = 0.03) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text :func:`predict` doesn't reject.
+    """The rows of ``docs``, with all their columns, whose text :func:`predict` doesn't reject, and those of less than SHORT letters.
 
+    Sizes of a few words tie more often than not, which is nothing against them.
     Without dictionaries there is nothing to tell languages by, and all texts with letters stay.
     """
 
@@ -162,7 +167,7 @@ def accepted(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
 
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
             texts = strings(b.column(text_col))
-            kept = [not classifier.predict(t, least_margin)[3] for t in texts] if dictionaries else [any(map(str.isalpha, t)) for t in texts]
+            kept = [classifier.keeps(t, least_margin) for t in texts] if dictionaries else [any(map(str.isalpha, t)) for t in texts]
             return b.filter(pa.array(kept, pa.bool_()))
 
         yield from map_slices(batches, text_col, work)

@@ -507,10 +507,12 @@ def test_langid_short_texts_stay(spark):
     model = langid.Classifier(langid.fit(docs))
     rows = [(langid.letters(r["text"]).split(), r["lang"]) for r in docs.select("text", "lang").collect()]
     for n, least in ((1, 0.8), (2, 0.9), (3, 0.95), (5, 0.98), (8, 0.98)):
-        told = [(*model.predict(" ".join(w[:n]), 0.03), lang) for w, lang in rows if len(w) >= n]
-        assert sum(t[3] for t in told) <= 0.005 * len(told)
-        assert sum(t[0] == t[4] for t in told) >= least * len(told)
-    assert model.predict("12 !", 0.03)[3] and not model.predict("ok", 0.03)[3]
+        texts = [(" ".join(w[:n]), lang) for w, lang in rows if len(w) >= n]
+        assert sum(not model.keeps(t, 0.03) for t, _ in texts) <= 0.005 * len(texts)
+        assert sum(model.predict(t, 0.03)[0] == lang for t, lang in texts) >= least * len(texts)
+    assert not model.keeps("12 !", 0.03) and not model.keeps("", 0.03) and model.keeps("ok", 0.03)
+    short = spark.createDataFrame([(1, "ok"), (2, "..."), (3, None), (4, "Zzyzx")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in langid.accepted(short, langid.fit(docs)).collect()) == [1, 4]
 
 
 # -- 6: WARC ------------------------------------------------------------------------------
@@ -1108,7 +1110,7 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark, docs, odd):
 
 
 def test_queries_are_registered():
-    names = [f"op{n}_" for n in range(1, 11)]
+    names = [f"op{n}_" for n in range(1, 14)]
     assert [n for n in names if not any(q.startswith(n) for q in queries.queries())] == []
     assert set(queries.oracle_sql()) <= set(queries.queries())
     assert pa.__version__
@@ -1119,7 +1121,7 @@ def test_sql_oracles(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("embeddings", "pages"):
+    for t in ("embeddings", "pages", "documents", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     got = queries.queries()[name](spark, SMALL)
     columns = sorted(got.columns)
