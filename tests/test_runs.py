@@ -6,6 +6,7 @@ import signal
 import subprocess
 import sys
 import textwrap
+import time
 from collections import Counter
 
 import pytest
@@ -26,6 +27,7 @@ class Asked(generate.MockProvider):
     def generate(self, system, user, sampling, sample_index):
         if user == self.kill_at:
             os.kill(self.pid, signal.SIGKILL)
+            time.sleep(20)  # the workers outlive the driver for a moment, and this one doesn't answer
         with open(os.path.join(self.folder, str(os.getpid())), "a") as f:
             f.write(f"{user}#{sample_index}\n")
         if user in self.bad:
