@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,13 +31,62 @@ def pending(rows: DataFrame, done: DataFrame, id_col: str = "id") -> DataFrame:
 SHARE = 512
 
 
+#: Words of two parts that are compared at a time.
+WIDTH = 2048
+
+
+def similarities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, s): for each pair of parts, from rows sorted by it, the sum of its pairs' Jaccard similarities, each times both counts."""
+    now, sides = None, ([], [])
+    for batch in batches:
+        kind = batch.schema.field("g").type
+        out: list[tuple] = []
+        for r in (r for k in range(0, batch.num_rows, SHARE) for r in batch.slice(k, SHARE).to_pylist()):
+            key = (r["g"], r["i"], r["j"])
+            if key != now:
+                if now is not None:
+                    out.append((now[0], similarity(*sides, now[1] == now[2])))
+                now, sides = key, ([], [])
+            sides[r["side"]].append((r["w"], r["c"]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in out], kind), pa.array([s for _, s in out], pa.float64())], ["g", "s"])
+    if now is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([now[0]], kind), pa.array([similarity(*sides, now[1] == now[2])])], ["g", "s"])
+
+
+def similarity(a: list[tuple[list[str], int]], b: list[tuple[list[str], int]], same: bool) -> float:
+    """Summed over the pairs of two lists of (word set, count), or of one list with itself; products of incidence matrices count the words that sets share."""
+    b = a if same else b
+    if not a or not b:
+        return 0.0
+    seen: dict[str, list[tuple[int, int]]] = {}
+    for side, sets in enumerate((a,) if same else (a, b)):
+        for n, (words, _) in enumerate(sets):
+            for w in words:
+                seen.setdefault(w, []).append((side, n))
+    both = [at for at in seen.values() if len(at) > 1]  # the others are shared by no pair
+    common = np.zeros((len(a), len(b)), dtype=np.float32)
+    for k in range(0, len(both), WIDTH):
+        x, y = np.zeros((len(a), WIDTH), dtype=np.float32), np.zeros((len(b), WIDTH), dtype=np.float32)
+        for column, at in enumerate(both[k : k + WIDTH]):
+            for side, n in at:
+                (y if side else x)[n, column] = 1
+        common += x @ (x if same else y).T
+    sizes = [np.array([len(w) for w, _ in s], dtype=np.float64) for s in (a, b)]
+    counts = [np.array([c for _, c in s], dtype=np.float64) for s in (a, b)]
+    shares = common / (sizes[0][:, None] + sizes[1][None, :] - common)
+    if same:
+        np.fill_diagonal(shares, 0.0)
+    return float(counts[0] @ shares @ counts[1]) / (2 if same else 1)
+
+
 def pairwise_jaccard(rows: DataFrame, group: str, order: str, text: str = "text") -> DataFrame:
     """(group, n_texts, avg_jaccard): the mean over pairs of the texts' word sets; 0 below two texts.
 
     Texts with equal word sets stand once for their count, so copies make no pairs.  The mean
     needs every two distinct sets of a group compared; a group of more than SHARE of them is
     dealt in pairs of parts, so no task has more than SHARE squared comparisons of a group at
-    a time, and only sums leave it.
+    a time.  Pairs are no rows anywhere: only their sums leave a task.
     """
     sets = rows.select(F.col(group).alias("g"), F.array_sort(word_set(F.coalesce(F.col(text), F.lit("")))).alias("w"))
     # written once, as sizes, parts and both sides of the join come of it; empty sets have no pairs, but count
@@ -42,11 +95,12 @@ def pairwise_jaccard(rows: DataFrame, group: str, order: str, text: str = "text"
     kinds = every.where(F.size("w") > 0)
     large = sizes.where("parts > 1").select("g", "parts")
     dealt = kinds.join(large, "g", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("w"), F.col("parts")).cast("int"))
-    # a pair of parts meets once, the lower one on the left
-    a = dealt.select("g", "w", "c", F.col("mine").alias("i"), F.explode(F.sequence(F.col("mine"), F.col("parts") - 1)).alias("j"))
-    b = dealt.select("g", F.col("w").alias("v"), F.col("c").alias("d"), F.explode(F.sequence(F.lit(0), F.col("mine"))).alias("i"), F.col("mine").alias("j"))
-    both = F.size(F.array_intersect("w", "v"))
-    shared = a.join(b, ["g", "i", "j"]).where("i < j or w < v").select("g", (F.col("c") * F.col("d") * both / (F.size("w") + F.size("v") - both)).alias("s"))
+    # a pair of parts meets once, the lower one on the left; a part that meets itself is there once
+    left = F.transform(F.sequence(F.col("mine"), F.col("parts") - 1), lambda k: F.struct(F.col("mine").alias("i"), k.alias("j"), F.lit(0).alias("side")))
+    right = F.transform(F.filter(F.sequence(F.lit(0), F.col("mine")), lambda k: k < F.col("mine")), lambda k: F.struct(k.alias("i"), F.col("mine").alias("j"), F.lit(1).alias("side")))
+    cells = dealt.select("g", "w", "c", F.explode(F.concat(left, right)).alias("m")).select("g", "m.i", "m.j", "m.side", "w", "c")
+    kind = rows.schema[group].dataType.simpleString()
+    shared = cells.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "side").mapInArrow(similarities, f"g {kind}, s double")
     same = kinds.where("c > 1").select("g", (F.col("c") * (F.col("c") - 1) / 2).alias("s"))
     total = shared.union(same).groupBy("g").agg(F.sum("s").alias("s"))
     n = F.col("n_texts")
