@@ -19,13 +19,15 @@ from pyspark.sql import functions as F
 from ..sources.readers import indexed
 from .common import checkpointed
 
-#: ASCII letters and digits, and all that isn't ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What stands between words: all of ASCII but letters and digits.
+BETWEEN = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    """Runs of letters, digits and all that isn't ASCII, in lower case as far as it is."""
+    spaced = F.translate(F.coalesce(text, F.lit("")), UPPER + BETWEEN, LOWER + " " * len(BETWEEN))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def position_table(rows: DataFrame, text: str, orders: int, buckets: int) -> DataFrame:
